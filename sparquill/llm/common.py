@@ -1,54 +1,22 @@
-"""What the training-data operators share: staged tables, skew-safe joins, Arrow helpers."""
+"""What the training-data operators share: texts, words and Arrow batches."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sparquill.operators.staging import importable, salted_join, shared_dir, staged
+
+__all__ = ["SPACE", "WORD", "binary_list", "importable", "salted_join", "shared_dir", "slices", "staged", "text_of"]
+
 #: The white space of the contracts, as a Java/Python regular-expression class.
 SPACE = r"[\x20\x09-\x0D]"
 #: A word of the contracts.
 WORD = r"[^\x20\x09-\x0D]+"
-PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-_own_dirs: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="sparquill-")
-    return _own_dirs[app]
-
-
-def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package also where only the driver's sys.path has it."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if PACKAGE_ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([*paths, PACKAGE_ROOT])
-
-
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Writes df once, as a table in the shared folder, and reads it back.
-
-    It cuts the lineage: a lost executor costs the rereading of files, not a recomputation, and what was dealt
-    out by an unstable plan (range partitions, partition numbers) is fixed from here on.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_of(column: str | Column) -> Column:
@@ -56,25 +24,6 @@ def text_of(column: str | Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
 
-def salted_join(many: DataFrame, one: DataFrame, keys: list[str], size: str, spread: Column, hot_share: int = 512, salts: int = 64) -> DataFrame:
-    """Inner join of `many` with `one` (unique by keys), safe for hot keys.
-
-    `one` carries in column `size` how many rows of `many` have its keys. Keys with over total/hot_share rows are hot:
-    there are fewer than hot_share of them whatever the size of the tables, so that set is broadcast. Rows of hot keys
-    are dealt over `salts` salts by `spread`, and only the hot rows of `one` are repeated for each salt.
-    """
-    total = one.agg(F.coalesce(F.sum(size), F.lit(0)).alias("_total"))
-    marked = one.crossJoin(F.broadcast(total)).withColumn("_hot", (F.col(size) * hot_share > F.col("_total")) & (F.col(size) > 1000)).drop("_total")
-    hot = F.broadcast(marked.where("_hot").select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.lit(True).alias("_is_hot")))
-    condition = None
-    for k in keys:
-        term = F.col(k) == F.col(f"_h_{k}")
-        condition = term if condition is None else condition & term
-    left = many.join(hot, condition, "left").withColumn("_salt", F.when(F.col("_is_hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)).drop("_is_hot", *[f"_h_{k}" for k in keys])
-    right = marked.withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot")
-    return left.join(right, [*keys, "_salt"]).drop("_salt")
-
-
 def binary_list(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
