@@ -12,6 +12,7 @@ from sparquill.llm.exact_dedup import exact_groups
 from sparquill.llm.packing import pack_documents
 from sparquill.llm.quality_rules import quality_rules
 from sparquill.llm.simhash import near_groups
+from sparquill.llm.substring_dedup import substring_dedup
 from sparquill.llm.toxicity import toxicity
 
 
@@ -43,6 +44,10 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_table(spark, sf_dir, "documents"), texts=False)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op5_toxicity": op5_toxicity,
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_bpe_round_trip": op9_bpe_round_trip,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 SQL: dict[str, str] = {
