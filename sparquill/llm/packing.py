@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Iterator
@@ -12,23 +15,89 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparquill.llm.bpe_stream import byte_alphabet
 from sparquill.llm.common import binary_list, importable, slices, staged
 
-CACHE = 400_000
-_tokenizers: dict[int, tuple[bytes, object, dict[bytes, bytes]]] = {}
+CACHE = 600_000
+_encoders: dict[int, tuple[bytes, WordEncoder]] = {}
+#: Letters that lower-casing maps one to one and that no normal form changes, and a tail of ASCII punctuation.
+PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xde\xdf-\xf6\xf8-\xff]+)([!-/:-@\[-`{-~]*)")
 
 
-def _tokenizer(spec: bytes):
-    """The tokenizer and its memo of words, one for each vocabulary and Python worker."""
-    from tokenizers import Tokenizer
+class WordEncoder:
+    """Word -> its ids as little-endian bytes, for a BPE with word ends that drops white space.
 
-    found = _tokenizers.get(hash(spec))
+    Words of plain letters, with or without a tail of punctuation, are two pieces at most and are merged here; all
+    others go to the tokenizers library, which defines the ids. Two generations of at most CACHE words are kept.
+    """
+
+    def __init__(self, spec: bytes):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_str(spec.decode())
+        self.library.no_truncation()
+        self.library.no_padding()
+        model = json.loads(spec)["model"]
+        vocab, self.end = model["vocab"], model.get("end_of_word_suffix") or ""
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        self.merge = {vocab[a] << 20 | vocab[b]: (rank << 20) | vocab[a + b] for rank, (a, b) in reversed([*enumerate(pairs)])}
+        shown = {b: c for c, b in byte_alphabet().items()}
+        self.inner = [vocab.get(shown[b], -1) for b in range(256)]
+        self.last = [vocab.get(shown[b] + self.end, -1) for b in range(256)]
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {"": b""}
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            data, merge = piece.encode(), self.merge
+            ids = [*map(self.inner.__getitem__, data[:-1]), self.last[data[-1]]]
+            ranks = [merge.get(a << 20 | b, 1 << 60) for a, b in zip(ids, ids[1:], strict=False)]
+            while ranks:
+                best = min(ranks)
+                if best == 1 << 60:
+                    break
+                i = ranks.index(best)
+                ids[i : i + 2] = [best & 0xFFFFF]
+                del ranks[i]
+                if i < len(ranks):
+                    ranks[i] = merge.get(ids[i] << 20 | ids[i + 1], 1 << 60)
+                if i:
+                    ranks[i - 1] = merge.get(ids[i - 1] << 20 | ids[i], 1 << 60)
+            found = array("I", ids).tobytes()
+            if len(self.pieces) > CACHE:
+                self.pieces = {"": b""}
+            self.pieces[piece] = found
+        return found
+
+    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The memo, after all the words have been added to it."""
+        if len(self.known) + len(words) > CACHE:
+            self.known, self.older = {}, self.known
+        known, older, hard = self.known, self.older, []
+        for w in words - known.keys():
+            found = older.get(w)
+            if found is None:
+                m = PLAIN.fullmatch(w.decode()) if len(w) < 200 else None
+                if m is None:
+                    hard.append(w)
+                    continue
+                found = self._piece(m[1].lower()) + self._piece(m[2])
+            known[w] = found
+        for i in range(0, len(hard), 20_000):
+            part = hard[i : i + 20_000]
+            for w, e in zip(part, self.library.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
+                known[w] = array("I", e.ids).tobytes()
+        return known
+
+
+def _encoder(spec: bytes) -> WordEncoder:
+    """One encoder for each vocabulary and Python worker."""
+    found = _encoders.get(hash(spec))
     if found is None or found[0] != spec:
-        t = Tokenizer.from_str(spec.decode())
-        t.no_truncation()
-        t.no_padding()
-        found = _tokenizers[hash(spec)] = (spec, t, {})
-    return found[1], found[2]
+        found = _encoders[hash(spec)] = (spec, WordEncoder(spec))
+    return found[1]
 
 
 def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -45,21 +114,13 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: i
     tail, step = np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, known = _tokenizer(spec)
+        encoder = _encoder(spec)
         for batch in slices(batches, "text"):
             texts = [t.split() for t in binary_list(batch.column("text"))]
-            new = {w for words in texts for w in words if w not in known}
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = {w for words in texts for w in words}
-            fresh = [*new]
-            for i in range(0, len(fresh), 20_000):
-                part = fresh[i : i + 20_000]
-                for w, e in zip(part, tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, dtype="<u4").tobytes()
+            ids_of = encoder.learn(set().union(*texts)).__getitem__
             rows: list[tuple[int, int, int, int, int]] = []
             for at, words in enumerate(texts):
-                ids = b"".join([known[w] for w in words]) + tail
+                ids = b"".join(map(ids_of, words)) + tail
                 for piece, i in enumerate(range(0, len(ids), step)):
                     part = ids[i : i + step]
                     rows.append((at, piece, i // 4, len(part) // 4, zlib.crc32(part)))
@@ -174,4 +235,4 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_i
 
     Columns: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
     """
-    return pack(cut_pieces(docs, vocabulary, capacity, end_id, id_col, text_col), capacity)
+    return pack(staged(cut_pieces(docs, vocabulary, capacity, end_id, id_col, text_col), "pack-pieces"), capacity)
