@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sparquill.llm.bpe_stream import round_trip
 from sparquill.llm.exact_dedup import exact_groups
+from sparquill.llm.licenses import scan, sql
 from sparquill.llm.packing import pack_documents
+from sparquill.llm.quality_classifier import quality_classifier
 from sparquill.llm.quality_rules import quality_rules
 from sparquill.llm.simhash import near_groups
 from sparquill.llm.substring_dedup import substring_dedup
@@ -29,6 +31,14 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_table(spark, sf_dir, "documents"), texts=False)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(_table(spark, sf_dir, "documents"))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -56,6 +66,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op3_license_scan": op3_license_scan,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_toxicity": op5_toxicity,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_exact_dedup": op7_exact_dedup,
@@ -65,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_license_scan": sql(),
     "op7_exact_dedup": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS b FROM documents)
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY b) AS group_size,
