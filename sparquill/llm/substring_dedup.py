@@ -160,6 +160,34 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     return full.select("doc_id", "text", "ranges").mapInArrow(cut, f"doc_id {id_type}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts)
 
 
+def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """docs with the text of each row as substring_dedup keeps it, and size_col its length; all rows stay.
+
+    A text that loses nothing is unchanged, null included.
+    """
+    others = [c for c in docs.columns if c != text_col]
+    own = docs.select(F.struct(*others, docs[text_col].isNull().alias("_null")).alias("_row"), docs[id_col], docs[text_col])
+    frame = keyed(own, id_col, text_col, "_row")
+    full = with_ranges(frame, repeated_ranges(frame, width)).select("_row", "text", "ranges")
+    schema = docs.schema
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text"):
+            texts, sizes = [], []
+            rows = batch.column("_row")
+            old = dict(zip([*others, "_null"], rows.flatten(), strict=True))
+            for text, none, size, ranges in zip(binary_list(batch.column("text")), old["_null"].to_pylist(), old[size_col].to_pylist(), batch.column("ranges").to_pylist(), strict=True):
+                if ranges:
+                    text = _without(text, covered(ranges, len(text.split()), width))
+                    size = len(text.decode())
+                texts.append(None if none else text.decode())
+                sizes.append(size)
+            old |= {text_col: pa.array(texts, pa.string()), size_col: pa.array(sizes, old[size_col].type)}
+            yield pa.RecordBatch.from_arrays([old[c] for c in schema.names], schema.names)
+
+    return full.mapInArrow(cut, schema)
+
+
 def _without(text: bytes, gone: np.ndarray) -> bytes:
     """The text without its removed words, each taken out with the white space before it."""
     raw = np.frombuffer(text, np.uint8)

@@ -129,17 +129,21 @@ def learn(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_PER_CLA
     return buckets, weights, bias
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, score of every whole text; a bucket counts once however often a text has it."""
-    importable(docs.sparkSession)
+def score(frame: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: list[str], text_col: str = "text", most: float | None = None) -> DataFrame:
+    """The columns `keep` of frame and the score of every whole text; with `most`, only rows that score below it.
+
+    A bucket counts once however often a text has it.
+    """
+    importable(frame.sparkSession)
     buckets, weights, bias = model
-    frame = docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    frame = frame.select(*keep, F.coalesce(frame[text_col].cast("string"), F.lit("")).alias("_text"))
+    schema = ", ".join(f"`{c}` {frame.schema[c].dataType.simpleString()}" for c in keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << WIDTH_BITS, np.float32)
         table[buckets] = weights
-        for batch in slices(batches, "text", 2 << 20):
-            starts, ends, grams = gram_buckets(batch.column("text").to_pylist())
+        for batch in slices(batches, "_text", 2 << 20):
+            starts, ends, grams = gram_buckets(batch.column("_text").to_pylist())
             z = np.full(batch.num_rows, bias)
             hits = []
             for n, g in zip(ORDERS, grams, strict=True):
@@ -149,9 +153,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], id_col:
                 hits.append(doc[inside].astype(np.int64) << WIDTH_BITS | g[at[inside]])
             found = np.unique(np.concatenate(hits))
             z += np.bincount(found >> WIDTH_BITS, weights=table[found & ((1 << WIDTH_BITS) - 1)], minlength=len(z))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(z, -50, 50))))], ["doc_id", "score"])
+            scores = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(scores)], [*keep, "score"])
+            yield out if most is None else out.filter(pa.array(scores < most))
 
-    return frame.mapInArrow(run, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, score double")
+    return frame.mapInArrow(run, f"{schema}, score double")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
@@ -162,4 +168,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_PER_
     repeated rows give a row each; the longest text is worked through whole.
     """
     model = learn(docs, labels, most_per_class)
-    return score(docs, model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return score(docs, model, ["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, that score below the threshold."""
+    columns = docs.columns
+    return score(docs, learn(docs, labels, most_per_class), columns, most=threshold).select(*columns)
