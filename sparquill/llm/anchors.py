@@ -29,6 +29,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: The bytes of text worked on at once; bounds a worker's memory (a longer text stands alone).
 SLICE = 2 << 20
 BLOCK_BITS = 20
+ROWS = 3
 HEAVY_BITS = 16
 #: Units of one anchor beyond which it is dealt with window by window, salted, and never gathered in a task.
 HOT_UNITS = 50_000
@@ -126,12 +127,12 @@ def find_units(s: Symbols, width: int, gram: int) -> Units:
 
 
 class Sketch:
-    """Counts of anchors that never fall short: two rows of cells that stop at two, and four coarse rows of true
-    counts that find hot anchors. Sketches of the same size merge cell by cell."""
+    """Counts of anchors that never fall short: ROWS rows of two-bit cells that stop at two, and four coarse rows of
+    true counts that find hot anchors. Sketches of the same size merge cell by cell."""
 
     def __init__(self, bits: int):
         self.bits = max(bits, BLOCK_BITS)
-        self.cells = [np.zeros(1 << self.bits, np.uint8) for _ in range(2)]
+        self.cells = [np.zeros(1 << (self.bits - 2), np.uint8) for _ in range(ROWS)]
         self.heavy = np.zeros((4, 1 << HEAVY_BITS), np.int64)
 
     @staticmethod
@@ -141,17 +142,22 @@ class Sketch:
     def add(self, anchors: np.ndarray) -> None:
         for row, cells in enumerate(self.cells):
             at, n = np.unique(self.places(anchors, row, self.bits), return_counts=True)
-            cells[at] = np.minimum(cells[at] + np.minimum(n, 2), 2)
+            for lane in range(4):  # of a byte's four cells one at a time, so that no byte is written twice at once
+                own = (at & 3) == lane
+                byte, shift = at[own] >> 2, np.uint8(2 * lane)
+                now = cells[byte]
+                more = np.minimum((now >> shift & 3) + np.minimum(n[own], 2), 2).astype(np.uint8)
+                cells[byte] = now & np.uint8(255 ^ 3 << 2 * lane) | more << shift
         for row in range(4):
             self.heavy[row] += np.bincount(self.places(anchors, 8 + row, HEAVY_BITS), minlength=1 << HEAVY_BITS)
 
     def blocks(self) -> Iterator[tuple[int, bytes]]:
-        size = 1 << BLOCK_BITS
+        size = 1 << (BLOCK_BITS - 2)
         for row, cells in enumerate(self.cells):
             for i in range(0, len(cells), size):
-                c = cells[i : i + size].reshape(-1, 4)
+                c = cells[i : i + size]
                 if c.any():
-                    yield (row << 32) | (i >> BLOCK_BITS), zlib.compress((c[:, 0] | c[:, 1] << 2 | c[:, 2] << 4 | c[:, 3] << 6).tobytes(), 1)
+                    yield (row << 32) | (i // size), zlib.compress(c.tobytes(), 1)
         yield 1 << 40, zlib.compress(self.heavy.tobytes(), 1)
 
 
@@ -172,7 +178,7 @@ class Estimate:
     def __init__(self, bits: int, blocks: dict[int, bytes], hot_units: int):
         self.bits, self.hot_units = max(bits, BLOCK_BITS), hot_units
         self.rows = []
-        for row in range(2):
+        for row in range(ROWS):
             packed = np.zeros(1 << (self.bits - 2), np.uint8)
             for i in range(1 << (self.bits - BLOCK_BITS)):
                 if (b := blocks.get((row << 32) | i)) is not None:
@@ -196,10 +202,10 @@ class Estimate:
 
 
 def sketch_bits(docs: DataFrame, symbols_a_byte: float) -> int:
-    """Cells for about four times the anchors that the planner's size of the input suggests, 2^20 to 2^28 (128 MB
-    packed for both rows). On larger inputs more windows than need be go to the exact grouping; none is lost."""
+    """Cells for about four times the anchors that the planner's size of the input suggests, 2^20 to 2^27 (96 MB
+    packed for all rows). On larger inputs more windows than need be go to the exact grouping; none is lost."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(28, max(BLOCK_BITS, int(size * 2 * symbols_a_byte * 4).bit_length()))
+    return min(27, max(BLOCK_BITS, int(size * 2 * symbols_a_byte * 4).bit_length()))
 
 
 Split = Callable[[list[bytes]], Symbols]
