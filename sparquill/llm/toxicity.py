@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -58,9 +59,10 @@ def fit(features: list[np.ndarray], labels: np.ndarray, most: int = 1 << 15, pen
     n_pos, n_neg = int(positive.sum()), int((~positive).sum())
     if not n_pos or not n_neg:
         return np.empty(0, np.int32), np.empty(0, np.float32), 8.0 if n_pos else -8.0
-    empty = [np.empty(0, np.int32)]
-    pos = np.bincount(np.concatenate([*empty, *(f for f, p in zip(features, positive, strict=True) if p)]), minlength=width).astype(np.float64)
-    neg = np.bincount(np.concatenate([*empty, *(f for f, p in zip(features, positive, strict=True) if not p)]), minlength=width).astype(np.float64)
+    pos, neg = np.zeros(width, np.float32), np.zeros(width, np.float32)
+    for f, p in zip(features, positive, strict=True):  # a document's buckets are distinct; nothing is laid end to end
+        (pos if p else neg)[f] += 1
+    pos, neg = pos.astype(np.float64), neg.astype(np.float64)
     ratio = np.log(((pos + 1) / (n_pos + 2)) / ((neg + 1) / (n_neg + 2)))
     seen = pos + neg
     total = n_pos + n_neg
@@ -73,7 +75,7 @@ def fit(features: list[np.ndarray], labels: np.ndarray, most: int = 1 << 15, pen
     place[chosen] = np.arange(len(chosen))
     columns = [place[f][place[f] >= 0] for f in features]
     row = np.repeat(np.arange(len(columns)), [len(c) for c in columns])
-    col = np.concatenate([*empty, *columns])
+    col = np.concatenate([np.empty(0, np.int32), *columns])
     value = ratio[chosen][col]
     weight, bias = np.zeros(len(chosen)), np.log(n_pos / n_neg)
     step = [np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)]
@@ -105,7 +107,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_PER_CLA
     sample = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", 1 << 20):
             found = [text_features(t).astype("<i4").tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("toxic")], ["features", "toxic"])
 
@@ -114,7 +116,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_PER_CLA
         for batch in batches:
             rows += [np.frombuffer(x, dtype="<i4") for x in batch.column("features").to_pylist()]
             marks += batch.column("toxic").to_pylist()
-        order = sorted(range(len(rows)), key=lambda i: (marks[i], rows[i].tobytes()))
+        order = sorted(range(len(rows)), key=lambda i: (marks[i], len(rows[i]), zlib.crc32(rows[i])))
         chosen, weights, bias = fit([rows[i] for i in order], np.array([marks[i] for i in order], dtype=np.int64))
         yield pa.RecordBatch.from_arrays([pa.array([chosen.astype("<i4").tobytes()]), pa.array([weights.astype("<f4").tobytes()]), pa.array([bias])], ["buckets", "weights", "bias"])
 
@@ -142,7 +144,7 @@ def score(frame: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << WIDTH_BITS, np.float32)
         table[buckets] = weights
-        for batch in slices(batches, "_text", 2 << 20):
+        for batch in slices(batches, "_text", 1 << 20):
             starts, ends, grams = gram_buckets(batch.column("_text").to_pylist())
             z = np.full(batch.num_rows, bias)
             hits = []
