@@ -240,9 +240,9 @@ def build_sketch(frame: DataFrame, split: Split, width: int, gram: int, bits: in
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, *also: str) -> DataFrame:
-    """doc_id, place (the id as the order of documents, null last), key (tells rows of one id apart by text), text."""
+    """doc_id, place (the id as the order of documents, null last), key (32 bits that tell rows of one id apart by text), text."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[id_col].cast("long"), F.lit((1 << 63) - 1)).alias("place"), F.xxhash64(text).alias("key"), text.alias("text"), *also)
+    return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[id_col].cast("long"), F.lit((1 << 63) - 1)).alias("place"), (F.xxhash64(text).bitwiseAND((1 << 32) - 1)).alias("key"), text.alias("text"), *also)
 
 
 def runs_of(flags: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
