@@ -11,13 +11,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparquill.functions.text import HAN, _c, chars, compact
+from sparquill.functions.text import HAN, _c, chars, compact, let
 
 
 def grams(x: Column | str, n: int) -> Column:
     """Character n-grams, from the array of characters (a substring for each place would be quadratic)."""
-    c = chars(x)
-    return F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.array_join(F.slice(c, i, n), ""))).otherwise(F.array().cast("array<string>"))
+    places = lambda c: F.when(F.size(c) >= n, F.transform(F.sequence(F.lit(1), F.size(c) - n + 1), lambda i: F.array_join(F.slice(c, i, n), ""))).otherwise(F.array().cast("array<string>"))
+    return let(chars(x), places)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -121,8 +121,9 @@ def line_blocks(a: pd.Series, b: pd.Series) -> pd.DataFrame:
 
 
 def multiset_f1(a: Column, b: Column) -> Column:
-    """F1 of two character multisets, from sorted arrays of (character, count)."""
-    both = F.aggregate(F.transform(F.array_intersect(chars(a), chars(b)), lambda c: F.least(F.size(F.filter(chars(a), lambda x: x == c)), F.size(F.filter(chars(b), lambda x: x == c)))), F.lit(0), lambda s, v: s + v)
+    """F1 of two character multisets."""
+    least = lambda x, y: F.aggregate(F.transform(F.array_intersect(x, y), lambda c: F.least(F.size(F.filter(x, lambda v: v == c)), F.size(F.filter(y, lambda v: v == c)))), F.lit(0), lambda s, v: s + v)
+    both = let(chars(a), lambda x: let(chars(b), lambda y: least(x, y)))
     total = F.length(a) + F.length(b)
     return F.when(total == 0, F.lit(1.0)).otherwise(2 * both / total)
 

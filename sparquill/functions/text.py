@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import pandas as pd
@@ -30,6 +30,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once: a lambda would compute a captured expression anew for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(x: Column | str) -> Column:
     return F.regexp_replace(_c(x), f"^{WS}+|{WS}+$", "")
 

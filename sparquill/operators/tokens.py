@@ -10,8 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sparquill.functions.text import chars
+from sparquill.functions.text import chars, let
 
 IGNORED = -100
 
@@ -127,7 +128,7 @@ def bpe_encoded(df: DataFrame, column: str, merges: list[tuple[str, str]]) -> Da
                 out.append(tokens)
             yield b.assign(tokens=out)
 
-    return df.mapInPandas(run, schema.add("tokens", "array<string>"))
+    return df.mapInPandas(run, T.StructType([*schema.fields, T.StructField("tokens", T.ArrayType(T.StringType()))]))
 
 
 def conversations(turns: DataFrame) -> DataFrame:
@@ -161,5 +162,5 @@ def padded(ids: Column, length: Column, pad: int) -> Column:
 
 def windows(ids: Column, width: int, step: int) -> Column:
     """Next-token windows (x, y) of an array of ids, every step places."""
-    starts = F.when(F.size(ids) > width, F.sequence(F.lit(1), F.size(ids) - width, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.struct(F.slice(ids, i, width).alias("x"), F.slice(ids, i + 1, width).alias("y")))
+    starts = lambda x: F.when(F.size(x) > width, F.sequence(F.lit(1), F.size(x) - width, F.lit(step))).otherwise(F.array().cast("array<int>"))
+    return let(ids, lambda x: F.transform(starts(x), lambda i: F.struct(F.slice(x, i, width).alias("x"), F.slice(x, i + 1, width).alias("y"))))

@@ -82,7 +82,7 @@ def m9(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("id", F.when(F.length("gold") < 2, F.col("a") == F.col("gold")).otherwise(F.col("a").contains(F.col("gold"))).alias("correct"))
 
 
-@query("M10_multiset_f1", _PAIRS + ", c AS (SELECT id, ch, sum(x) AS x, sum(y) AS y FROM (SELECT id, unnest(string_split(a, '')) AS ch, 1 AS x, 0 AS y FROM p UNION ALL SELECT id, unnest(string_split(b, '')), 0, 1 FROM p) GROUP BY id, ch), o AS (SELECT id, sum(least(x, y)) AS both FROM c GROUP BY id) SELECT p.id, 2 * both / (length(a) + length(b)) AS f1, lower(a) = lower(b) AS exact FROM p JOIN o USING (id)")
+@query("M10_multiset_f1", _PAIRS + ", c AS (SELECT id, ch, sum(x) AS x, sum(y) AS y FROM (SELECT id, unnest(string_split(a, '')) AS ch, 1 AS x, 0 AS y FROM p UNION ALL SELECT id, unnest(string_split(b, '')), 0, 1 FROM p) GROUP BY id, ch), o AS (SELECT id, sum(least(x, y)) AS shared FROM c GROUP BY id) SELECT p.id, 2 * shared / (length(a) + length(b)) AS f1, lower(a) = lower(b) AS exact FROM p JOIN o USING (id)")
 def m10(spark: SparkSession, sf: str) -> DataFrame:
     return _pairs(spark, sf).select("id", M.multiset_f1(F.col("a"), F.col("b")).alias("f1"), (F.lower("a") == F.lower("b")).alias("exact"))
 
