@@ -9,7 +9,7 @@ their anchor; such a run of windows is a unit, and there are about 2 / (width -
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -175,16 +175,17 @@ def merged_block(kind: int, parts: list[bytes]) -> bytes:
 class Estimate:
     """A merged sketch as tasks read it."""
 
-    def __init__(self, bits: int, blocks: dict[int, bytes], hot_units: int):
+    def __init__(self, bits: int, blocks: Iterable[tuple[int, bytes]], hot_units: int):
         self.bits, self.hot_units = max(bits, BLOCK_BITS), hot_units
-        self.rows = []
-        for row in range(ROWS):
-            packed = np.zeros(1 << (self.bits - 2), np.uint8)
-            for i in range(1 << (self.bits - BLOCK_BITS)):
-                if (b := blocks.get((row << 32) | i)) is not None:
-                    packed[i << (BLOCK_BITS - 2) : (i + 1) << (BLOCK_BITS - 2)] = np.frombuffer(b, np.uint8)
-            self.rows.append(packed)
-        self.heavy = np.frombuffer(blocks.get(1 << 40, np.zeros((4, 1 << HEAVY_BITS), np.int64).tobytes()), np.int64).reshape(4, -1)
+        self.rows = [np.zeros(1 << (self.bits - 2), np.uint8) for _ in range(ROWS)]
+        self.heavy = np.zeros((4, 1 << HEAVY_BITS), np.int64)
+        size = 1 << (BLOCK_BITS - 2)
+        for kind, data in blocks:  # one at a time: no second copy of the sketch
+            if kind >> 40:
+                self.heavy = np.frombuffer(data, np.int64).reshape(4, -1)
+            else:
+                i = kind & 0xFFFFFFFF
+                self.rows[kind >> 32][i * size : (i + 1) * size] = np.frombuffer(data, np.uint8)
 
     def repeated(self, anchors: np.ndarray) -> np.ndarray:
         out = np.ones(len(anchors), bool)
@@ -202,10 +203,10 @@ class Estimate:
 
 
 def sketch_bits(docs: DataFrame, symbols_a_byte: float) -> int:
-    """Cells for about four times the anchors that the planner's size of the input suggests, 2^20 to 2^27 (96 MB
+    """Cells for about twice the anchors that the planner's size of the input suggests, 2^20 to 2^27 (96 MB
     packed for all rows). On larger inputs more windows than need be go to the exact grouping; none is lost."""
     size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(27, max(BLOCK_BITS, int(size * 2 * symbols_a_byte * 4).bit_length()))
+    return min(27, max(BLOCK_BITS, int(size * 2 * symbols_a_byte * 2).bit_length()))
 
 
 Split = Callable[[list[bytes]], Symbols]
@@ -236,7 +237,7 @@ def build_sketch(frame: DataFrame, split: Split, width: int, gram: int, bits: in
             yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int64()), pa.array([zlib.compress(held[0], 1)], pa.binary())], ["kind", "data"])
 
     rows = frame.select("text").mapInArrow(sketch, "kind long, data binary").repartition("kind").sortWithinPartitions("kind").mapInArrow(merge, "kind long, data binary").collect()
-    return Estimate(bits, {r["kind"]: zlib.decompress(bytes(r["data"])) for r in rows}, hot_units)
+    return Estimate(bits, ((r["kind"], zlib.decompress(bytes(r["data"]))) for r in rows), hot_units)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, *also: str) -> DataFrame:

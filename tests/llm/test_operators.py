@@ -1,0 +1,232 @@
+"""Small fixtures for each training-data operator: nulls, empty and odd texts, ties, repeats, empty tables."""
+
+import collections
+import hashlib
+import random
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from sparquill.llm.bpe_stream import Transducer, round_trip
+from sparquill.llm.exact_dedup import exact_groups
+from sparquill.llm.licenses import KNOWN, scan
+from sparquill.llm.packing import best_fit_plan, pack_documents
+from sparquill.llm.quality_classifier import quality_classifier
+from sparquill.llm.quality_rules import quality_rules
+from sparquill.llm.simhash import linked_in_groups, near_groups
+from sparquill.llm.substring_dedup import substring_dedup, without_repeats
+from sparquill.llm.suffix_array import permuted_prefixes, suffix_array
+from sparquill.llm.suffix_dedup import suffix_dedup
+from sparquill.llm.toxicity import toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, keep_id string, run int, score string, place int, kept int"
+PASSAGE = " ".join(f"word{i}" for i in range(60))
+TEXTS = [
+    (0, "alpha beta " + PASSAGE), (1, None), (2, ""), (3, " \n\t "), (4, "Gamma " + PASSAGE + " delta"), (5, "alpha beta " + PASSAGE), (5, "alpha beta " + PASSAGE),
+    (6, "x" * 9000 + " é漢字 \x85 <|endoftext|> it's"), (7, ("la " * 40).strip()), (None, "no id at all " + PASSAGE), (8, "alpha  beta\n" + PASSAGE), (9, "tiny"),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en" if (i or 0) % 2 else None, f"src{(i or 0) % 2}" if i != 2 else None, len(t) if t else None, "clash", 1, "clash", 2, 3) for i, t in TEXTS]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def bare(t):
+    return "".join((t or "").split()) if (t or "").isascii() else "".join(c for c in t if c not in " \t\n\r\x0b\x0c")
+
+
+def test_exact_groups(docs, none):
+    got = exact_groups(docs, runs=8, fan_in=2).collect()
+    assert len(got) == len(TEXTS) and exact_groups(none).count() == 0
+    groups = collections.defaultdict(list)
+    for i, t in TEXTS:
+        groups[bare(t)].append((-len(t or ""), i is None, i))
+    for r in got:
+        text = next(b for b in groups if hashlib.sha256(b.encode()).hexdigest() == r["text_sha256"])
+        assert r["keep_id"] == min(groups[text])[2] and r["group_size"] == len(groups[text])
+    assert {r["doc_id"] for r in got if r["kept"]} == {None, 0, 4, 6, 7, 9, 3} - ({0} if min(groups[bare(TEXTS[0][1])])[2] != 0 else set()) | {min(groups[bare(TEXTS[0][1])])[2]}
+
+
+def test_plan_is_best_fit_decreasing():
+    rng = np.random.default_rng(0)
+    for _ in range(10):
+        sizes = rng.integers(1, 100, rng.integers(1, 300)).tolist()
+        plan = best_fit_plan(dict(collections.Counter(sizes)), 120)
+        bins = []
+        for x in sorted(sizes, reverse=True):
+            fits = [b for b in range(len(bins)) if bins[b] >= x]
+            if fits:
+                bins[min(fits, key=lambda b: bins[b])] -= x
+            else:
+                bins.append(120 - x)
+        assert plan[:, 2].sum() == len(sizes) and (plan[:, 3] + plan[:, 4]).max() == len(bins)
+
+
+def test_packing(docs, none):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = Tokenizer.from_file(path)
+    got = pack_documents(docs, path, 64).collect()
+    assert pack_documents(none, path, 64).count() == 0
+    assert sum(r["length"] for r in got) == sum(len(t.encode(x or "", add_special_tokens=False).ids) + 1 for _, x in TEXTS)
+    rows = collections.defaultdict(list)
+    for r in got:
+        rows[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in rows.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 64
+
+
+def test_round_trip(docs, none):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    want = collections.Counter((i, len(ids := t.encode(x or "", add_special_tokens=False).ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()) for i, x in TEXTS)
+    assert collections.Counter(map(tuple, round_trip(docs, path).collect())) == want and round_trip(none, path).count() == 0
+
+
+def test_stream_needs_only_its_lookahead():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
+        m = Transducer(f.read())
+    random.seed(1)
+    for letters in ("abcdethinos-=", "a", "ab"):
+        text = "".join(random.choice(letters) for _ in range(4 * m.lookahead)).encode()
+        assert list(m.stream(text[i : i + 999] for i in range(0, len(text), 999))) == m._whole(text)
+        assert "".join(m.decode(m._whole(text), 7)).encode() == text
+
+
+def brute_words(rows, width=20):
+    seen, out = set(), {}
+    for i, x in sorted(rows):
+        w = (x or "").encode().split()
+        gone = [False] * len(w)
+        for s in range(len(w) - width + 1):
+            k = tuple(w[s : s + width])
+            if k in seen:
+                gone[s : s + width] = [True] * width
+            seen.add(k)
+        out[i] = (len(w), sum(gone), hashlib.sha256(b" ".join(a for a, g in zip(w, gone, strict=True) if not g)).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("hot", [50_000, 1])
+def test_substring_dedup(docs, none, hot):
+    rows = {(1 << 62 if i is None else i): t for i, t in TEXTS}
+    want = brute_words(rows.items())
+    got = substring_dedup(docs, hot_units=hot).collect()
+    assert len(got) == len(TEXTS) and substring_dedup(none).count() == 0
+    for r in got:
+        assert (r["n_words"], r["n_removed"], r["kept_sha256"]) == want[1 << 62 if r["doc_id"] is None else r["doc_id"]]
+
+
+def test_without_repeats_keeps_rows(docs):
+    got = without_repeats(docs)
+    assert got.columns == docs.columns and got.count() == docs.count()
+    rows = {r["doc_id"]: r for r in got.collect()}
+    assert rows[0]["text"] == TEXTS[0][1] and rows[1]["text"] is None and rows[2]["text"] == "" and rows[4]["text"] == "Gamma delta" and rows[4]["n_chars"] == 11
+
+
+@pytest.mark.parametrize("hot", [50_000, 1])
+def test_suffix_dedup(docs, none, hot):
+    first, want = {}, {}
+    for i, t in sorted({(1 << 62 if i is None else i): (t or "").encode() for i, t in TEXTS}.items()):
+        gone = bytearray(len(t))
+        for s in range(len(t) - 49):
+            if first.setdefault(t[s : s + 50], i) < i:
+                gone[s : s + 50] = b"\1" * 50
+        kept = bytes(c for c, g in zip(t, gone, strict=True) if not g)
+        want[i] = (len(t), len(t) - len(kept), sum(gone[j] and (j == 0 or not gone[j - 1]) for j in range(len(t))), hashlib.sha256(kept).hexdigest())
+    got = suffix_dedup(docs, hot_units=hot).collect()
+    assert len(got) == len(TEXTS) and suffix_dedup(none).count() == 0
+    for r in got:
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[1 << 62 if r["doc_id"] is None else r["doc_id"]]
+
+
+def test_suffix_array_against_sorting():
+    random.seed(0)
+    for _ in range(200):
+        s = [random.randrange(1, random.choice([2, 3, 27])) for _ in range(random.randrange(1, 100))] + [0]
+        assert suffix_array(np.array(s)).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+    raw = np.frombuffer(b"abcabcabd" * 3 + bytes(64), np.uint8)
+    places = np.array(sorted(range(20), key=lambda i: bytes(raw[i:])))
+    assert permuted_prefixes(raw, places, 50)[0] == 0
+
+
+def test_near_groups(docs, none):
+    got = near_groups(docs).collect()
+    assert len(got) == len(TEXTS) and near_groups(none).count() == 0
+    by = collections.defaultdict(set)
+    for r in got:
+        by[r["doc_id"]].add((r["fingerprint"], r["component_id"]))
+    assert by[1] == by[2] == by[3] and next(iter(by[1]))[0] == "0" * 16 and by[5] == by[0] == by[8]
+
+
+def test_gray_index_against_all_pairs():
+    random.seed(3)
+    codes = {random.getrandbits(64) for _ in range(60)}
+    codes |= {c ^ sum(1 << random.randrange(64) for _ in range(random.randrange(4))) for c in list(codes) for _ in range(3)}
+    codes = np.array(sorted(x & (1 << 64) - 1 for x in codes), np.uint64)
+    a, b = linked_in_groups(np.zeros(len(codes), np.int64), codes)
+    label = {int(c): int(c) for c in codes}
+    label |= {int(x): int(y) for x, y in zip(a, b, strict=True)}
+    for x in codes.tolist():
+        for y in codes.tolist():
+            if bin(x ^ y).count("1") <= 3:
+                assert label[x] == label[y]
+
+
+def test_quality_rules(docs, none, spark):
+    got = {r["doc_id"]: r for r in quality_rules(docs).collect()}
+    assert quality_rules(none).count() == 0 and got[1]["n_words"] == 0 and got[1]["base_failed"] and not got[1]["kept"]
+    assert got[7]["n_repeat_words"] == 40 and got[7]["base_failed"] and got[0]["kept"] and got[4]["n_repeat_words"] == 0
+    many = spark.createDataFrame([(i, "Common footer line number 7 with some words\n" + (" ".join(chr(97 + i % 26) * (i // 26 + 1) + "xy" * k for k in range(20)) if i % 2 else "")) for i in range(60)], "doc_id long, text string").withColumn("source", F.lit("s"))
+    kept = {r["doc_id"]: r["kept"] for r in quality_rules(many).collect()}
+    assert all(kept[i] == bool(i % 2) for i in range(60) if i % 2) and not any(kept[i] for i in range(0, 60, 2))
+
+
+def test_license_scan(docs, none, spark):
+    assert scan(none).count() == 0 and scan(docs).count() == len(TEXTS)
+    mit = next(t for k, t in KNOWN if k == "MIT")
+    rows = [(0, "Copyright (c) 1999 Someone\n\n" + mit.upper().replace(",", " ;")), (1, mit + " And more."), (2, "Some text.\nReleased under the MIT Licence!\nEnd."), (3, None)]
+    got = {r["doc_id"]: r for r in scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0]["license_id"] == "MIT" and got[1]["license_id"] is None and got[2]["notices"] == ["MIT"] and got[3]["notices"] == []
+
+
+def _labelled(spark):
+    random.seed(0)
+    words = [f"w{i:03d}" for i in range(300)]
+    rows = []
+    for i in range(400):
+        text = [random.choice(words) for _ in range(40)]
+        if i % 5 == 0:
+            text[random.randrange(40)] = "blargh" + random.choice(["s", "ing", "ed"])
+        rows.append((i, " ".join(text).upper() + "!!" if i % 4 == 0 else " ".join(text) + ".", "en", f"s{i % 7}", 200, int(i % 4 != 0), int(i % 5 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, quality int, toxic int")
+    return df.drop("quality", "toxic"), df.select("doc_id", "quality", "toxic")
+
+
+def test_toxicity(spark, docs, none):
+    d, labels = _labelled(spark)
+    got = toxicity(d, labels).join(labels, "doc_id").where("held_out").collect()
+    assert sum(r["predicted"] == r["toxic"] for r in got) >= 0.95 * len(got) > 0
+    assert toxicity(none, labels).count() == 0 and toxicity(docs, labels).count() == len(TEXTS)
+    assert {r["predicted"] for r in toxicity(docs, labels.limit(0)).collect()} == {0}
+
+
+def test_quality_classifier(spark, docs, none):
+    d, labels = _labelled(spark)
+    got = quality_classifier(d, labels).join(labels, "doc_id").where("held_out").collect()
+    assert sum(r["predicted"] == r["quality"] for r in got) >= 0.9 * len(got) > 0
+    assert quality_classifier(none, labels).count() == 0 and quality_classifier(docs, labels).count() == len(TEXTS)
+    assert {r["score"] for r in quality_classifier(docs, labels.limit(0)).collect()} == {0.5}
