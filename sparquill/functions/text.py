@@ -127,11 +127,15 @@ def balanced(x: Column | str) -> Column:
     return reduce(lambda a, b: a & b, [occurrences(x, a) == occurrences(x, b) for a, b in PAIRS])
 
 
+def _closed(x: Column, a: str, b: str) -> Column:
+    return let(x, lambda c: F.when(occurrences(c, a) == occurrences(c, b) + 1, F.concat(c, F.lit(b))).otherwise(c))
+
+
 def truncated(x: Column | str, limit: int) -> Column:
     """At most limit characters, the last an ellipsis if any is cut; then closes a bracket that the cut left open."""
     cut = F.when(F.length(_c(x)) > limit, F.concat(F.substring(_c(x), 1, limit - 1), F.lit("…"))).otherwise(_c(x))
     for a, b in PAIRS:
-        cut = F.when(occurrences(cut, a) == occurrences(cut, b) + 1, F.concat(cut, F.lit(b))).otherwise(cut)
+        cut = _closed(cut, a, b)
     return cut
 
 
