@@ -16,7 +16,7 @@ ORDERS = (4, 5, 6)
 WIDTH_BITS = 21
 THRESHOLD = 0.3
 #: At most this many labelled rows of each class are learnt from (those of the lowest hashed ids).
-MOST_PER_CLASS = 4000
+MOST_PER_CLASS = 2000
 
 
 def held_out(id_col: str | Column = "doc_id") -> Column:
