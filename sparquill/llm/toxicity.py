@@ -15,7 +15,7 @@ from sparquill.llm.common import importable, slices
 ORDERS = (4, 5, 6)
 WIDTH_BITS = 21
 THRESHOLD = 0.3
-#: At most this many labelled rows of each class are learnt from (those of the lowest hashed ids).
+#: At most this many toxic labelled rows, and half as many again of the others, are learnt from (lowest hashed ids).
 MOST_PER_CLASS = 2000
 
 
@@ -93,7 +93,8 @@ def fit(features: list[np.ndarray], labels: np.ndarray, most: int = 1 << 15, pen
 def learn(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_PER_CLASS) -> tuple[np.ndarray, np.ndarray, float]:
     """Fits on a bounded sample of labelled rows that are not held out.
 
-    Of each class the rows with the lowest hashed doc_id, `most_per_class` at most, are chosen from the labels alone;
+    Of each class the rows with the lowest hashed doc_id, `most_per_class` toxic and 1.5 times as many others at
+    most, are chosen from the labels alone;
     only they are looked up in the documents (a broadcast of so many ids at most) and brought to one task, which
     returns the weights. With several labels for an id the highest counts; ids without a text are left out.
     """
@@ -102,7 +103,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_PER_CLA
     sizes = known.agg(F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)), F.lit(0)).alias("p"), F.count(F.lit(1)).alias("n")).first()
     chosen = None
     for toxic in (1, 0):
-        part = known.where(F.col("toxic") == 1 if toxic else F.col("toxic") != 1).select("doc_id", F.lit(toxic).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_per_class)
+        part = known.where(F.col("toxic") == 1 if toxic else F.col("toxic") != 1).select("doc_id", F.lit(toxic).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_per_class if toxic else most_per_class * 3 // 2)
         chosen = part if chosen is None else chosen.unionByName(part)
     sample = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
@@ -125,7 +126,7 @@ def learn(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_PER_CLA
         return np.empty(0, np.int32), np.empty(0, np.float32), -8.0
     buckets, weights, bias = np.frombuffer(model["buckets"], dtype="<i4"), np.frombuffer(model["weights"], dtype="<f4"), model["bias"]
     # Where a class was cut to the bound, the intercept goes back to the true share of toxic rows.
-    used = min(sizes["p"], most_per_class), min(sizes["n"] - sizes["p"], most_per_class)
+    used = min(sizes["p"], most_per_class), min(sizes["n"] - sizes["p"], most_per_class * 3 // 2)
     if min(used) > 0:
         bias += float(np.log(sizes["p"] / used[0]) - np.log((sizes["n"] - sizes["p"]) / used[1]))
     return buckets, weights, bias
