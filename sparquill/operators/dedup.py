@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparquill.operators.staging import salted_join, staged
+
 
 def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key by order. A minimum of structs combines before the shuffle, so a key with very many
@@ -15,13 +17,48 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(packed).alias("_p")).select("_p._row.*")
 
 
-def shared_line_pairs(lines: DataFrame, most_docs: int = 10, least_chars: int = 40) -> DataFrame:
-    """a, b, shared (characters of distinct lines that both documents have), for lines in 2 to most_docs documents."""
+def shared_lines(lines: DataFrame, least_chars: int = 40) -> DataFrame:
+    """doc_id, h, line, n (characters), docs: the distinct lines of each document that docs > 1 documents have."""
     own = lines.where(F.length("line") >= least_chars).select("doc_id", F.xxhash64("line").alias("h"), F.length("line").alias("n"), "line").distinct()
-    some = own.groupBy("h", "line").agg(F.count(F.lit(1)).alias("docs")).where(F.col("docs").between(2, most_docs)).select("h", "line")
-    kept = own.join(some, ["h", "line"]).select("h", "line", "doc_id", "n")
-    other = kept.select("h", "line", F.col("doc_id").alias("b"))
-    return kept.withColumnRenamed("doc_id", "a").join(other, ["h", "line"]).where("a < b").groupBy("a", "b").agg(F.sum("n").alias("shared"))
+    some = own.groupBy("h", "line").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1")
+    return salted_join(own, some, ["h", "line"], "docs", F.col("doc_id")).select("doc_id", "h", "line", "n", "docs")
+
+
+def _meetings(kept: DataFrame, chunk: int = 256) -> DataFrame:
+    """a, b, n for each line that both documents have. A line's documents are dealt over salts of about `chunk`, so its
+    pairs are made by many tasks."""
+    salts = F.ceil(F.col("docs") / chunk)
+    left = kept.select("h", "line", F.col("doc_id").alias("a"), "n", F.pmod(F.xxhash64("doc_id"), salts).alias("_salt"))
+    right = kept.select("h", "line", F.col("doc_id").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("_salt"))
+    return left.join(right, ["h", "line", "_salt"]).where("a < b").select("a", "b", "n")
+
+
+def shared_line_pairs(lines: DataFrame, least_chars: int = 40, least_shared: int = 1) -> DataFrame:
+    """a, b, shared (characters of distinct lines that both documents have, at least least_shared), for lines in any
+    number of documents.
+
+    With a bound on shared, a document's most frequent lines that stay below the bound together can't make a pair by
+    themselves (of the lines of a pair, the rarest is not among them on either side); pairs meet by the other lines
+    only and are then measured over all.
+    """
+    kept = shared_lines(lines, least_chars)
+    if least_shared <= 1:
+        return _meetings(kept).groupBy("a", "b").agg(F.sum("n").alias("shared"))
+    kept = staged(kept, "shared-lines")
+    seeds = kept.withColumn("_weight", F.sum("n").over(W.partitionBy("doc_id").orderBy(F.desc("docs"), "h", "line"))).where(F.col("_weight") >= least_shared)
+    pairs = _meetings(seeds).select("a", "b").distinct()
+    of = kept.groupBy("doc_id").agg(F.collect_list("line").alias("ls"))
+    both = pairs.join(of.select(F.col("doc_id").alias("a"), F.col("ls").alias("la")), "a").join(of.select(F.col("doc_id").alias("b"), F.col("ls").alias("lb")), "b")
+    shared = F.aggregate(F.array_intersect("la", "lb"), F.lit(0).cast("long"), lambda s, x: s + F.length(x))
+    return both.select("a", "b", shared.alias("shared")).where(F.col("shared") >= least_shared)
+
+
+def line_links(lines: DataFrame, least_chars: int = 40) -> DataFrame:
+    """a, b: each line's smallest document with each of its others. They connect what all pairs of shared_line_pairs
+    connect, with a row a document in place of one a pair."""
+    kept = shared_lines(lines, least_chars)
+    first = kept.groupBy("h", "line").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("size"))
+    return salted_join(kept.select("h", "line", F.col("doc_id").alias("b")), first, ["h", "line"], "size", F.col("b")).where("a < b").select("a", "b").distinct()
 
 
 def limited_facts(records: DataFrame, priority: list[Column], most: int = 2) -> tuple[DataFrame, DataFrame]:

@@ -212,13 +212,13 @@ pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(length(a.line))::BIGINT AS sh
 
 @query("D3_shared_line_pairs", f"WITH {_SHARED} SELECT a, b, shared FROM pairs WHERE shared >= 100")
 def d3(spark: SparkSession, sf: str) -> DataFrame:
-    return D.shared_line_pairs(lines(spark, sf)).where("shared >= 100")
+    return D.shared_line_pairs(lines(spark, sf), least_shared=100)
 
 
 @query("D3_block_similarity")
 def d3b(spark: SparkSession, sf: str) -> DataFrame:
     body = table(spark, sf, "documents").select("doc_id", F.filter(F.transform(X.split_lines("text"), X.collapse), lambda x: x != "").alias("ls"))
-    pairs = D.shared_line_pairs(lines(spark, sf)).where("shared >= 100")
+    pairs = D.shared_line_pairs(lines(spark, sf), least_shared=100)
     both = pairs.join(body.selectExpr("doc_id AS a", "ls AS la"), "a").join(body.selectExpr("doc_id AS b", "ls AS lb"), "b")
     m = both.select("a", "b", line_blocks("la", "lb").alias("m")).select("a", "b", "m.*")
     return m.where("matched >= 100 AND coverage >= 0.4").withColumn("confidence", F.when(F.col("coverage") >= 0.98, "high").otherwise("review"))
@@ -245,7 +245,7 @@ def d6(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("D7_components", f"""WITH RECURSIVE {_SHARED}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), r(node, seen) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen) SELECT node, min(seen) AS component FROM r GROUP BY node""")
 def d7(spark: SparkSession, sf: str) -> DataFrame:
-    return connected_components(D.shared_line_pairs(lines(spark, sf)))
+    return connected_components(D.line_links(lines(spark, sf)))
 
 
 @query("D8_facts", f"""WITH {RECORDS}, q AS (SELECT *, row_number() OVER (PARTITION BY trim(regexp_replace(question, '\\s+', ' ', 'g'), ' ') ORDER BY sha256(id::VARCHAR)) AS k FROM rec), u AS (SELECT *, row_number() OVER (PARTITION BY fact_id, family ORDER BY sha256(id::VARCHAR)) AS f FROM q WHERE k = 1), r AS (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY CASE WHEN f = 1 THEN 0 ELSE 1 END, sha256(id::VARCHAR)) AS n FROM u)

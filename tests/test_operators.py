@@ -62,3 +62,13 @@ def test_first_by_and_crossing(spark):
     assert sorted(r["id"] for r in dedup.first_by(df, ["k"], [F.col("o")]).collect()) == [2, 3]
     s = spark.createDataFrame([("x", "train"), ("x", "val"), ("y", "val")], "v string, split string")
     assert [tuple(r) for r in dedup.crossing(s, "v").collect()] == [("x", 2, 2)]
+
+
+def test_shared_lines_of_many_documents(spark):
+    notice, other, own = "a notice that a great many documents carry " * 2, "a second line that some of them carry as well", "a line of one document only, of over 40 characters"
+    texts = {i: [notice] + [other] * (i % 3 == 0) + [f"{own} {i}"] for i in range(1, 41)}
+    want = {(a, b): sum(map(len, set(texts[a]) & set(texts[b]))) for a in texts for b in texts if a < b}
+    rows = spark.createDataFrame([(d, i, x) for d, ls in texts.items() for i, x in enumerate(ls)], "doc_id long, line_no int, line string")
+    for least in (1, 80, 100, 1000):
+        assert {(r["a"], r["b"]): r["shared"] for r in dedup.shared_line_pairs(rows, least_shared=least).collect()} == {k: v for k, v in want.items() if v >= least}
+    assert {tuple(r) for r in connected_components(dedup.line_links(rows)).collect()} == {(i, 1) for i in texts}
