@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -85,6 +86,86 @@ def warmup_cosine(step: Column, warmup: int, total: int, peak: float, least: flo
     return F.when(step < warmup, F.lit(peak) * (step + 1) / F.lit(warmup)).otherwise(F.lit(least) + F.lit(peak - least) * 0.5 * (1 + F.cos(done * math.pi)))
 
 
+class SubstringAutomaton:
+    """The suffix automaton of some texts: its size is linear in them, and texts of any length run through it with one
+    step a character. Of all texts that ran through, it keeps for each state the longest match."""
+
+    def __init__(self, texts: Iterable[str]):
+        self.next: list[dict[str, int]] = [{}]
+        self.link, self.len = [-1], [0]
+        for t in texts:
+            last = 0
+            for c in t:
+                last = self._extend(last, c)
+        self.best = [0] * len(self.len)
+
+    def _extend(self, last: int, c: str) -> int:
+        nxt, link, length = self.next, self.link, self.len
+
+        def split(p: int, q: int) -> int:
+            new = len(length)
+            nxt.append(nxt[q].copy())
+            link.append(link[q])
+            length.append(length[p] + 1)
+            link[q] = new
+            while p >= 0 and nxt[p].get(c) == q:
+                nxt[p][c] = new
+                p = link[p]
+            return new
+
+        q = nxt[last].get(c)
+        if q is not None:  # another text has come this way
+            return q if length[q] == length[last] + 1 else split(last, q)
+        now, p = len(length), last
+        nxt.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        while p >= 0 and c not in nxt[p]:
+            nxt[p][c] = now
+            p = link[p]
+        if p >= 0:
+            q = nxt[p][c]
+            link[now] = q if length[q] == length[p] + 1 else split(p, q)
+        return now
+
+    def run(self, text: str) -> None:
+        nxt, link, length, best = self.next, self.link, self.len, self.best
+        s = n = 0
+        for c in text:
+            t = nxt[s].get(c)
+            if t is None:
+                s = link[s]
+                while s >= 0 and c not in nxt[s]:
+                    s = link[s]
+                if s < 0:
+                    s = n = 0
+                    continue
+                n = length[s]
+                t = nxt[s][c]
+            s = t
+            n += 1
+            if n > best[s]:
+                best[s] = n
+
+    def longest(self, texts: Iterable[str]) -> list[int]:
+        """For each of the automaton's texts, the length of its longest part in the texts that ran through."""
+        own, link, length = self.best.copy(), self.link, self.len
+        by_length = sorted(range(1, len(length)), key=length.__getitem__)
+        for s in reversed(by_length):  # what ended in a state has matched all shorter ends of it
+            if own[s]:
+                own[link[s]] = max(own[link[s]], length[link[s]])
+        for s in by_length:
+            own[s] = max(own[s], own[link[s]])
+        out = []
+        for t in texts:
+            s = most = 0
+            for c in t:
+                s = self.next[s][c]
+                most = max(most, own[s])
+            out.append(most)
+        return out
+
+
 @F.pandas_udf(T.IntegerType())
 def longest_common_substring(a: pd.Series, b: pd.Series) -> pd.Series:
     """The length of the longest common substring, one numpy row of the table at a time."""

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparquill.functions import metrics as M
 from sparquill.functions import text as X
 from sparquill.operators.aggregates import gates
+from sparquill.operators.staging import importable
 from sparquill.plans.registry import query
 from sparquill.sources.tables import RECORDS, records, spread, table
 
@@ -38,18 +41,25 @@ def m4(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("M5_corpus_overlap")
 def m5(spark: SparkSession, sf: str) -> DataFrame:
-    """The longest part of each benchmark item that a document has word for word: grams of 8 meet by an equi join,
-    and matches on one diagonal that follow each other make a run."""
-    g = lambda df, k, t: df.select(k, F.posexplode(M.grams(t, 8)).alias("i", "g"))
-    items = g(table(spark, sf, "benchmark").select("item_id", F.trim("text").alias("text")), "item_id", "text")
-    wanted = items.select("g").distinct()
-    docs = g(spread(table(spark, sf, "documents").select("doc_id", "text")), "doc_id", "text").withColumnRenamed("i", "j").join(wanted, "g", "left_semi")
-    # Grams that many places share extend no match by themselves; places pair up only through rarer ones.
-    rare = docs.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n <= 200").select("g")
-    m = items.join(docs.join(rare, "g"), "g").select("item_id", "doc_id", "i", (F.col("j") - F.col("i")).alias("d")).distinct()
-    order = W.partitionBy("item_id", "doc_id", "d").orderBy("i")
-    runs = m.withColumn("run", F.col("i") - F.row_number().over(order)).groupBy("item_id", "doc_id", "d", "run").agg((F.count(F.lit(1)) + 7).alias("n"))
-    return runs.groupBy("item_id").agg(F.max("n").alias("overlap"))
+    return corpus_overlap(table(spark, sf, "benchmark"), table(spark, sf, "documents"))
+
+
+def corpus_overlap(benchmark: DataFrame, docs: DataFrame, least: int = 8) -> DataFrame:
+    """item_id, overlap: the longest part of each benchmark item that a document has word for word, if it has at least
+    `least` characters. Every document runs through an automaton of the items, so parts that are common in the corpus
+    count like rare ones. Benchmarks are small by nature: the items go along with the tasks."""
+    importable(benchmark.sparkSession)
+    ids, texts = zip(*benchmark.where("text IS NOT NULL").select("item_id", F.trim("text").alias("text")).collect() or [((), ())], strict=True)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = M.SubstringAutomaton(texts)
+        for b in batches:
+            for t in b["text"]:
+                found.run(t or "")
+        yield pd.DataFrame({"item_id": ids, "overlap": found.longest(texts)})
+
+    parts = spread(docs.select("text")).mapInPandas(run, f"item_id {benchmark.schema['item_id'].dataType.simpleString()}, overlap int")
+    return parts.groupBy("item_id").agg(F.max("overlap").alias("overlap")).where(F.col("overlap") >= least)
 
 
 _PAIRS = f"WITH {RECORDS}, p AS (SELECT id, substr(question, 1, 60) AS a, substr(answer, 1, 60) AS b FROM rec)"

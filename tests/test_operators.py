@@ -72,3 +72,16 @@ def test_shared_lines_of_many_documents(spark):
     for least in (1, 80, 100, 1000):
         assert {(r["a"], r["b"]): r["shared"] for r in dedup.shared_line_pairs(rows, least_shared=least).collect()} == {k: v for k, v in want.items() if v >= least}
     assert {tuple(r) for r in connected_components(dedup.line_links(rows)).collect()} == {(i, 1) for i in texts}
+
+
+def test_corpus_overlap_of_common_passages(spark):
+    from sparquill.plans.q_metrics import corpus_overlap
+
+    random.seed(1)
+    part = lambda n: "".join(random.choice("abcd ") for _ in range(n))
+    items = [(i, part(60)) for i in range(6)] + [(6, "zzzzzzz")]
+    texts = [part(30) + items[i % 3][1][i % 5 : 50] + part(10) for i in range(900)] + [items[4][1] + items[3][1][:20], None, ""]
+    whole = "\n".join(t or "" for t in texts)
+    want = {i: max((e - s for s in range(len(t)) for e in range(s + 8, len(t) + 1) if t[s:e] in whole), default=0) for i, t in ((i, t.strip(" ")) for i, t in items)}
+    got = corpus_overlap(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert {r["item_id"]: r["overlap"] for r in got.collect()} == {i: n for i, n in want.items() if n}
