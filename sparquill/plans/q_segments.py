@@ -150,7 +150,7 @@ def g15(spark: SparkSession, sf: str) -> DataFrame:
 @query("G16_missing_numbers", """WITH p AS (SELECT DISTINCT user_id, (epoch(ts)::BIGINT // 3600) AS n FROM events WHERE user_id < 20), g AS (SELECT user_id, unnest(range(min(n), max(n) + 1)) AS n FROM p GROUP BY user_id)
 SELECT g.user_id, count(*) AS n_missing, min(g.n) AS first_missing FROM g ANTI JOIN p USING (user_id, n) GROUP BY g.user_id""")
 def g16(spark: SparkSession, sf: str) -> DataFrame:
-    p = table(spark, sf, "events").where("user_id < 20").select("user_id", F.floor(F.unix_timestamp("ts") / 3600).alias("n")).distinct()
+    p = table(spark, sf, "events").select("user_id", F.floor(F.unix_timestamp("ts") / 3600).alias("n")).distinct()
     g = p.groupBy("user_id").agg(F.min("n").alias("a"), F.max("n").alias("b")).select("user_id", F.explode(F.sequence("a", "b")).alias("n"))
     return g.join(p, ["user_id", "n"], "left_anti").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_missing"), F.min("n").alias("first_missing"))
 

@@ -58,7 +58,7 @@ def b5(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("B6_decode", "SELECT conv_id, turn, text FROM conversations WHERE length(text) BETWEEN 1 AND 400")
 def b6(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations").where("length(text) BETWEEN 1 AND 400")
+    c = table(spark, sf, "conversations")
     v = B.vocabulary(c)
     back = v.agg(F.map_from_entries(F.collect_list(F.struct("token_id", "token"))).alias("_back"))
     e = B.encoded(c, "text", v).crossJoin(F.broadcast(back))

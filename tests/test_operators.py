@@ -85,3 +85,16 @@ def test_corpus_overlap_of_common_passages(spark):
     want = {i: max((e - s for s in range(len(t)) for e in range(s + 8, len(t) + 1) if t[s:e] in whole), default=0) for i, t in ((i, t.strip(" ")) for i, t in items)}
     got = corpus_overlap(spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame([(t,) for t in texts], "text string"))
     assert {r["item_id"]: r["overlap"] for r in got.collect()} == {i: n for i, n in want.items() if n}
+
+
+def test_gaps_and_decoding_of_all_rows(spark, tmp_path):
+    from sparquill.plans.q_segments import g16
+    from sparquill.plans.q_tokens import b6
+
+    hours = [(u, h) for u in (3, 19, 20, 4000) for h in range(u % 7, 12) if (u + h) % 4 or h in (u % 7, 11)]
+    spark.createDataFrame(hours, "user_id long, h long").selectExpr("user_id", "timestamp_seconds(h * 3600 + 5) AS ts").write.parquet(f"{tmp_path}/events.parquet")
+    gaps = {u: sorted(set(range(u % 7, 12)) - {h for v, h in hours if v == u}) for u in (3, 19, 20, 4000)}
+    assert {(r["user_id"], r["n_missing"], r["first_missing"]) for r in g16(spark, str(tmp_path)).collect()} == {(u, len(g), g[0]) for u, g in gaps.items() if g}
+    turns = [(1, 0, ""), (1, 1, "short é漢"), (2, 0, "long 😀 " * 300)]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert sorted(map(tuple, b6(spark, str(tmp_path)).select("conv_id", "turn", "text").collect())) == turns
