@@ -74,27 +74,29 @@ def j7(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("J8_quote_locate", r"""WITH q AS (SELECT item_id, regexp_replace(substr(text, 1, 60), '\s+', '', 'g') AS quote FROM benchmark WHERE length(text) >= 60), d AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS body FROM documents), h AS (SELECT item_id, doc_id, strpos(body, quote) AS place FROM q JOIN d ON contains(body, quote)) SELECT item_id, doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS k FROM h) WHERE k = 1""")
 def j8(spark: SparkSession, sf: str) -> DataFrame:
-    q = located(table(spark, sf, "benchmark").where(F.length("text") >= 60).select("item_id", F.substring("text", 1, 60).alias("quote")), table(spark, sf, "documents"))
+    q = located(table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote")), table(spark, sf, "documents"))
     return q.select("item_id", "doc_id", "place")
 
 
-def located(quotes: DataFrame, docs: DataFrame, gram: int = 16) -> DataFrame:
+def located(quotes: DataFrame, docs: DataFrame, gram: int = 16, most_heads: int = 100_000) -> DataFrame:
     """The first document (least id) that contains each quote (item_id, quote; white space aside), and the place.
 
     Quotes are found by an equi join on the hash of their first characters with the grams of the documents, kept only
-    where a quote begins so; only then is the whole quote compared. Nothing is compared pair by pair.
+    where a quote begins so; only then is the whole quote compared. Nothing is compared pair by pair. A quote that is
+    shorter than gram is its own head; one without characters is not looked for.
     """
     from collections.abc import Iterator
 
     import pandas as pd
 
-    q = quotes.select("item_id", X.compact("quote").alias("quote")).withColumn("head", F.substring("quote", 1, gram))
-    heads = [r["head"] for r in q.select("head").distinct().limit(100_001).collect()]
+    q = quotes.select("item_id", X.compact("quote").alias("quote")).where("quote <> ''").withColumn("head", F.substring("quote", 1, gram))
+    heads = [r["head"] for r in q.select("head").distinct().limit(most_heads + 1).collect()]
     bodies = spread(docs.select("doc_id", X.compact("text").alias("body")))
-    if len(heads) > 100_000:  # beyond a checked size, join on all grams instead of sending the heads along
+    if len(heads) > most_heads:  # beyond a checked size, join on all grams instead of sending the heads along
         from sparquill.functions.metrics import grams
 
-        hits = bodies.select("doc_id", "body", F.explode(F.array_distinct(grams("body", gram))).alias("head"))
+        sizes = sorted(r["n"] for r in q.select(F.length("head").alias("n")).distinct().collect())
+        hits = bodies.select("doc_id", "body", F.explode(F.array_distinct(F.flatten(F.array(*[grams("body", n) for n in sizes])))).alias("head"))
     else:
         import ahocorasick
 
@@ -190,7 +192,7 @@ def j19(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("F6_decontaminate", r"""WITH b AS (SELECT item_id, substr(regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g'), 1, 60) AS p FROM benchmark), d AS (SELECT doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS t FROM documents) SELECT doc_id, min(item_id) AS item_id, count(*) AS n_items FROM d JOIN b ON length(p) = 60 AND contains(t, p) GROUP BY doc_id""")
 def f6(spark: SparkSession, sf: str) -> DataFrame:
-    prompts = table(spark, sf, "benchmark").select("item_id", F.substring(X.alnum_lower("text"), 1, 60).alias("p")).where(F.length("p") == 60)
+    prompts = table(spark, sf, "benchmark").select("item_id", X.alnum_lower("text").alias("p")).where("p <> ''")
     docs = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", X.alnum_lower("text").alias("t"))
     # Benchmarks are small by nature; the optimizer broadcasts them only below its threshold, else this is a shuffle.
     return docs.join(prompts, F.col("t").contains(F.col("p"))).groupBy("doc_id").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n_items"))

@@ -98,3 +98,20 @@ def test_gaps_and_decoding_of_all_rows(spark, tmp_path):
     turns = [(1, 0, ""), (1, 1, "short é漢"), (2, 0, "long 😀 " * 300)]
     spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert sorted(map(tuple, b6(spark, str(tmp_path)).select("conv_id", "turn", "text").collect())) == turns
+
+
+def test_whole_items_are_searched(spark, tmp_path):
+    from sparquill.plans import q_joins
+
+    opening = "An opening that both share, word for word, for well over sixty characters of text: "
+    items = [(0, opening + "the true end."), (1, "Short one!"), (2, "..."), (3, opening + "never copied")]
+    docs = [(10, "x " + opening + "another end. Short one"), (11, f"say: {opening}the TRUE\nend. And short-one?"), (12, "nothing"), (13, "a " + opening + "the true end.")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, q_joins.f6(spark, str(tmp_path)).select("doc_id", "item_id", "n_items").collect())) == [(10, 1, 1), (11, 0, 2), (13, 0, 1)]
+    flat = {d: "".join(t.split()) for d, t in docs}
+    want = {(i, d, flat[d].index(q) + 1) for i, q in ((i, "".join(t.split())) for i, t in items) for d in [min((d for d in flat if q in flat[d]), default=None)] if d}
+    bodies = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {tuple(r) for r in q_joins.j8(spark, str(tmp_path)).collect()} == want and {i for i, *_ in want} == {0}
+    quotes = spark.createDataFrame([(4, "thing"), *items], "item_id long, quote string")
+    assert all({tuple(r) for r in q_joins.located(quotes, bodies, most_heads=n).collect()} == want | {(4, 12, 3)} for n in (1, 100))
