@@ -115,3 +115,18 @@ def test_whole_items_are_searched(spark, tmp_path):
     assert {tuple(r) for r in q_joins.j8(spark, str(tmp_path)).collect()} == want and {i for i, *_ in want} == {0}
     quotes = spark.createDataFrame([(4, "thing"), *items], "item_id long, quote string")
     assert all({tuple(r) for r in q_joins.located(quotes, bodies, most_heads=n).collect()} == want | {(4, 12, 3)} for n in (1, 100))
+
+
+def test_whole_answers_are_scored(spark, tmp_path):
+    from difflib import SequenceMatcher
+
+    from sparquill.plans import q_metrics
+
+    pairs = [("q" * 60 + "the same long ending", "a" * 70 + "the same long ending"), ("b" * 60 + "one", "b" * 60 + "two"), ("same", "Same")]
+    turns = [(c, t, ("user", "assistant")[t], x) for c, p in enumerate(pairs) for t, x in enumerate(p)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert {r["id"]: r["common"] for r in q_metrics.m6(spark, str(tmp_path)).collect()} == {0: 20, 1000: 60, 2000: 3}
+    shared = lambda a, b: 2 * sum(min(a.count(c), b.count(c)) for c in set(a)) / (len(a) + len(b))
+    f1 = {r["id"]: (round(r["f1"], 9), r["exact"]) for r in q_metrics.m10(spark, str(tmp_path)).collect()}
+    assert f1 == {1000 * i: (round(shared(a, b), 9), a.lower() == b.lower()) for i, (a, b) in enumerate(pairs)}
+    assert {r["id"]: r["ratio"] for r in q_metrics.m11(spark, str(tmp_path)).collect()} == {1000 * i: SequenceMatcher(None, a, b, autojunk=False).ratio() for i, (a, b) in enumerate(pairs)}
