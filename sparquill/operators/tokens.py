@@ -6,6 +6,7 @@ import heapq
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparquill.functions.text import chars, let
+from sparquill.operators.staging import importable, staged
 
 IGNORED = -100
 
@@ -101,11 +103,100 @@ def apply_merges(text: str, rank: dict[tuple[str, str], int]) -> list[str]:
     return tokens
 
 
-def piece_counts(texts: DataFrame, column: str = "text", most: int = 200_000) -> Counter[str]:
-    """The most frequent white-space separated pieces, counted over all texts in the cluster; only this bounded table
-    comes to the driver, where merges are learnt."""
-    rows = texts.select(F.explode(F.split(F.col(column), r"\s+")).alias("p")).where("p <> ''").groupBy("p").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "p").limit(most).collect()
-    return Counter({r["p"]: r["n"] for r in rows})
+def learnt_merges(texts: DataFrame, merges: int, column: str = "text", least: int = 2, top: int = 512, restage: int = 25) -> list[tuple[str, str]]:
+    """learn_merges over all white-space separated pieces of all texts. The pieces stay in the cluster, as blocks of
+    code points (tokens made have ids above them); only the `top` most frequent pairs of each round come to the driver.
+
+    A round takes as many merges as are sure to be next one by one: down the order by count, while no pair shares a
+    character or token with the side of an earlier one where it could touch it, and while no count is tied. A merge's
+    new pairs are at most as frequent as pairs that are still further down then.
+    """
+    importable(texts.sparkSession)
+    pieces = texts.select(F.explode(F.split(F.col(column), r"\s+")).alias("p")).where("p <> ''").groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+
+    def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                ids = np.frombuffer(("\n".join(b["p"]) + "\n").encode("utf-32-le"), "<i4")
+                yield pd.DataFrame({"ids": [ids.tobytes()], "n": [b["n"].to_numpy(np.int64).tobytes()]})
+
+    def merged(ids: np.ndarray, todo: list[tuple[int, int, int]]) -> np.ndarray:
+        for a, b, new in todo:
+            at = np.flatnonzero((ids[:-1] == a) & (ids[1:] == b))
+            if a == b and len(at):  # of a run's places, every other one from its start
+                start = np.r_[True, np.diff(at) != 1]
+                at = at[(np.arange(len(at)) - np.flatnonzero(start)[np.cumsum(start) - 1]) % 2 == 0]
+            if len(at):
+                ids = ids.copy()
+                ids[at] = new
+                ids = np.delete(ids, at + 1)
+        return ids
+
+    def run(todo: list[tuple[int, int, int]], count: bool):
+        def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                for raw, n in zip(rows["ids"], rows["n"], strict=True):
+                    ids = merged(np.frombuffer(raw, "<i4"), todo)
+                    if not count:
+                        yield pd.DataFrame({"ids": [ids.tobytes()], "n": [n]})
+                        continue
+                    ends = ids == 10
+                    weight = np.frombuffer(n, np.int64)[np.minimum(np.cumsum(ends) - ends, len(n) // 8 - 1)]
+                    inner = ~(ends[:-1] | ends[1:])
+                    keys, place = np.unique((ids[:-1].astype(np.int64) << 24 | ids[1:])[inner], return_inverse=True)
+                    total = np.zeros(len(keys), np.int64)
+                    np.add.at(total, place, weight[:-1][inner])
+                    yield pd.DataFrame({"pair": keys, "n": total})
+
+        return step
+
+    table = staged(pieces.mapInPandas(block, "ids binary, n binary"), "bpe-pieces")
+    names: dict[int, str] = {}
+    name = lambda i: names[i] if i > 0x10FFFF else chr(i)
+    out: list[tuple[str, str]] = []
+    made: set[str] = set()
+    blocked: list[int] = []
+    todo: list[tuple[int, int, int]] = []
+    rounds = 0
+    while len(out) < merges:
+        counts = table.mapInPandas(run(todo, True), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        rows = counts.orderBy(F.desc("n")).limit(top + len(blocked)).collect()
+        if len(rows) == top + len(blocked):  # all of the last count, or none of them
+            last = rows[-1]["n"]
+            rows = [r for r in rows if r["n"] > last] or counts.where(F.col("n") == last).collect()
+        pairs = sorted((-r["n"], name(r["pair"] >> 24), name(r["pair"] & 0xFFFFFF), r["pair"]) for r in rows)
+        lefts: set[int] = set()
+        rights: set[int] = set()
+        before = len(out)
+        for k, (n, x, y, pair) in enumerate(pairs):
+            a, b = pair >> 24, pair & 0xFFFFFF
+            if len(out) > before and (a in rights or b in lefts or len(out) == merges):
+                break
+            touches = a in {p & 0xFFFFFF for *_, p in pairs[:k]} or b in {p >> 24 for *_, p in pairs[:k]}
+            tied = k + 1 == len(pairs) or pairs[k + 1][0] == n
+            if x + y in made:  # a token that is there already is not made again
+                if pair not in blocked:
+                    blocked.append(pair)
+                continue
+            if len(out) > before and tied:
+                break
+            new = 0x110000 + len(names)
+            names[new] = x + y
+            made.add(x + y)
+            out.append((x, y))
+            todo.append((a, b, new))
+            lefts.add(a)
+            rights.add(b)
+            if a == b or touches or tied:
+                break
+        if len(out) == before:
+            if len(rows) < top:
+                break
+            top *= 2  # only pairs that are not made again
+        rounds += 1
+        if rounds % restage == 0:
+            table, todo = staged(table.mapInPandas(run(todo, False), "ids binary, n binary"), "bpe-pieces"), []
+    return out
 
 
 def bpe_encoded(df: DataFrame, column: str, merges: list[tuple[str, str]]) -> DataFrame:

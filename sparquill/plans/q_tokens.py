@@ -42,7 +42,7 @@ def b3(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _merges(spark: SparkSession, sf: str, n: int = 300) -> list[tuple[str, str]]:
-    return B.learn_merges(B.piece_counts(_docs_split(spark, sf).where("split = 'train'")), n)
+    return B.learnt_merges(_docs_split(spark, sf).where("split = 'train'"), n)
 
 
 @query("B4_learn_bpe")

@@ -130,3 +130,14 @@ def test_whole_answers_are_scored(spark, tmp_path):
     f1 = {r["id"]: (round(r["f1"], 9), r["exact"]) for r in q_metrics.m10(spark, str(tmp_path)).collect()}
     assert f1 == {1000 * i: (round(shared(a, b), 9), a.lower() == b.lower()) for i, (a, b) in enumerate(pairs)}
     assert {r["id"]: r["ratio"] for r in q_metrics.m11(spark, str(tmp_path)).collect()} == {1000 * i: SequenceMatcher(None, a, b, autojunk=False).ratio() for i, (a, b) in enumerate(pairs)}
+
+
+def test_merges_of_all_pieces(spark):
+    from collections import Counter
+
+    random.seed(2)
+    for letters, n in (("ab", 40), ("abcdefgh", 400)):
+        texts = [" ".join("".join(random.choice(letters) for _ in range(random.randint(1, 8))) for _ in range(n)) + " é漢😀" for _ in range(4)]
+        want = tokens.learn_merges(Counter(" ".join(texts).split()), 40)
+        df = spark.createDataFrame([(t,) for t in texts], "text string")
+        assert tokens.learnt_merges(df, 40) == tokens.learnt_merges(df, 40, top=8, restage=3) == want
