@@ -2,34 +2,63 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PACKAGE_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 _own_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a session that is one process (master
+    local[...], as in tests) may leave it unset and gets a folder of its own; elsewhere that is an error, since a
+    machine's own folder is not seen by the others."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    app = spark.sparkContext.applicationId
+    context = spark.sparkContext
+    if not _one_process(context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = context.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="sparquill-")
     return _own_dirs[app]
 
 
+def _one_process(master: str) -> bool:
+    return master == "local" or master.startswith("local[")
+
+
 def importable(spark: SparkSession) -> None:
-    """Lets Python workers import this package also where only the driver's sys.path has it."""
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if PACKAGE_ROOT not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([*paths, PACKAGE_ROOT])
+    """Lets Python workers import this package also where only the driver's sys.path has it: in one process by the
+    path, on a cluster by a zip of the package that Spark sends to every executor (once for each application)."""
+    context = spark.sparkContext
+    if _one_process(context.master):
+        env = context.environment
+        paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+        if PACKAGE_ROOT not in paths:
+            env["PYTHONPATH"] = os.pathsep.join([*paths, PACKAGE_ROOT])
+    elif context.applicationId not in _shipped:
+        package = os.path.basename(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, names in os.walk(os.path.join(PACKAGE_ROOT, package)):
+                for name in sorted(n for n in names if n.endswith(".py")):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, PACKAGE_ROOT))
+        with tempfile.TemporaryDirectory() as own:  # the driver's file server keeps its copy
+            path = os.path.join(own, f"{package}.zip")
+            with open(path, "wb") as f:
+                f.write(data.getvalue())
+            context.addPyFile(path)
+        _shipped.add(context.applicationId)
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:

@@ -141,3 +141,10 @@ def test_merges_of_all_pieces(spark):
         want = tokens.learn_merges(Counter(" ".join(texts).split()), 40)
         df = spark.createDataFrame([(t,) for t in texts], "text string")
         assert tokens.learnt_merges(df, 40) == tokens.learnt_merges(df, 40, top=8, restage=3) == want
+
+
+def test_components_by_contraction_and_in_one_task_agree(spark):
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(rng.randrange(400), rng.randrange(400)) for _ in range(300)], "a long, b long")
+    whole, rounds = (sorted(map(tuple, connected_components(edges, one_task=n).collect())) for n in (1 << 20, 0))
+    assert whole == rounds
