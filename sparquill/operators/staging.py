@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import io
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -53,11 +55,12 @@ def importable(spark: SparkSession) -> None:
                 for name in sorted(n for n in names if n.endswith(".py")):
                     full = os.path.join(folder, name)
                     z.write(full, os.path.relpath(full, PACKAGE_ROOT))
-        with tempfile.TemporaryDirectory() as own:  # the driver's file server keeps its copy
-            path = os.path.join(own, f"{package}.zip")
-            with open(path, "wb") as f:
-                f.write(data.getvalue())
-            context.addPyFile(path)
+        own = tempfile.mkdtemp(prefix="sparquill-")  # the driver's file server reads it as executors come and go
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        path = os.path.join(own, f"{package}.zip")
+        with open(path, "wb") as f:
+            f.write(data.getvalue())
+        context.addPyFile(path)
         _shipped.add(context.applicationId)
 
 
