@@ -13,6 +13,9 @@ from sparquill.llm.common import binary_list, importable, salted_join, slices, s
 from sparquill.operators.components import connected_components
 
 BITS, DISTANCE, SEED = 64, 3, 42
+#: Children of a node, as a power of two; codes of a shard, as a power of two (then 40 MB of index); and as many shards
+#: as there are tasks, up to LEAST_SHARDS, even if they are smaller.
+FAN_OUT_BITS, SHARD_BITS, LEAST_SHARDS = 2, 20, 64
 
 
 def fingerprint_of(text: bytes, size: int = 3) -> int:
@@ -30,17 +33,18 @@ def fingerprint_of(text: bytes, size: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) for each row of docs."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, row_col: str | None = None) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and, if given, row_col for each row of docs."""
     importable(docs.sparkSession)
-    frame = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    also = [row_col] if row_col else []
+    frame = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"), *also)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = np.fromiter((fingerprint_of(t, size) for t in binary_list(batch.column("text"))), dtype=np.uint64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64)), *(batch.column(c) for c in also)], ["doc_id", "fp", *also])
 
-    return frame.mapInArrow(run, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, fp long")
+    return frame.mapInArrow(run, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, fp long" + f", `{row_col}` long" * len(also))
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -51,14 +55,6 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _cross(first_a: np.ndarray, n_a: np.ndarray, first_b: np.ndarray, n_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All pairs of children of each pair of nodes: which pair, child of a, child of b."""
-    n = n_a * n_b
-    pair = np.repeat(np.arange(len(n)), n)
-    i = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return pair, first_a[pair] + i // n_b[pair], first_b[pair] + i % n_b[pair]
-
-
 def _lowest(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
     """Labels of n points after merging the pairs (a, b)."""
     while True:
@@ -70,110 +66,171 @@ def _lowest(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarr
             return label
 
 
-def linked_in_groups(group: np.ndarray, codes: np.ndarray, distance: int = DISTANCE, step: int = 8, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Links (code, smallest code reachable) within groups of distinct codes, through a Gray-order index.
+class GrayIndex:
+    """A hierarchy of masked bit patterns over items in Gray order.
 
-    Codes of a group are sorted by Gray rank; there, codes that share their upper bits are neighbours. Level l of the
-    index has one node for each run that shares its upper 8(l+1) bits; the node holds the pattern of its own 8 bits,
-    so a shared pattern is compared once for all below it. A search takes pairs of nodes down the levels with the
-    differences accumulated so far, and drops a whole pair of groups once they exceed the distance. At most about
-    `most` pairs of nodes are held at once. Pairs that reach the leaves merge labels at once, none is kept.
+    An item is a value and a mask of the bits that it fixes (a code fixes all). A node stands for 2^FAN_OUT_BITS
+    neighbours of the level below; its pattern is all bits, at any positions, that these fix alike. A bit is factored
+    out into the uppermost node that holds it: below, a node compares only its residual bits. A search takes queries
+    down the levels with the differences that they have accumulated, and drops a whole group once they exceed the
+    distance; a pattern that many items share is so compared once for all of them.
     """
-    order = np.lexsort((gray_rank(codes), group))
-    group, codes = group[order], codes[order]
-    n, levels = len(codes), BITS // step
-    heads, seg = [], []
-    for level in range(levels):
-        top = codes >> np.uint64(BITS - step * (level + 1))
-        new = np.ones(n, bool)
-        new[1:] = (top[1:] != top[:-1]) | (group[1:] != group[:-1])
-        at = np.flatnonzero(new)
-        heads.append(at)
-        seg.append((top[at] & np.uint64((1 << step) - 1)).astype(np.int64))
-    bits = np.array([bin(i).count("1") for i in range(1 << step)], np.int8)
-    edge = [np.searchsorted(heads[i + 1], np.append(heads[i], n)) for i in range(levels - 1)]  # first child of each node
-    new = np.ones(n, bool)
-    new[1:] = group[1:] != group[:-1]
-    root = np.searchsorted(heads[0], np.append(np.flatnonzero(new), n))
-    label = np.arange(n)
 
-    def down(level: int, a: np.ndarray, b: np.ndarray, spent: np.ndarray, first: np.ndarray) -> None:
-        nonlocal label
-        counts = first[a + 1] - first[a], first[b + 1] - first[b]
-        work = np.cumsum(counts[0] * counts[1])
-        start = 0
-        while start < len(a):
-            stop = max(start + 1, int(np.searchsorted(work, (work[start - 1] if start else 0) + most, "right")))
-            s = slice(start, stop)
-            pair, x, y = _cross(first[a[s]], counts[0][s], first[b[s]], counts[1][s])
-            d = spent[s][pair] + bits[seg[level][x] ^ seg[level][y]]
-            ok = (d <= distance) & (x <= y)
-            x, y, d = x[ok], y[ok], d[ok]
-            if level == levels - 1:
-                apart = label[x] != label[y]
-                if apart.any():
-                    label = _lowest(n, x[apart], y[apart], label)
-            elif len(x):
-                down(level + 1, x, y, d, edge[level])
-            start = stop
-
-    roots = np.arange(len(root) - 1)
-    down(0, roots, roots, np.zeros(len(roots), np.int8), root)
+    def __init__(self, values: np.ndarray, masks: np.ndarray | None = None):
+        masks = np.full(len(values), ~np.uint64(0)) if masks is None else masks
+        self.values, self.residual = [values & masks], []
+        whole = [masks]
+        while len(self.values[-1]) > 1 << FAN_OUT_BITS:
+            v, m = self.values[-1], whole[-1]
+            at = np.arange(0, len(v), 1 << FAN_OUT_BITS)
+            parent = np.arange(len(v)) >> FAN_OUT_BITS
+            differs = np.bitwise_or.reduceat((v ^ v[at][parent]) & m, at)
+            shared = np.bitwise_and.reduceat(m, at) & ~differs
+            self.residual.append(m & ~shared[parent])
+            self.values.append(v[at] & shared)
+            whole.append(shared)
+        self.residual.append(whole[-1])
+
+    def search(self, q: np.ndarray, distance: int, after: np.ndarray | None = None, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (query, item) that may differ in at most `distance` bits (exactly those if items are codes), in
+        parts; with `after`, only items of a higher number than the query's. Holds some `most` pairs for each level."""
+        top = len(self.values) - 1
+
+        def near(level: int, qi: np.ndarray, node: np.ndarray, spent: np.ndarray | int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            spent = spent + np.bitwise_count((q[qi] ^ self.values[level][node]) & self.residual[level][node])
+            ok = spent <= distance
+            if after is not None:
+                ok &= ((node + 1) << FAN_OUT_BITS * level) - 1 > after[qi]
+            return qi[ok], node[ok], spent[ok]
+
+        def down(level: int, qi: np.ndarray, node: np.ndarray, spent: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            if level == 0:
+                if len(qi):
+                    yield qi, node
+                return
+            for i in range(0, len(qi), most >> FAN_OUT_BITS):
+                part = slice(i, i + (most >> FAN_OUT_BITS))
+                child = ((node[part] << FAN_OUT_BITS)[:, None] + np.arange(1 << FAN_OUT_BITS)).ravel()
+                there = child < len(self.values[level - 1])
+                up = [np.repeat(x[part], 1 << FAN_OUT_BITS)[there] for x in (qi, spent)]
+                yield from down(level - 1, *near(level - 1, up[0], child[there], up[1]))
+
+        roots = np.arange(len(self.values[top]))
+        step = max(1, most // max(1, len(roots)))
+        for i in range(0, len(q), step):
+            qi = np.arange(i, min(i + step, len(q)))
+            yield from down(top, *near(top, np.repeat(qi, len(roots)), np.tile(roots, len(qi)), 0))
+
+
+def shard_links(own: np.ndarray, others: Iterator[np.ndarray], distance: int = DISTANCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (code, code of `own`) that join all of own and others that differ in at most `distance` bits from a code
+    of own. At most one link for each code: pairs merge labels at once and are not kept."""
+    own = own[np.argsort(gray_rank(own), kind="stable")]
+    index, n = GrayIndex(own), len(own)
+    label = np.arange(n)
+    for qi, item in index.search(own, distance, np.arange(n)):
+        apart = label[qi] != label[item]
+        if apart.any():
+            label = _lowest(n, qi[apart], item[apart], label)
+    for q in others:
+        both = np.concatenate([label, np.arange(n, n + len(q))])
+        for qi, item in index.search(q, distance):
+            apart = both[qi + n] != both[item]
+            if apart.any():
+                both = _lowest(len(both), qi[apart] + n, item[apart], both)
+        label = both[:n]  # a label is the least number, so always one of own
+        linked = np.flatnonzero(both[n:] < n)
+        if len(linked):
+            yield q[linked], own[both[n:][linked]]
     linked = np.flatnonzero(label != np.arange(n))
-    return codes[linked], codes[label[linked]]
+    if len(linked):
+        yield own[linked], own[label[linked]]
 
 
-def fingerprint_links(codes: DataFrame) -> DataFrame:
+def fingerprint_links(codes: DataFrame, least_shards: int = LEAST_SHARDS) -> DataFrame:
     """Links (a, b) that join all fingerprints (distinct, column fp) at DISTANCE or fewer bits, directly or in steps.
 
-    With at most three differing bits, one of four 16-bit blocks is equal, and of the other 48 bits one of four
-    12-bit blocks; so two codes that link meet in at least one of 16 groups of equal 28 bits. Groups are dealt over
-    all tasks; each task searches its groups through the Gray-order index. No pair is lost and none is enumerated
-    into the result: a task reports at most one link for each code and group.
+    The codes are range-sorted by Gray rank into shards, written once. The masked pattern of each shard (one row a
+    shard) forms the upper part of the index, which all tasks get; a code goes down it to the shards that may hold a
+    neighbour, of those that come after its own, and each shard's task searches the lower part for all codes that
+    reach it. So all codes are searched through the one hierarchy, pairs are never rows, and a code goes to some
+    B^3 / 12 shards if there are 2^B of them (B = 6 up to 64 million codes).
     """
-    importable(codes.sparkSession)
-    parts = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    upper = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.expr(f"shiftrightunsigned(fp, {16 * i}) & 65535").alias("v"), F.expr(f"(shiftrightunsigned(shiftrightunsigned(fp, {8 * (i + 1)}), {8 * (i + 1)}) << {16 * i}) | (fp & {(1 << 16 * i) - 1})").alias("rest")) for i in range(4)])).alias("u")
-    lower = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), F.expr(f"shiftrightunsigned(u.rest, {12 * j}) & 4095").alias("w")) for j in range(4)])).alias("l")
-    keyed = codes.select("fp", upper).select("fp", F.col("u.i").alias("i"), F.col("u.v").alias("v"), lower).select("fp", ((((F.col("i") * 4 + F.col("l.j")) * 65536) + F.col("v")) * 4096 + F.col("l.w")).cast("long").alias("bucket"))
-    dealt = keyed.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    spark = codes.sparkSession
+    importable(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n_shards = max(codes.count() >> SHARD_BITS, min(parts, least_shards), 1)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def flush(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held
-            bucket, fp = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
-            cut = len(bucket) if last else int(np.searchsorted(bucket, bucket[-1]))
-            held = [(bucket[cut:], fp[cut:])]
-            if cut:
-                a, b = linked_in_groups(bucket[:cut], fp[:cut].view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+    def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rank = gray_rank(batch.column("fp").to_numpy().view(np.uint64)) ^ np.uint64(1 << 63)  # in the order of signed longs
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(rank.view(np.int64))], ["fp", "rank"])
+
+    shards = staged(codes.select("fp").mapInArrow(ranked, "fp long, rank long").repartitionByRange(n_shards, "rank").select("fp", F.spark_partition_id().alias("shard")), "simhash-shards")
+    roots = sorted(shards.groupBy("shard").agg(F.expr("bit_and(fp)").alias("all"), F.expr("bit_or(fp)").alias("any")).collect())
+    if not roots:
+        return spark.createDataFrame([], "a long, b long")
+    number = np.array([r["shard"] for r in roots], np.int32)
+    every, some = (np.array([r[c] for r in roots], np.int64).view(np.uint64) for c in ("all", "any"))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upper = GrayIndex(every, ~(every ^ some))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fp, shard = batch.column("fp").to_numpy(), batch.column("shard").to_numpy()
+            own = np.searchsorted(number, shard)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(np.zeros(len(fp), np.int8)), pa.array(fp)], ["shard", "guest", "fp"])
+            for qi, item in upper.search(fp.view(np.uint64), DISTANCE, own):
+                yield pa.RecordBatch.from_arrays([pa.array(number[item]), pa.array(np.ones(len(qi), np.int8)), pa.array(fp[qi])], ["shard", "guest", "fp"])
+
+    routed = shards.mapInArrow(route, "shard int, guest byte, fp long").repartitionById(int(number[-1]) + 1, F.col("shard")).sortWithinPartitions("guest")
 
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def guests(first: list[np.ndarray]) -> Iterator[np.ndarray]:
+            held = first
+            for batch in batches:
+                held.append(batch.column("fp").to_numpy().view(np.uint64))
+                if sum(map(len, held)) >= 1 << 17:
+                    yield np.concatenate(held)
+                    held = []
+            if held:
+                yield np.concatenate(held)
+
+        own: list[np.ndarray] = []
+        late: list[np.ndarray] = []
         for batch in batches:
-            if batch.num_rows:
-                held.append((batch.column("bucket").to_numpy(), batch.column("fp").to_numpy()))
-                if sum(len(x[0]) for x in held) >= 200_000:
-                    yield from flush(False)
-        if held:
-            yield from flush(True)
+            fp, own_rows = batch.column("fp").to_numpy().view(np.uint64), int((batch.column("guest").to_numpy() == 0).sum())
+            own.append(fp[:own_rows])
+            if own_rows < len(fp):
+                late.append(fp[own_rows:])
+                break
+        if own:
+            for a, b in shard_links(np.concatenate(own), guests(late)):
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
-    return dealt.mapInArrow(search, "a long, b long")
+    return routed.mapInArrow(search, "a long, b long")
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3) -> DataFrame:
-    """The near-duplicate component of every document: doc_id, fingerprint, component_id.
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, row_col: str | None = None) -> DataFrame:
+    """The near-duplicate component of every document: doc_id, fingerprint, component_id; with row_col (unique longs
+    of docs) also that column and first: whether the row is the one of its component that stays, that of the smallest
+    doc_id (null last), of rows that repeat it the one with the smallest row_col.
 
     Fingerprints are made once and staged; equal ones are one node of the graph, however many documents have them.
     Defined cases: null, empty and white texts have fingerprint zero and link like any other; texts of fewer than
     `size` words count as one shingle; component_id is the smallest doc_id that is not null (null if none is);
     repeated rows give a row each. Other columns are ignored.
     """
-    marked = staged(fingerprints(docs, id_col, text_col, size), "simhash")
-    codes = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "simhash-codes")
+    marked = staged(fingerprints(docs, id_col, text_col, size, row_col), "simhash")
+    order = ["doc_id", *([row_col] if row_col else [])]
+    low = F.min(F.struct(F.col("doc_id").isNull().alias("none"), *order)).alias("low")
+    codes = staged(marked.groupBy("fp").agg(low, F.count(F.lit(1)).alias("n")), "simhash-codes")
     parts = connected_components(fingerprint_links(codes.select("fp")))
     known = codes.join(parts.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "low", "n", F.coalesce("component", "fp").alias("component"))
     known = staged(known, "simhash-known")
-    lows = known.groupBy("component").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("codes"))
-    full = salted_join(known, lows, ["component"], "codes", F.col("fp")).select("fp", "n", "component_id")
-    return salted_join(marked, full, ["fp"], "n", F.monotonically_increasing_id()).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    lows = known.groupBy("component").agg(F.min("low").alias("low"), F.count(F.lit(1)).alias("codes"))
+    full = salted_join(known.drop("low"), lows, ["component"], "codes", F.col("fp")).select("fp", "n", "low")
+    out = salted_join(marked, full, ["fp"], "n", F.monotonically_increasing_id())
+    also = [F.col(row_col), (F.col(row_col) == F.col(f"low.{row_col}")).alias("first")] if row_col else []
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("low.doc_id").alias("component_id"), *also)
