@@ -6,9 +6,11 @@ import codecs
 import hashlib
 import heapq
 import json
+import re
+from array import array
 from collections.abc import Iterable, Iterator
+from itertools import islice
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -19,7 +21,30 @@ from sparquill.llm.common import importable, slices
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Between a character that is no white space and one that is, the pattern above always cuts.
 SEGMENT = r"\s*\S+|\s+"
-CACHE = 400_000
+CACHE = 250_000
+#: Characters of text whose segments are cut at once, and those of a segment that leaves in parts.
+CHUNK, LONG = 1 << 16, 1 << 12
+
+
+class Memo(dict):
+    """A bounded memo: entries live in two generations of CACHE, and those used again move to the younger."""
+
+    def __init__(self):
+        super().__init__()
+        self.older: dict = {}
+
+    def put(self, key: str, value: object) -> None:
+        if len(self) >= CACHE:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+
+    def again(self, key: str) -> object:
+        """What get(), which looks at the younger generation only, may have missed."""
+        found = self.older.get(key)
+        if found is not None:
+            self.put(key, found)
+        return found
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -48,7 +73,7 @@ def sufficient_lookahead(merged: Iterable[str]) -> int:
 
 
 class Transducer:
-    """Encodes text to ids and back. Works piece by piece; what it holds is bounded by the lookahead and CACHE."""
+    """Encodes text to ids and back; what it holds is bounded by CHUNK, the lookahead and CACHE."""
 
     def __init__(self, spec: bytes):
         model = json.loads(spec)
@@ -65,20 +90,25 @@ class Transducer:
         self.split = regex.compile(SPLIT)
         self.segment = regex.compile(SEGMENT)
         self.marks = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.segments: dict[str, tuple[str, bytes]] = {}
+        self.plain_segment, self.odd = re.compile(SEGMENT), re.compile("[\x1c-\x1f]")
+        self.edge = re.compile("(?<=[^\\s\x1c-\x1f])[^\\S\x1c-\x1f]")
+        self.loose = any("<" not in t for t in self.special)
+        self.known, self.segments = Memo(), Memo()
 
     def _short(self, data: bytes) -> list[int]:
-        ids, merge = [self.first[b] for b in data], self.merge
-        while len(ids) > 1:
-            best, at = None, -1
-            for i in range(len(ids) - 1):
-                m = merge.get(ids[i] << 20 | ids[i + 1])
-                if m is not None and (best is None or m < best):
-                    best, at = m, i
-            if best is None:
+        ids, get, none = [self.first[b] for b in data], self.merge.get, 1 << 60
+        ranks = [get(a << 20 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == none:
                 break
-            ids[at : at + 2] = [best & 0xFFFFF]
+            i = ranks.index(best)
+            ids[i] = best & 0xFFFFF
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << 20 | ids[i + 1], none)
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 20 | ids[i], none)
         return ids
 
     def _whole(self, data: bytes) -> list[int]:
@@ -118,29 +148,87 @@ class Transducer:
                 held = held[done:]
         yield from self._whole(held)
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        ids = self.known.get(piece)
+    def _piece(self, piece: str) -> Iterator[list[int]] | tuple[list[int]]:
+        """The ids of a piece, in parts: a long one leaves the stream bit by bit."""
+        ids = self.known.get(piece) or self.known.again(piece)
         if ids is None:
             data = piece.encode()
             if len(data) > 2 * self.lookahead:
-                return tuple(self.stream(data[i : i + self.lookahead] for i in range(0, len(data), self.lookahead)))
-            ids = tuple(self._whole(data))
+                ids = self.stream(data[i : i + self.lookahead] for i in range(0, len(data), self.lookahead))
+                return iter(lambda: list(islice(ids, 4096)), [])
+            ids = self._whole(data)
             if len(piece) < 64:
-                if len(self.known) >= CACHE:
-                    self.known.clear()
-                self.known[piece] = ids
-        return ids
-
-    def _plain(self, text: str) -> list[int]:
-        return [t for p in self.split.findall(text) for t in self._piece(p)]
-
-    def encode_segment(self, segment: str) -> list[int]:
-        if self.marks is None or "<" not in segment and not self.marks.search(segment):
-            return self._plain(segment)
-        return [t for part in self.marks.split(segment) if part for t in ([self.special[part]] if part in self.special else self._plain(part))]
+                self.known.put(piece, ids)
+        return (ids,)
+
+    def _plain(self, text: str) -> Iterator[list[int]]:
+        for p in self.split.finditer(text):
+            yield from self._piece(p.group())
+
+    def _marked(self, segment: str) -> bool:
+        """Whether a special token's string may stand in it."""
+        return self.marks is not None and (self.loose or "<" in segment) and self.marks.search(segment) is not None
+
+    def encode_segment(self, segment: str) -> Iterator[list[int]]:
+        """The ids of a segment, in parts."""
+        if not self._marked(segment):
+            yield from self._plain(segment)
+            return
+        at = 0
+        for m in self.marks.finditer(segment):
+            yield from self._plain(segment[at : m.start()])
+            yield [self.special[m.group()]]
+            at = m.end()
+        yield from self._plain(segment[at:])
+
+    def _segment(self, segment: str) -> list[int]:
+        """The ids of a segment that isn't long, at once."""
+        if self._marked(segment):
+            return [t for ids in self.encode_segment(segment) for t in ids]
+        out: list[int] = []
+        for p in self.split.findall(segment):
+            ids = self.known.get(p)
+            if ids is None:
+                ids = [t for part in self._piece(p) for t in part]
+            out += ids
+        return out
+
+    def _chunks(self, text: str) -> Iterator[list[str]]:
+        """The segments of some CHUNK characters at a time; a chunk ends where a segment does."""
+        at = 0
+        while at < len(text):
+            cut = self.edge.search(text, at + CHUNK)
+            end = cut.start() if cut else len(text)
+            part = text[at:end] if at or cut else text
+            # re counts U+001C to U+001F as white space, the split pattern's alphabet doesn't; otherwise they agree.
+            yield (self.segment if self.odd.search(part) else self.plain_segment).findall(part)
+            at = end
+
+    def encode_blocks(self, text: str) -> Iterator[tuple[str, bytes]]:
+        """A text's ids block by block, as decimals joined by commas and as little-endian longs. All that is held is
+        a chunk of segments, the stream's lookahead and the memo: constant, whatever the text's length."""
+        pack = lambda ids: (",".join(map(str, ids)), array("I", ids).tobytes())
+        find = self.segments.get
+        for chunk in self._chunks(text):
+            out: list[tuple[str, bytes]] = []
+            for s in chunk:
+                got = find(s) or self.segments.again(s)
+                if got is None:
+                    if len(s) >= LONG:
+                        if out:
+                            yield ",".join([x[0] for x in out]), b"".join([x[1] for x in out])
+                            out = []
+                        yield from map(pack, filter(None, self.encode_segment(s)))
+                        continue
+                    got = pack(self._segment(s))
+                    if len(s) < 64:
+                        self.segments.put(s, got)
+                out.append(got)
+            if out:
+                yield ",".join([x[0] for x in out]), b"".join([x[1] for x in out])
 
     def encode(self, text: str) -> list[int]:
-        return [t for s in self.segment.findall(text) for t in self.encode_segment(s)]
+        return [t for _, raw in self.encode_blocks(text) for t in array("I", raw)]
 
     def decode(self, ids: Iterable[int], chunk: int = 4096) -> Iterator[str]:
         """The text, part by part: bytes go through an incremental UTF-8 machine, so a part never splits a character."""
@@ -167,9 +255,13 @@ def machine_of(spec: bytes) -> Transducer:
 def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes each whole text with the byte-level BPE of the tokenizer file `vocabulary`, and decodes it again.
 
+    Every text goes through the transducer: it is cut where the split pattern always cuts, a segment's tokens are
+    stable at its end, those of a long piece once the lookahead has been read, and what is emitted goes straight into
+    the digests and through the decoder's state machine, so neither ids nor decoded text of a document are held.
+
     Defined cases: null text is empty (no ids, the digests of nothing); strings of special tokens in a text become
-    those tokens; repeated rows give a row each. The file is read by the driver and sent along (about 1.5 MB).
-    Whole segments (white space and what follows) are memoised, at most CACHE of them.
+    those tokens; repeated rows give a row each; an empty table gives no rows; texts and pieces of any length are
+    streamed. Other columns are ignored. The file is read by the driver and sent along (about 1.5 MB).
 
     Columns: doc_id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256.
     """
@@ -181,32 +273,20 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = machine_of(spec)
-        find, seen = m.segment.findall, m.segments
-        table = m.pieces
-        pieces = [table.get(i, b"") for i in range(max(table) + 1)]
+        pieces = [m.pieces.get(i, b"") for i in range(max(m.pieces) + 1)]
         for batch in slices(batches, "text"):
-            counts, digests, decoded = [], [], []
-            for text in batch.column("text").to_pylist():
-                out: list[tuple[str, bytes]] = []
-                for s in find(text or ""):
-                    got = seen.get(s)
-                    if got is None:
-                        ids = m.encode_segment(s)
-                        got = (",".join(map(str, ids)), np.array(ids, dtype="<u4").tobytes())
-                        if len(s) < 64:
-                            if len(seen) >= CACHE:
-                                seen.clear()
-                            seen[s] = got
-                    out.append(got)
-                digests.append(hashlib.sha256(",".join([x[0] for x in out]).encode()).hexdigest())
-                ids = np.frombuffer(b"".join([x[1] for x in out]), dtype="<u4")
-                counts.append(len(ids))
-                machine, sha = codecs.getincrementaldecoder("utf-8")("replace"), hashlib.sha256()
-                for i in range(0, len(ids), 65536):
-                    sha.update(machine.decode(b"".join([pieces[t] for t in ids[i : i + 65536].tolist()])).encode())
-                sha.update(machine.decode(b"", True).encode())
-                decoded.append(sha.hexdigest())
+            rows = []
+            for text in batch.column("text"):
+                n, comma, ids_sha, text_sha = 0, b"", hashlib.sha256(), hashlib.sha256()
+                machine = codecs.getincrementaldecoder("utf-8")("replace")
+                for decimals, raw in m.encode_blocks(text.as_py() or ""):
+                    ids_sha.update(comma + decimals.encode())
+                    ids = array("I", raw)
+                    text_sha.update(machine.decode(b"".join([pieces[t] for t in ids])).encode())
+                    n, comma = n + len(ids), b","
+                text_sha.update(machine.decode(b"", True).encode())
+                rows.append((n, ids_sha.hexdigest(), text_sha.hexdigest()))
+            counts, digests, decoded = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return frame.mapInArrow(run, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
