@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparquill.llm.bpe_stream import byte_alphabet
@@ -130,51 +130,109 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: i
     return frame.mapInArrow(run, f"doc_id {id_type}, piece int, start long, length long, ids_crc32 long")
 
 
-def best_fit_plan(counts: dict[int, int], capacity: int) -> np.ndarray:
-    """Rows (length, first rank, units, first sequence, sequences, offset, per sequence) for items counted by length.
-
-    Documents and gaps, sorted by size, are kept as runs of equal size (at most `capacity` sizes each), so the plan's
-    size depends on the capacity, not on the number of documents. Each round takes the longest run of documents left
-    and sweeps to the successor run of gaps (the smallest that holds it); where several want the same gap, the k-th
-    document by rank gets the k-th gap by rank; the gaps shrink and are sorted in again. A run that no gap holds opens
-    new sequences, each filled with as many as fit.
-    """
-    gaps: dict[int, deque[tuple[int, int]]] = {}  # gap -> runs of sequences (first, how many)
+def sweep(docs: list[tuple[int, int, int]], gaps: list[tuple[int, int, int]], capacity: int, base: int | None) -> tuple[list, list, list]:
+    """One task's successor sweep over runs of documents (length, first rank, count) and of gaps (size, first sequence,
+    count): the longest documents first, each run takes the successor run of gaps, the smallest that holds it. Where
+    several want the same gaps, the k-th document by rank gets the k-th gap; the gaps shrink and are sorted in again.
+    A run that no gap holds opens sequences numbered from `base`, each filled with as many as fit; without `base` it
+    is left over. Gives (placed, documents left, gaps left); a placed row is (length, first rank, documents, first
+    sequence, sequences, offset, documents in each)."""
+    runs: dict[int, deque[tuple[int, int]]] = {}
     order: list[int] = []
-    plan: list[tuple[int, ...]] = []
-    sequences = 0
+    placed, over = [], []
 
     def put(gap: int, first: int, n: int) -> None:
         if gap and n:
-            if gap not in gaps:
-                gaps[gap] = deque()
+            if gap not in runs:
+                runs[gap] = deque()
                 insort(order, gap)
-            gaps[gap].append((first, n))
+            runs[gap].append((first, n))
 
-    for length in sorted(counts, reverse=True):
-        rank, left = 0, counts[length]
+    for gap in sorted(gaps):
+        put(*gap)
+    for length, rank, left in sorted(docs, key=lambda d: (-d[0], d[1])):
         while left:
             i = bisect_left(order, length)
             if i < len(order):
                 gap = order[i]
-                first, n = gaps[gap].popleft()
+                first, n = runs[gap].popleft()
                 m = min(n, left)
                 if m < n:
-                    gaps[gap].appendleft((first + m, n - m))
-                elif not gaps[gap]:
-                    del gaps[gap]
+                    runs[gap].appendleft((first + m, n - m))
+                elif not runs[gap]:
+                    del runs[gap]
                     order.pop(i)
-                plan.append((length, rank, m, first, m, capacity - gap, 1))
+                placed.append((length, rank, m, first, m, capacity - gap, 1))
                 put(gap - length, first, m)
                 rank, left = rank + m, left - m
+            elif base is None:
+                over.append((length, rank, left))
+                break
             else:
                 per = capacity // length
                 for each, m in ((per, left // per), (left % per, 1)):
                     if each and m:
-                        plan.append((length, rank, each * m, sequences, m, 0, each))
-                        put(capacity - each * length, sequences, m)
-                        sequences, rank, left = sequences + m, rank + each * m, left - each * m
-    return np.array(plan, dtype=np.int64).reshape(-1, 7)
+                        placed.append((length, rank, each * m, base, m, 0, each))
+                        put(capacity - each * length, base, m)
+                        base, rank, left = base + m, rank + each * m, left - each * m
+    return placed, over, [(gap, first, n) for gap in order for first, n in runs[gap]]
+
+
+PLACED, DOCUMENTS, GAPS = 0, 1, 2
+STATE = "kind byte, segment int, size long, first long, n long, sequence long, sequences long, at long, each long"
+
+
+def best_fit_rounds(spark: SparkSession, counts: dict[int, int], capacity: int, segments: int = 8) -> np.ndarray:
+    """Places documents that are counted by length, in bulk-synchronous rounds; rows as of sweep().
+
+    Documents and gaps are tables of runs of equal size, range-sorted into segments of sizes with about as many
+    documents each. In a round each segment's task makes a successor sweep over what it holds. Between rounds the
+    gaps that are left are updated and move to the highest segment below in which a document is left that they hold;
+    only one row a segment (what is left there) comes to the driver. A segment opens sequences once no gap is on its
+    way from above. So the highest segment with documents ends in each round, while those below already use the gaps
+    that reached them. Tables have at most some rows for each size up to the capacity, however many documents there are.
+    """
+    importable(spark)
+    lengths = sorted(counts, reverse=True)
+    total, so_far, segment = max(1, sum(counts.values())), 0, {}
+    for n in lengths:  # segment 0 holds the longest
+        segment[n] = min(segments - 1, so_far * segments // total)
+        so_far += counts[n]
+    state = spark.createDataFrame([(DOCUMENTS, segment[n], n, 0, counts[n], 0, 0, 0, 0) for n in lengths], STATE)
+    done: list[DataFrame] = []
+    busy = {s: True for s in segment.values()}  # segments with documents -> whether a gap may still come from above
+    if busy:
+        busy[min(busy)] = False
+    step = 0
+    while busy:
+        base = {s: ((step * segments + s) << 36) if not waits else None for s, waits in busy.items()}
+
+        def run(batches: Iterator[pa.RecordBatch], base: dict = base) -> Iterator[pa.RecordBatch]:
+            rows = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("kind", "segment", "size", "first", "n")), strict=True)]
+            for s in sorted({r[1] for r in rows}):
+                placed, over, gaps = sweep([r[2:] for r in rows if r[:2] == (DOCUMENTS, s)], [r[2:] for r in rows if r[:2] == (GAPS, s)], capacity, base.get(s))
+                out = [(PLACED, s, *p) for p in placed] + [(DOCUMENTS, s, *d, 0, 0, 0, 0) for d in over] + [(GAPS, s, *g, 0, 0, 0, 0) for g in gaps]
+                if out:
+                    columns = zip(*out, strict=True)
+                    kinds = [pa.int8(), pa.int32(), *[pa.int64()] * 7]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+        names = state.columns
+        after = staged(state.repartitionById(segments, F.col("segment")).mapInArrow(run, STATE), "pack-round")
+        done.append(after.where(F.col("kind") == PLACED))
+        left = after.groupBy("segment", "kind").agg(F.min("size").alias("low"), F.max("size").alias("high")).where(F.col("kind") != PLACED).collect()
+        waiting = {r["segment"]: r["low"] for r in left if r["kind"] == DOCUMENTS}
+        # A gap goes to the highest segment at or below its own with a document that it holds, or has ended.
+        target = F.lit(None).cast("int")
+        for s in sorted(waiting, reverse=True):
+            target = F.when((F.col("segment") <= s) & (F.col("size") >= waiting[s]), F.lit(s)).otherwise(target)
+        moved = after.where(F.col("kind") == GAPS).withColumn("segment", target).where("segment IS NOT NULL")
+        state = after.where(F.col("kind") == DOCUMENTS).unionByName(moved)
+        # From above gaps may come as long as documents are left there, or gaps that have just been sent.
+        busy = {s: any(o < s for o in waiting) for s in waiting}
+        step += 1
+    rows = [tuple(r)[2:] for part in done for r in part.collect()]
+    return np.array(rows, dtype=np.int64).reshape(-1, 7)
 
 
 def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
@@ -182,11 +240,13 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
 
     The pieces are range-sorted by length over all tasks and written once. A task then holds a contiguous stretch of
     lengths, so (task, length, count) has one row for each task plus at most one for each length; from these few rows
-    come each piece's rank among those of its length and the plan of best_fit_plan. Each task looks up its own ranks
-    in the plan by binary search. No task gets a length's rows together, so ties in length are no hot key.
+    come each piece's rank among those of its length and the runs that best_fit_rounds places. Each task looks up its
+    own ranks in the placed runs by binary search. No task gets a length's rows together, so ties in length are no
+    hot key.
     """
-    importable(pieces.sparkSession)
-    parts = int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = pieces.sparkSession
+    importable(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = pieces.repartitionByRange(parts, F.col("length"), F.xxhash64("doc_id", "piece")).sortWithinPartitions("length").withColumn("_task", F.spark_partition_id())
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +262,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     for r in sorted(runs, key=lambda r: (r["length"], r["_task"])):
         first_rank[r["_task"], r["length"]] = counts.get(r["length"], 0) - r["first"]
         counts[r["length"]] = counts.get(r["length"], 0) + r["n"]
-    plan = best_fit_plan(counts, capacity)
+    plan = best_fit_rounds(spark, counts, capacity)
     order = np.lexsort((plan[:, 1], plan[:, 0])) if len(plan) else np.empty(0, np.int64)
     plan = plan[order]
     rows = np.array([(t, n, shift) for (t, n), shift in sorted(first_rank.items())], dtype=np.int64).reshape(-1, 3)
