@@ -5,19 +5,22 @@ from __future__ import annotations
 import json
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparquill.llm.common import importable, slices
+from sparquill.llm.common import importable, slices, staged
 from sparquill.llm.toxicity import held_out
 
-#: At most this many labelled rows of each class, and this many unlabelled rows, are learnt from (lowest hashed ids).
-MOST_PER_CLASS, MOST_UNLABELLED = 3000, 6000
-ROUNDS, SHARE = 4, 0.05
+#: At most this many labelled rows of each class are learnt from (lowest hashed ids); unlabelled rows have no bound.
+MOST_PER_CLASS = 3000
+ROUNDS, SHARE, STEPS = 4, 0.05, 2
+#: Log-odds are counted in this many bins over -LIMIT to LIMIT; a pseudo-label needs log-odds that
+#: are SURE above the prior's or below.
+BINS, LIMIT, SURE = 2400, 30.0, 2.0
 SOURCES, LANGS, SIZES = 64, 16, 16
 _CLASS = np.zeros(128, np.int8)
 for _c in range(128):
@@ -26,7 +29,8 @@ for _c in range(128):
 
 
 def content_features(text: str) -> list[float]:
-    """What the text alone shows: shares of kinds of characters, sizes and repetition of words and lines."""
+    """What the text alone shows: shares of kinds of characters, mean sizes and repetition of words and lines. How long
+    the text is belongs to the other view."""
     n = len(text)
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     kinds = np.bincount(_CLASS[points[points < 128]], minlength=8) / max(1, n)
@@ -35,13 +39,11 @@ def content_features(text: str) -> list[float]:
     return [
         *kinds[1:8].tolist(),
         float((points >= 128).sum()) / max(1, n),
-        np.log1p(len(words)),
         n / count / 10,
         len(set(words)) / count,
         max(Counter(words).values(), default=0) / count,
         sum(map(str.isupper, words)) / count,
         sum(w.islower() for w in words) / count,
-        np.log1p(len(lines)),
         len(set(lines)) / max(1, len(lines)),
         sum(x.rstrip()[-1:] in ".!?\"'" for x in lines) / max(1, len(lines)),
         np.log1p(n / max(1, len(lines))),
@@ -74,40 +76,86 @@ def _logit(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x @ w[:-1] + w[-1]
 
 
-def co_train(views: list[np.ndarray], labels: np.ndarray, pools: list[np.ndarray], rounds: int = ROUNDS, share: float = SHARE) -> dict:
-    """Each round both views score the pool, and each hands its most confident rows of both classes (as many of a
-    class as its share of the labels says) to the other view as labels. At the end each view is calibrated on the
-    labelled rows, out of fold, and the calibrated log-odds are added, the prior counted once."""
-    prior = float(np.clip(labels.mean(), 1e-3, 1 - 1e-3))
-    extra: list[tuple[list[np.ndarray], list[np.ndarray]]] = [([], []), ([], [])]
-    open_rows = np.ones(len(pools[0]), bool)
+def assigned(views: list[np.ndarray], history: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the view that labelled it (-1: none yet) and its pseudo-label, as the rounds so far went: in each,
+    the views in turn label open rows whose log-odds are at or beyond that round's limits."""
+    by, mark = np.full(len(views[0]), -1, np.int8), np.zeros(len(views[0]))
+    for past in history:
+        for v in (0, 1):
+            z = _logit(views[v], past["weights"][v])
+            low, high = past["limits"][v]
+            for own, y in (((by < 0) & (z <= low), 0.0), ((by < 0) & (z >= high), 1.0)):
+                by[own], mark[own] = v, y
+    return by, mark
+
+
+def _newton(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient and Hessian of the log-likelihood at w."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+    return x.T @ (y - p), (x * (p * (1 - p))[:, None]).T @ x
+
+
+def _limits(counts: np.ndarray, prior: float, pool: int, share: float) -> tuple[float, float]:
+    """The log-odds at which a view's most confident rows begin, from its open rows' histogram: about `share` of the
+    pool, of each class as much as the prior says, none nearer to the prior's log-odds than SURE."""
+    edges = np.linspace(-LIMIT, LIMIT, BINS + 1)
+    want = max(1.0, pool * share)
+    low = edges[min(BINS, int(np.searchsorted(np.cumsum(counts), want * (1 - prior))) + 1)]
+    high = edges[max(0, BINS - 1 - int(np.searchsorted(np.cumsum(counts[::-1]), want * prior)))]
+    base = float(np.log(prior / (1 - prior)))
+    return min(low, base - SURE), max(high, base + SURE)
+
 
-    def train(v: int, rows: np.ndarray) -> np.ndarray:
-        return _fit(np.vstack([views[v][rows], *extra[v][0]]), np.concatenate([labels[rows], *extra[v][1]]))
+def co_train(views: list[np.ndarray], labels: np.ndarray, summed: Callable[[Callable[[list[np.ndarray]], list[np.ndarray]]], list[np.ndarray]], rounds: int = ROUNDS, share: float = SHARE, steps: int = STEPS) -> dict:
+    """Co-training over rounds. `summed` applies a function to the views of all unlabelled rows, part by part, and
+    adds up its arrays.
 
-    everything = np.arange(len(labels))
+    In each round both views score all open unlabelled rows; each hands its most confident rows of both classes to the
+    other view as labels, and both are fitted again (Newton steps whose sums run over all pseudo-labelled rows; their
+    weight is at most that of the labelled rows). A quarter of the labelled rows takes no part: on it each view is
+    calibrated at the end, and the calibrated log-odds are added, the prior counted once.
+    """
+    aside = np.arange(len(labels)) % 4 == 3
+    fitted = [v[~aside] for v in views]
+    y = labels[~aside]
+    prior = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
+    weights = [_fit(x, y) for x in fitted]
+    history: list[dict] = []
     for _ in range(rounds):
-        weights = [train(v, everything) for v in (0, 1)]
-        for v in (0, 1):
-            at = np.flatnonzero(open_rows)
-            if not len(at):
-                break
-            z = _logit(pools[v][at], weights[v])
-            order = np.argsort(z, kind="stable")
-            n = max(1, int(len(open_rows) * share))
-            low, high = order[: max(1, round(n * (1 - prior)))], order[::-1][: max(1, round(n * prior))]
-            for rows, mark in ((low[z[low] < -1], 0.0), (high[z[high] > 1], 1.0)):
-                extra[1 - v][0].append(pools[1 - v][at[rows]])
-                extra[1 - v][1].append(np.full(len(rows), mark))
-                open_rows[at[rows]] = False
-    fold = everything % 2
-    model: dict = {"prior": float(np.log(prior / (1 - prior))), "weights": [], "scale": []}
+        now, past = [w.copy() for w in weights], list(history)
+
+        def histogram(v: list[np.ndarray], now: list = now, past: list = past) -> list[np.ndarray]:
+            still = assigned(v, past)[0] < 0
+            z = [np.clip(_logit(x[still], w), -LIMIT, LIMIT) for x, w in zip(v, now, strict=True)]
+            return [np.array([len(still)]), *(np.histogram(x, BINS, (-LIMIT, LIMIT))[0] for x in z)]
+
+        pool, *counts = summed(histogram)
+        if not pool[0]:
+            break
+        history.append({"weights": now, "limits": [_limits(c, prior, int(pool[0]), share) for c in counts]})
+        for _ in range(steps):
+            at, known = [w.copy() for w in weights], list(history)
+
+            def sums(v: list[np.ndarray], at: list = at, known: list = known) -> list[np.ndarray]:
+                by, mark = assigned(v, known)
+                out = []
+                for k in (0, 1):
+                    own = by == 1 - k
+                    out += [*_newton(v[k][own], mark[own], at[k]), np.array([own.sum()])]
+                return out
+
+            total = summed(sums)
+            for k in (0, 1):
+                gradient, hessian, n = total[3 * k : 3 * k + 3]
+                scale = min(1.0, len(y) / max(1, n[0]))
+                g, h = _newton(fitted[k], y, weights[k])
+                ridge = np.append(np.full(len(weights[k]) - 1, 1.0), 1e-3)
+                weights[k] = weights[k] + np.linalg.solve(h + scale * hessian + np.diag(ridge), g + scale * gradient - ridge * weights[k])
+    model: dict = {"prior": float(np.log(prior / (1 - prior))), "weights": [w.tolist() for w in weights], "scale": []}
     for v in (0, 1):
-        z = np.empty(len(labels))
-        for k in (0, 1):
-            z[fold == k] = _logit(views[v][fold == k], train(v, np.flatnonzero(fold != k))) if (fold != k).any() else 0
-        scale = _fit(np.clip(z, -30, 30)[:, None], labels)
-        model["weights"].append(train(v, everything).tolist())
+        z = np.clip(_logit(views[v][aside], weights[v]), -30, 30)
+        scale = _fit(z[:, None], labels[aside], 1e-2) if 0 < labels[aside].mean() < 1 else np.array([1.0, 0.0])
         model["scale"].append([max(0.0, float(scale[0])), float(scale[1])])
     return model
 
@@ -118,62 +166,111 @@ def _matrix(content: np.ndarray, meta: np.ndarray, center: np.ndarray, spread: n
     return [np.clip((content - center) / spread, -10, 10), hot]
 
 
-def _batch_features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    content = np.array([content_features(t) for t in batch.column("text").to_pylist()])
-    meta = np.array([metadata_places(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")), strict=True)])
-    return content.reshape(batch.num_rows, -1), meta.reshape(-1, 3)
+N_CONTENT = len(content_features(""))
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_PER_CLASS, most_unlabelled: int = MOST_UNLABELLED) -> DataFrame:
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Content and metadata of a batch of feature rows."""
+    content = np.frombuffer(b"".join(batch.column("content").to_pylist()), "<f4").reshape(-1, N_CONTENT).astype(np.float64)
+    return content, np.stack([batch.column(c).to_numpy() for c in ("lang", "source", "size")], axis=1).astype(np.int64)
+
+
+def _summed(rows: DataFrame, part: Callable[[pa.RecordBatch], list[np.ndarray]]) -> list[np.ndarray]:
+    """The arrays that `part` gives for each batch of rows, added up: in each task, then in eight, then here."""
+
+    def packed(arrays: list[np.ndarray]) -> pa.RecordBatch:
+        shapes = json.dumps([x.shape for x in arrays])
+        return pa.RecordBatch.from_arrays([pa.array([shapes]), pa.array([np.concatenate([x.ravel() for x in arrays]).astype("<f8").tobytes()], pa.binary())], ["shapes", "data"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            if batch.num_rows:
+                own = part(batch)
+                total = own if total is None else [a + b for a, b in zip(total, own, strict=True)]
+        if total is not None:
+            yield packed(total)
+
+    def unpack(shapes: str, data: bytes) -> list[np.ndarray]:
+        flat, at, out = np.frombuffer(data, "<f8"), 0, []
+        for shape in json.loads(shapes):
+            n = int(np.prod(shape))
+            out.append(flat[at : at + n].reshape(shape))
+            at += n
+        return out
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for shapes, data in zip(batch.column("shapes").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                own = unpack(shapes, data)
+                total = own if total is None else [a + b for a, b in zip(total, own, strict=True)]
+        if total is not None:
+            yield packed(total)
+
+    schema = "shapes string, data binary"
+    found = [unpack(r["shapes"], bytes(r["data"])) for r in rows.mapInArrow(first, schema).repartition(8).mapInArrow(again, schema).collect()]
+    return [np.sum(x, axis=0) for x in zip(*found, strict=True)]
+
+
+def quality_classifier(docs: DataFrame, labels: DataFrame, most_per_class: int = MOST_PER_CLASS) -> DataFrame:
     """Scores the quality of every document: doc_id, held_out, content_score, metadata_score, score, predicted.
 
-    It learns from a bounded sample of labelled rows that are not held out (crc32 of the id modulo 4 is not 2) and a
-    bounded pool of other rows, both chosen by hashed id; one task fits the two small models and returns weights.
+    Features of all documents are computed once and written (some 90 bytes a document). Labels come from a bounded
+    sample, chosen by hashed id, of rows that are not held out (crc32 of the id modulo 4 is not 2); the pool of
+    pseudo-labels is every other row that is not held out. Each pass of the rounds runs over the whole pool in the
+    cluster; only sums of fixed size (histograms, gradients, Hessians) come to the driver.
 
-    Defined cases: null text is empty; null metadata are values of their own; without labels of both classes every
-    score is the labels' share (0.5 without any); several labels of an id count as their highest; repeated rows give
-    a row each; an empty table gives no rows. Other columns are ignored.
+    Defined cases: null text is empty; null metadata are values of their own, as is a missing lang, source or n_chars
+    column; without labels of both classes every score is the labels' share (0.5 without any); several labels of an
+    id count as their highest, of rows that repeat a labelled id one is learnt from; repeated rows give a row each;
+    texts of any length count whole; an empty table gives no rows. Other columns are ignored.
     """
     importable(docs.sparkSession)
-    frame = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("long").alias("n_chars"))
+    column = lambda c, kind: (F.col(c) if c in docs.columns else F.lit(None)).cast(kind).alias(c)
+    frame = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), column("lang", "string"), column("source", "string"), column("n_chars", "long"))
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max(F.when(F.col("quality") == 1, 1).otherwise(0)).alias("mark"))
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("mark = 1").orderBy(*by_hash).limit(most_per_class).unionByName(known.where("mark = 0").orderBy(*by_hash).limit(most_per_class))
-    pool = frame.select("doc_id").where("doc_id IS NOT NULL").where(~held_out()).orderBy(*by_hash).limit(most_unlabelled).distinct().select("doc_id", F.lit(-1).alias("mark"))
-    ids = chosen.unionByName(pool).groupBy("doc_id").agg(F.max("mark").alias("mark"))  # a labelled row is not in the pool
+    marked = frame.join(F.broadcast(chosen), "doc_id", "left").withColumn("mark", F.when(held_out(), -2).otherwise(F.coalesce("mark", F.lit(-1))))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            content, meta = _batch_features(batch)
-            yield pa.RecordBatch.from_arrays([batch.column("mark"), pa.array(list(content), pa.list_(pa.float64())), pa.array(list(meta.astype(np.int32)), pa.list_(pa.int32()))], ["mark", "content", "meta"])
-
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("mark", "content", "meta")), strict=True))
-        mark = np.array([r[0] for r in rows], np.int64)
-        if len(set(mark[mark >= 0].tolist())) == 2:
-            content, meta = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-            center, spread = content.mean(axis=0), content.std(axis=0) + 1e-6
-            views = _matrix(content, meta, center, spread)
-            turn = np.random.default_rng(0).permutation(np.flatnonzero(mark >= 0))
-            model = co_train([v[turn] for v in views], mark[turn].astype(float), [v[mark < 0] for v in views])
-            yield pa.RecordBatch.from_pylist([{"model": json.dumps(model | {"center": center.tolist(), "spread": spread.tolist()})}])
-        else:
-            yield pa.RecordBatch.from_pylist([{"model": json.dumps({"flat": float(np.mean(mark[mark >= 0])) if (mark >= 0).any() else 0.5})}])
-
-    sample = frame.join(F.broadcast(ids), "doc_id").mapInArrow(features, "mark int, content array<double>, meta array<int>").repartition(1)
-    first = sample.mapInArrow(train, "model string").first()
-    model = json.loads(first["model"]) if first else {"flat": 0.5}
+            content = [np.array(content_features(t), "<f4").tobytes() for t in batch.column("text").to_pylist()]
+            meta = zip(*[metadata_places(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")), strict=True)], strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("mark"), pa.array(content, pa.binary()), *(pa.array(x, pa.int32()) for x in meta)], ["doc_id", "mark", "content", "lang", "source", "size"])
+
+    id_type = frame.schema["doc_id"].dataType.simpleString()
+    rows = staged(marked.select("doc_id", "mark", "text", "lang", "source", "n_chars").mapInArrow(features, f"doc_id {id_type}, mark int, content binary, lang int, source int, size int"), "quality-features")
+    sample = rows.where("mark >= 0").groupBy("doc_id").agg(F.min(F.struct("mark", "content", "lang", "source", "size")).alias("r")).select("r.*", F.xxhash64("doc_id").alias("h"), "doc_id").toArrow().sort_by([("h", "ascending"), ("doc_id", "ascending")])
+    mark = sample["mark"].to_numpy()
+    model: dict = {"flat": float(mark.mean()) if len(mark) else 0.5}
+    if len(set(mark.tolist())) == 2 and len(mark) >= 8:
+
+        def moments(batch: pa.RecordBatch) -> list[np.ndarray]:
+            content = _unpacked(batch)[0]
+            return [np.array([len(content)]), content.sum(axis=0), (content**2).sum(axis=0)]
+
+        n, total, squares = _summed(rows.select("content", "lang", "source", "size"), moments)
+        center = total / n[0]
+        spread = np.sqrt(np.maximum(squares / n[0] - center**2, 0)) + 1e-6
+        views = _matrix(*_unpacked(sample.combine_chunks().to_batches()[0]), center, spread)
+        pool = rows.where("mark = -1").select("content", "lang", "source", "size")
+        model = co_train(views, mark.astype(float), lambda f: _summed(pool, lambda b: f(_matrix(*_unpacked(b), center, spread))) or [np.zeros(1)])
+        model |= {"center": center, "spread": spread}
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text"):
+        for batch in batches:
             n = batch.num_rows
+            if not n:
+                continue
             if "flat" in model:
                 out = [np.full(n, model["flat"])] * 3
             else:
-                views = _matrix(*_batch_features(batch), np.array(model["center"]), np.array(model["spread"]))
+                views = _matrix(*_unpacked(batch), model["center"], model["spread"])
                 z = [np.clip(_logit(x, np.array(w)), -30, 30) * s[0] + s[1] for x, w, s in zip(views, model["weights"], model["scale"], strict=True)]
                 out = [1 / (1 + np.exp(-np.clip(x, -30, 30))) for x in (*z, z[0] + z[1] - model["prior"])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, out)], ["doc_id", "content_score", "metadata_score", "score"])
 
-    scored = frame.mapInArrow(score, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, content_score double, metadata_score double, score double")
+    scored = rows.mapInArrow(score, f"doc_id {id_type}, content_score double, metadata_score double, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "content_score", "metadata_score", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
