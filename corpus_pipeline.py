@@ -1,4 +1,10 @@
-"""The corpus pipeline: toxicity, exact dedup, SimHash near-dedup, substring dedup, best-fit packing."""
+"""The corpus pipeline: toxicity, exact dedup, SimHash near-dedup, substring dedup, best-fit packing.
+
+Defined cases for every stage: null and empty texts are documents like any other; decisions are made for rows, not
+for doc_ids, so rows that share an id (or have none) are kept or dropped one by one, and of rows that repeat each other
+wholly exactly one stays after exact dedup; ties fall to the row read first; an empty table gives no rows; documents
+may have further columns of any names, which the stages (but the last) return as they are.
+"""
 
 from __future__ import annotations
 
@@ -14,9 +20,17 @@ from sparquill.llm.substring_dedup import without_repeats
 from sparquill.llm.toxicity import without_toxic
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in gone."""
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+def _numbered(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """docs with a number for each row, written once so that it stays, and the number's column (a name docs don't have)."""
+    name = "row"
+    while name in docs.columns:
+        name += "_"
+    return staged(docs.withColumn(name, F.monotonically_increasing_id()), label), name
+
+
+def _without(docs: DataFrame, row: str, gone: DataFrame) -> DataFrame:
+    """docs without the rows numbered in gone, and without the numbers."""
+    return docs.join(gone.select(row), row, "left_anti").drop(row)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,13 +39,17 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal texts the longest original, then the smallest id, stays."""
-    return _without(docs, exact_groups(docs).where(~F.col("kept")))
+    """Of rows with equal texts (but for white space) the longest original, then the smallest id, then the first stays."""
+    columns = docs.columns
+    docs, row = _numbered(docs, "pipeline-exact")
+    return _without(docs, row, exact_groups(docs, row_col=row).where(~F.col("kept"))).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of a group of near-duplicates the smallest id stays."""
-    return _without(docs, near_groups(docs).where("doc_id <> component_id"))
+    """Of a group of near-duplicate rows the one with the smallest id, then the first stays."""
+    columns = docs.columns
+    docs, row = _numbered(docs, "pipeline-near")
+    return _without(docs, row, near_groups(docs, row_col=row).where(~F.col("first"))).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +70,7 @@ STAGES = [
     ("best-fit packing", packing),
 ]
 
-#: A trained classifier and a tokenizer are not SQL; the tests hold the stages against brute force.
+#: A trained classifier and a tokenizer are not SQL; tests/llm holds each stage against a brute-force version.
 ORACLE_SQL = None
 
 
