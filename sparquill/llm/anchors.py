@@ -17,7 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparquill.llm.common import binary_list, importable, slices
+from sparquill.llm.common import binary_list, importable, salted_join, slices, staged
+from sparquill.operators.sampling import numbered
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -29,10 +30,11 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: The bytes of text worked on at once; bounds a worker's memory (a longer text stands alone).
 SLICE = 2 << 20
 BLOCK_BITS = 20
-ROWS = 3
+ROWS = 2
 HEAVY_BITS = 16
-#: Units of one anchor beyond which it is dealt with window by window, salted, and never gathered in a task.
-HOT_UNITS = 50_000
+#: An anchor is hot if its units are over the HOT_SHARE-th part of what a task of the exact pass would get on average
+#: (at most 2^13 such parts, and over HOT_LEAST units); hot anchors are dealt with window by window, salted, and never gathered in a task.
+HOT_SHARE, HOT_LEAST = 2, 64
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,12 +74,15 @@ class Symbols(NamedTuple):
     text: np.ndarray
     ends: np.ndarray
     raw: np.ndarray
+    first: np.ndarray  # where each symbol begins in raw, and the place after its end
+    last: np.ndarray
 
 
 def byte_symbols(texts: list[bytes]) -> Symbols:
     raw = np.frombuffer(b"".join(texts), np.uint8)
     lengths = np.array([len(t) for t in texts], np.int64)
-    return Symbols(_BYTE[raw], np.repeat(np.arange(len(texts)), lengths), np.cumsum(lengths), raw)
+    at = np.arange(len(raw))
+    return Symbols(_BYTE[raw], np.repeat(np.arange(len(texts)), lengths), np.cumsum(lengths), raw, at, at + 1)
 
 
 def word_symbols(texts: list[bytes]) -> Symbols:
@@ -89,7 +94,7 @@ def word_symbols(texts: list[bytes]) -> Symbols:
     total, up = _sums(_BYTE[raw])
     hashes = mix((total[last] - total[first]) * up[first] + (last - first).astype(np.uint64) * _ODD)
     text = np.searchsorted(np.cumsum([len(t) + 1 for t in texts]), first, "right")
-    return Symbols(hashes, text, np.searchsorted(text, np.arange(len(texts)), "right"), raw)
+    return Symbols(hashes, text, np.searchsorted(text, np.arange(len(texts)), "right"), raw, first, last)
 
 
 class Units(NamedTuple):
@@ -151,14 +156,15 @@ class Sketch:
         for row in range(4):
             self.heavy[row] += np.bincount(self.places(anchors, 8 + row, HEAVY_BITS), minlength=1 << HEAVY_BITS)
 
-    def blocks(self) -> Iterator[tuple[int, bytes]]:
+    def blocks(self, heavy: bool = True) -> Iterator[tuple[int, bytes]]:
         size = 1 << (BLOCK_BITS - 2)
         for row, cells in enumerate(self.cells):
             for i in range(0, len(cells), size):
                 c = cells[i : i + size]
                 if c.any():
                     yield (row << 32) | (i // size), zlib.compress(c.tobytes(), 1)
-        yield 1 << 40, zlib.compress(self.heavy.tobytes(), 1)
+        if heavy:
+            yield 1 << 40, zlib.compress(self.heavy.tobytes(), 1)
 
 
 def merged_block(kind: int, parts: list[bytes]) -> bytes:
@@ -175,8 +181,8 @@ def merged_block(kind: int, parts: list[bytes]) -> bytes:
 class Estimate:
     """A merged sketch as tasks read it."""
 
-    def __init__(self, bits: int, blocks: Iterable[tuple[int, bytes]], hot_units: int):
-        self.bits, self.hot_units = max(bits, BLOCK_BITS), hot_units
+    def __init__(self, bits: int, blocks: Iterable[tuple[int, bytes]], tasks: int = 1, hot_units: int | None = None):
+        self.bits = max(bits, BLOCK_BITS)
         self.rows = [np.zeros(1 << (self.bits - 2), np.uint8) for _ in range(ROWS)]
         self.heavy = np.zeros((4, 1 << HEAVY_BITS), np.int64)
         size = 1 << (BLOCK_BITS - 2)
@@ -186,14 +192,23 @@ class Estimate:
             else:
                 i = kind & 0xFFFFFFFF
                 self.rows[kind >> 32][i * size : (i + 1) * size] = np.frombuffer(data, np.uint8)
+        self.hot_units = max(HOT_LEAST, int(self.heavy[0].sum()) // min(HOT_SHARE * tasks, 1 << HEAVY_BITS - 3)) if hot_units is None else hot_units
 
-    def repeated(self, anchors: np.ndarray) -> np.ndarray:
-        out = np.ones(len(anchors), bool)
+    def _cells(self, values: np.ndarray, mask: int) -> np.ndarray:
+        out = np.ones(len(values), bool)
         for row, packed in enumerate(self.rows):
-            at = Sketch.places(anchors, row, self.bits)
-            out &= (packed[at >> 2] >> (2 * (at & 3)).astype(np.uint8)) & 2 > 0
+            at = Sketch.places(values, row, self.bits)
+            out &= (packed[at >> 2] >> (2 * (at & 3)).astype(np.uint8)) & mask > 0
         return out
 
+    def repeated(self, anchors: np.ndarray) -> np.ndarray:
+        """True for all that were added twice or more, and few others."""
+        return self._cells(anchors, 2)
+
+    def seen(self, values: np.ndarray) -> np.ndarray:
+        """True for all that were added, and few others."""
+        return self._cells(values, 3)
+
     def hot(self, anchors: np.ndarray) -> np.ndarray:
         return np.min([self.heavy[row][Sketch.places(anchors, 8 + row, HEAVY_BITS)] for row in range(4)], axis=0) > self.hot_units
 
@@ -202,48 +217,123 @@ class Estimate:
         return bool((self.heavy.max(axis=1) > self.hot_units).all())
 
 
-def sketch_bits(docs: DataFrame, symbols_a_byte: float) -> int:
-    """Cells for about twice the anchors that the planner's size of the input suggests, 2^20 to 2^27 (96 MB
-    packed for all rows). On larger inputs more windows than need be go to the exact grouping; none is lost."""
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return min(27, max(BLOCK_BITS, int(size * 2 * symbols_a_byte * 2).bit_length()))
+def cells_for(values: float) -> int:
+    """Bits of a sketch row with about twice the cells of so many values, 2^20 to 2^27 (64 MB packed for all rows)."""
+    return min(27, max(BLOCK_BITS, int(2 * values).bit_length()))
 
 
-Split = Callable[[list[bytes]], Symbols]
+def _merged(rows: DataFrame) -> DataFrame:
+    """Rows (kind, data) of sketches' blocks with those of equal kind merged, in two levels so that no task holds the
+    blocks of all partitions: first among 64 map tasks each, then over these groups."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind, held = None, b""
+        out = lambda: pa.RecordBatch.from_arrays([pa.array([kind], pa.int64()), pa.array([zlib.compress(held, 1)], pa.binary())], ["kind", "data"])
+        for batch in batches:
+            for k, d in zip(batch.column("kind").to_pylist(), batch.column("data"), strict=True):
+                data = zlib.decompress(d.as_py())
+                if k != kind and kind is not None:
+                    yield out()
+                    held = b""
+                kind, held = k, merged_block(k, [held, data]) if held else data
+        if kind is not None:
+            yield out()
 
+    schema = "kind long, data binary"
+    grouped = rows.withColumn("_group", F.floor(F.spark_partition_id() / 64)).repartition("kind", "_group").sortWithinPartitions("kind", "_group").select("kind", "data").mapInArrow(merge, schema)
+    return grouped.repartition("kind").sortWithinPartitions("kind").mapInArrow(merge, schema)
 
-def build_sketch(frame: DataFrame, split: Split, width: int, gram: int, bits: int, hot_units: int = HOT_UNITS) -> Estimate:
-    """First pass: each partition sketches its anchors; blocks of equal place meet in a task and merge there. Only the
-    merged sketch, of a size fixed by `bits`, comes to the driver. frame has a column text."""
-    importable(frame.sparkSession)
+
+def _collected(rows: DataFrame, bits: int, tasks: int, hot_units: int | None) -> Estimate:
+    """The merged sketch on the driver: its size is fixed by `bits`, whatever the number of rows."""
+    found = _merged(rows).collect()
+    return Estimate(bits, ((r["kind"], zlib.decompress(bytes(r["data"]))) for r in found), tasks, hot_units)
+
+
+def _row_value(batch: pa.RecordBatch) -> np.ndarray:
+    return (batch.column("place").to_numpy().view(np.uint64) * _ODD) ^ batch.column("key").to_numpy().view(np.uint64)
+
+
+def members(rows: DataFrame, bits: int) -> Estimate:
+    """A bounded filter of (place, key): seen() is true for the values of all rows, and for few others."""
+    importable(rows.sparkSession)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None
-        for batch in slices(batches, "text", SLICE):
+        for batch in batches:
             own = own or Sketch(bits)
-            own.add(find_units(split(binary_list(batch.column("text"))), width, gram).anchor)
-        for kind, data in own.blocks() if own else ():
+            own.add(_row_value(batch))
+        for kind, data in own.blocks(False) if own else ():
             yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int64()), pa.array([data], pa.binary())], ["kind", "data"])
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind, held = None, []
-        for batch in batches:
-            for k, d in zip(batch.column("kind").to_pylist(), batch.column("data").to_pylist(), strict=True):
-                if k != kind and held:
-                    yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int64()), pa.array([zlib.compress(held[0], 1)], pa.binary())], ["kind", "data"])
-                    held = []
-                kind, held = k, [merged_block(k, [*held, zlib.decompress(d)])]
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int64()), pa.array([zlib.compress(held[0], 1)], pa.binary())], ["kind", "data"])
+    return _collected(rows.select("place", "key").mapInArrow(sketch, "kind long, data binary"), bits, 1, 0)
+
+
+class Frame(NamedTuple):
+    """Rows ready for window passes: see framed()."""
 
-    rows = frame.select("text").mapInArrow(sketch, "kind long, data binary").repartition("kind").sortWithinPartitions("kind").mapInArrow(merge, "kind long, data binary").collect()
-    return Estimate(bits, ((r["kind"], zlib.decompress(bytes(r["data"]))) for r in rows), hot_units)
+    rows: DataFrame  # doc_id, place, key, text and further columns
+    first: DataFrame  # place, key of the first row of each distinct text
+    copies: DataFrame  # place, key of rows whose text an earlier row has
+    n_first: int
+    n_bytes: int  # of the distinct texts
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str, *also: str) -> DataFrame:
-    """doc_id, place (the id as the order of documents, null last), key (32 bits that tell rows of one id apart by text), text."""
+def framed(docs: DataFrame, id_col: str, text_col: str, *also: str) -> Frame:
+    """Gives rows an order, and tells whole copies from first rows, so that window passes need only the latter.
+
+    place orders the documents: the id itself if it is integral (other types: its rank, by a distributed sort), null
+    ids after all others by a 61-bit hash of their texts. key (32 bits of another hash of the text) tells rows of one
+    place apart and orders them. A whole text that an earlier row has is found by its SHA-256, in narrow rows that
+    combine before they are shuffled; a text that a third of the rows have is no hot key, as copies join salted.
+    """
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    return docs.select(docs[id_col].alias("doc_id"), F.coalesce(docs[id_col].cast("long"), F.lit((1 << 63) - 1)).alias("place"), (F.xxhash64(text).bitwiseAND((1 << 32) - 1)).alias("key"), text.alias("text"), *also)
+    rows = docs.select(docs[id_col].alias("doc_id"), text.alias("text"), *also)
+    if rows.schema["doc_id"].dataType.typeName() in ("byte", "short", "integer", "long"):
+        place = F.col("doc_id").cast("long")
+    else:
+        known = rows.where("doc_id IS NOT NULL")
+        ids = numbered(known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "doc_id").withColumnRenamed("k", "rank")
+        rows = salted_join(known, ids, ["doc_id"], "n", F.xxhash64("text")).drop("n").unionByName(rows.where("doc_id IS NULL").withColumn("rank", F.lit(None).cast("long")))
+        place = F.col("rank").cast("long")
+    late = F.lit(1 << 61) + F.xxhash64(F.lit("place"), "text").bitwiseAND((1 << 61) - 1)
+    rows = rows.select("doc_id", F.coalesce(place, late).alias("place"), F.xxhash64("text").bitwiseAND((1 << 32) - 1).alias("key"), "text", *also)
+    narrow = staged(rows.select("place", "key", F.unhex(F.sha2("text", 256)).alias("digest"), F.octet_length("text").cast("long").alias("bytes")), "texts")
+    first = staged(narrow.groupBy("digest").agg(F.min(F.struct("place", "key")).alias("first"), F.max("bytes").alias("bytes"), F.count(F.lit(1)).alias("n")), "texts-first")
+    size = first.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    many = salted_join(narrow.drop("bytes"), first.where("n > 1").drop("bytes"), ["digest"], "n", F.xxhash64("place", "key"))
+    copies = many.where((F.col("place") != F.col("first.place")) | (F.col("key") != F.col("first.key"))).select("place", "key")
+    return Frame(rows, first.select("first.place", "first.key"), copies, size["n"], size["bytes"])
+
+
+Keep = Callable[[pa.RecordBatch], pa.RecordBatch]
+
+
+def first_rows(frame: Frame) -> Keep:
+    """A filter of batches with place and key, for tasks: drops rows that are surely whole copies. It reads a bounded
+    set of the first rows; a copy that slips through changes no result, it only costs time."""
+    known = frame.rows.sparkSession.sparkContext.broadcast(members(frame.first, cells_for(4 * frame.n_first)))
+    return lambda batch: batch.filter(pa.array(known.value.seen(_row_value(batch)))) if batch.num_rows else batch
+
+
+Split = Callable[[list[bytes]], Symbols]
+
+
+def build_sketch(rows: DataFrame, keep: Keep, split: Split, width: int, gram: int, bits: int, hot_units: int | None = None) -> Estimate:
+    """First pass: each partition sketches the anchors of the rows (place, key, text) that `keep` leaves; blocks of
+    equal place meet and merge. Only the merged sketch, of a size fixed by `bits`, comes to the driver."""
+    importable(rows.sparkSession)
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
+        for batch in slices(map(keep, batches), "text", SLICE):
+            own = own or Sketch(bits)
+            own.add(find_units(split(binary_list(batch.column("text"))), width, gram).anchor)
+        for kind, data in own.blocks() if own else ():
+            yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int64()), pa.array([data], pa.binary())], ["kind", "data"])
+
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _collected(rows.select("place", "key", "text").mapInArrow(sketch, "kind long, data binary"), bits, tasks, hot_units)
 
 
 def runs_of(flags: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
