@@ -309,8 +309,8 @@ def fingerprint(text, size=3):
     return sum(1 << b for b in range(64) if 2 * counts[b] > len(shingles))
 
 
-def components(marks):
-    """Of (id, fingerprint): fingerprint and the smallest id reachable, by comparing all."""
+def merged(marks):
+    """A number for the component of each (id, fingerprint), and the smallest id of each component, by comparing all."""
     label = list(range(len(marks)))
     changed = True
     while changed:
@@ -322,6 +322,11 @@ def components(marks):
     low = {}
     for n, (i, _) in zip(label, marks, strict=True):
         low[n] = min([x for x in (i, low.get(n)) if x is not None], default=None)
+    return label, low
+
+
+def components(marks):
+    label, low = merged(marks)
     return collections.Counter((i, f"{f:016x}", low[n]) for n, (i, f) in zip(label, marks, strict=True))
 
 
@@ -462,9 +467,16 @@ def test_toxicity_by_a_plain_computation(spark):
     for i, toxic in learnt.items():
         seen[toxic].update(buckets_of(texts[i]))
     n = collections.Counter(learnt.values())
-    for b in buckets.tolist():  # every feature tells the classes apart, and pulls to the side of its log-count ratio
-        ratio = math.log((seen[1][b] + 1) / (n[1] + 2) / ((seen[0][b] + 1) / (n[0] + 2)))
-        assert abs(ratio) > 0.3 and (table[b] * ratio >= 0 or abs(table[b]) < 0.5)
+    total = n[0] + n[1]
+    chi = {}
+    for b in seen[0] | seen[1]:
+        p, q = seen[1][b], seen[0][b]
+        if p + q >= 2 and p + q < total:
+            chi[b] = total * (p * (n[0] - q) - q * (n[1] - p)) ** 2 / ((p + q) * (total - p - q) * n[0] * n[1])
+    assert sorted(b for b, x in chi.items() if x > 10.8) == buckets.tolist()  # the features are those that tell the classes apart
+    counts = [np.array([seen[k][b] for b in buckets.tolist()]) for k in (1, 0)]
+    own, ratio, _ = toxicity.chosen_buckets(buckets, *counts, n[1], n[0])
+    assert own.tolist() == buckets.tolist() and ratio.tolist() == pytest.approx([math.log((seen[1][b] + 1) / (n[1] + 2) / ((seen[0][b] + 1) / (n[0] + 2))) for b in own.tolist()])
     for row in toxicity.toxicity(d, labels).where("doc_id < 40").collect():
         z = bias + sum(table.get(b, 0.0) for b in buckets_of(texts[row["doc_id"]]))
         assert row["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5) and row["predicted"] == int(row["score"] >= 0.3)
@@ -548,10 +560,9 @@ def test_dedup_stages(spark, sf):
     assert {bare(t) for _, t in got} == set(groups) and sum(got.values()) == len(groups) and {(i, bare(t)) for i, t in got} == {(i, bare(t)) for i, t in want}
     small = exact.where("text IS NULL OR length(text) < 50000")
     rows = [tuple(r) for r in small.select("doc_id", "text").collect()]
-    marks = components([(i, fingerprint(t)) for i, t in rows])
+    _, low = merged([(i, fingerprint(t)) for i, t in rows])
     near = stage("SimHash near-dedup")(spark, small, sf)
-    low = collections.Counter(c for i, _, c in marks)
-    assert rows_of(near.select("doc_id").where("doc_id IS NOT NULL")) == collections.Counter((i,) for i in low if i is not None)
+    assert rows_of(near.select("doc_id")) == collections.Counter((i,) for i in low.values())
     kept = [tuple(r) for r in near.select("doc_id", "text").collect()]
     words = {(i, n, removed, kept_sha) for i, n, removed, kept_sha in brute_words(kept)}
     left = {(r["doc_id"], len(r["text"] or ""), sha(" ".join(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")))) for r in stage("substring dedup")(spark, near, sf).collect()}
