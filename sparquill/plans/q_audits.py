@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 
 from sparquill.functions import metrics as M
 from sparquill.functions import text as X
-from sparquill.operators.aggregates import gates
+from sparquill.operators import validators as V
 from sparquill.operators.tokens import conversations, role_contract
 from sparquill.plans.q_aggregates import _DOCS_SPLIT, _docs_split
 from sparquill.plans.q_text import _RULES_SQL, AD_RULES
 from sparquill.plans.registry import query
+from sparquill.plans.release import CONTEXT, DIMENSIONS, RELEASE, RISK_ROWS, RISKS, release, risk_rules
 from sparquill.sources.tables import LINES, RECORDS, lines, records, table
 
 
@@ -26,20 +27,6 @@ def v1(spark: SparkSession, sf: str) -> DataFrame:
     return m.groupBy("rule", "doc_id").agg(n().alias("k")).groupBy("rule").agg(F.sum("k").alias("n_lines"), n().alias("n_docs"))
 
 
-@query("V2_quality_gate", f"WITH {RECORDS}, m AS (SELECT count(*)::DOUBLE AS records, count(DISTINCT topic_id)::DOUBLE AS topics, (max(c) OVER ())::DOUBLE AS x FROM rec, (SELECT 1 AS c) GROUP BY c), l AS (SELECT count(*)::DOUBLE AS leaked FROM (SELECT topic_id FROM rec GROUP BY topic_id HAVING count(DISTINCT split) > 1)) SELECT 'records' AS name, records AS actual, records BETWEEN 100 AND 1e9 AS passed FROM m UNION ALL SELECT 'topics', topics, topics BETWEEN 10 AND 1e9 FROM m UNION ALL SELECT 'leaked', leaked, leaked = 0 FROM l")
-def v2(spark: SparkSession, sf: str) -> DataFrame:
-    r = records(spark, sf)
-    a = gates(r, {"records": (n(), 100, 1e9), "topics": (F.count_distinct("topic_id"), 10, 1e9)})
-    b = gates(r.groupBy("topic_id").agg(F.count_distinct("split").alias("k")), {"leaked": (F.count_if(F.col("k") > 1), 0, 0)})
-    return a.unionByName(b).select("name", "actual", "passed")
-
-
-@query("V3_readiness", f"WITH {RECORDS} SELECT family, count(*) AS n, count(DISTINCT lower(question)) AS questions, count(*) - count(DISTINCT lower(question)) AS repeated, quantile_cont(length(answer), 0.5) AS p50, quantile_cont(length(answer), 0.95) AS p95 FROM rec GROUP BY family")
-def v3(spark: SparkSession, sf: str) -> DataFrame:
-    q = F.count_distinct(F.lower("question"))
-    return records(spark, sf).groupBy("family").agg(n().alias("n"), q.alias("questions"), (n() - q).alias("repeated"), F.percentile(F.length("answer"), 0.5).alias("p50"), F.percentile(F.length("answer"), 0.95).alias("p95"))
-
-
 _FLAGS = "list_filter([CASE WHEN contains(answer, '%%%') THEN 'symbols' END, CASE WHEN length(answer) < 60 THEN 'short' END, CASE WHEN contains(answer, '!!') THEN 'shout' END, CASE WHEN contains(answer, 'idiot') THEN 'insult' END], lambda x: x IS NOT NULL)"
 
 
@@ -65,24 +52,11 @@ def v6(spark: SparkSession, sf: str) -> DataFrame:
     return t.join(have, "family", "left").select("family", "target", F.coalesce("n", F.lit(0)).alias("n"), (F.col("target") - F.coalesce("n", F.lit(0))).alias("gap"))
 
 
-@query("V7_density_by_split", f"WITH {RECORDS}, g AS (SELECT split, family, count(*) AS r, sum(length(answer)) AS t FROM rec GROUP BY split, family) SELECT split, family, (t / sum(t) OVER (PARTITION BY split)) / (r / sum(r) OVER (PARTITION BY split)) AS density FROM g")
-def v7(spark: SparkSession, sf: str) -> DataFrame:
-    g = records(spark, sf).groupBy("split", "family").agg(n().alias("r"), F.sum(F.length("answer")).alias("t"))
-    own = W.partitionBy("split")
-    return g.select("split", "family", ((F.col("t") / F.sum("t").over(own)) / (F.col("r") / F.sum("r").over(own))).alias("density"))
-
-
 @query("V8_role_contract", "WITH c AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations WHERE role <> 'system') SELECT conv_id, count(*) % 2 = 0 AND bool_and(role = CASE WHEN i % 2 = 0 THEN 'user' ELSE 'assistant' END AND trim(text, ' ') <> '') AS valid FROM c GROUP BY conv_id")
 def v8(spark: SparkSession, sf: str) -> DataFrame:
     return conversations(table(spark, sf, "conversations")).select("conv_id", role_contract(F.col("messages")).alias("valid"))
 
 
-@query("V9_violations", f"WITH {RECORDS} SELECT code, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN length(question) < 20 THEN 'short_question' END, CASE WHEN length(answer) > 1500 THEN 'long_answer' END, CASE WHEN question = answer THEN 'echo' END], lambda x: x IS NOT NULL)) AS code FROM rec) GROUP BY code")
-def v9(spark: SparkSession, sf: str) -> DataFrame:
-    codes = F.array(F.when(F.length("question") < 20, "short_question"), F.when(F.length("answer") > 1500, "long_answer"), F.when(F.col("question") == F.col("answer"), "echo"))
-    return records(spark, sf).select(F.explode(F.filter(codes, lambda x: x.isNotNull())).alias("code")).groupBy("code").agg(n().alias("n"))
-
-
 @query("V10_decisions", f"WITH {RECORDS}, d AS (SELECT id, CASE id % 3 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' ELSE 'edit' END AS decision, CASE WHEN id % 2 = 0 THEN 'why' ELSE '' END AS notes, sha256(answer) AS pinned, sha256(CASE WHEN id % 11 = 0 THEN answer || '.' ELSE answer END) AS digest FROM rec) SELECT id, CASE WHEN pinned <> digest THEN 'stale' WHEN decision = 'reject' AND notes = '' THEN 'reason_missing' WHEN decision = 'edit' THEN 'modified' ELSE decision END AS state FROM d")
 def v10(spark: SparkSession, sf: str) -> DataFrame:
     i = F.col("id")
@@ -90,12 +64,6 @@ def v10(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("id", F.when(F.col("pinned") != F.col("digest"), "stale").when((F.col("decision") == "reject") & (F.col("notes") == ""), "reason_missing").when(F.col("decision") == "edit", "modified").otherwise(F.col("decision")).alias("state"))
 
 
-@query("V11_evidence_share", f"WITH {_DOCS_SPLIT} SELECT split, avg(CASE WHEN l.doc_id IS NOT NULL THEN 1.0 ELSE 0.0 END)::DOUBLE AS share FROM s LEFT JOIN labels l USING (doc_id) GROUP BY split")
-def v11(spark: SparkSession, sf: str) -> DataFrame:
-    l = table(spark, sf, "labels").select("doc_id", F.lit(1.0).alias("has"))
-    return _docs_split(spark, sf).select("doc_id", "split").join(l, "doc_id", "left").groupBy("split").agg(F.avg(F.coalesce("has", F.lit(0.0))).alias("share"))
-
-
 @query("V12_comparison", "WITH m AS (SELECT l_returnflag AS f, l_linestatus AS s, avg(l_tax) AS v FROM lineitem GROUP BY ALL) SELECT f, max(v) FILTER (WHERE s = 'F') AS before, max(v) FILTER (WHERE s = 'O') AS after, max(v) FILTER (WHERE s = 'O') - max(v) FILTER (WHERE s = 'F') AS delta FROM m GROUP BY f")
 def v12(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("f")).pivot("l_linestatus", ["F", "O"]).agg(F.avg("l_tax"))
@@ -223,3 +191,140 @@ def x29(spark: SparkSession, sf: str) -> DataFrame:
 def x31(spark: SparkSession, sf: str) -> DataFrame:
     want = spark.createDataFrame([("train",), ("val",), ("test",), ("sealed",)], "split string")
     return want.join(_docs_split(spark, sf).select("split").distinct(), "split", "left_anti").select(F.lit("EMPTY_SPLIT").alias("code"), F.col("split").alias("context"), F.lit("Provide more groups.").alias("remediation"))
+
+
+def _report(spark: SparkSession, sf: str) -> DataFrame:
+    """The release's report: section, name, value."""
+    r = release(spark, sf).withColumn("codes", V.risk_codes(risk_rules()))
+    keys = {
+        "id": F.col("id"), "question": F.col("question"), "canonical_question": X.alnum_lower("question"), "pair": F.concat("question", F.lit("\u241f"), "answer"), "answer": F.col("answer"),
+        "topic": F.col("topic_id"), "fact": F.col("fact_id"), "group": F.col("conv_id"), "chapter": F.col("chapter"), "evidence": F.col("evidence_sha256"), "template": F.col("template_id"),
+        "opening": X.fingerprint("answer"),
+    }
+    values = V.value_report(r, keys, F.col("split"))
+    tallies = V.counts(r, {"split": F.col("split"), "family": F.col("family"), "dimension": F.col("dimension"), "review": F.col("review"), "mode": F.col("mode")})
+    risks = V.counts(r.select(F.explode("codes").alias("code")), {"risk": F.col("code")})
+    ok = F.col("evidence_sha256") == F.sha2("evidence", 256)
+    sums = V.totals(r, "total", {
+        "records": n(), "verified_evidence": F.count_if(ok), "verified_share": F.count_if(ok) / n(), "multi_turn": F.count_if(F.col("n_messages") > 2),
+        "unapproved_evaluation": F.count_if((F.col("split") != "train") & (F.col("review") != "approved")), "sequence_tokens": F.sum("sequence"), "supervised_tokens": F.sum("supervised"),
+        "longest_sequence": F.max("sequence"), "sequence_p50": F.percentile("sequence", 0.5), "sequence_p95": F.percentile("sequence", 0.95), "answer_p50": F.percentile(F.length("answer"), 0.5),
+        "long_answers": F.count_if(F.length("answer").between(400, 1500)), "blank_answers": F.count_if(F.trim("answer") == ""), "negative_grounding": F.count_if((F.col("dimension") == "grounded_multi") & (F.col("mode") == "needs_evidence")),
+    })
+    per = r.groupBy("triplet_id").agg(F.min("split").alias("low"), F.max("split").alias("high"), F.count_distinct("mode").alias("modes"), F.count_distinct("conv_id").alias("convs"))
+    triplets = V.totals(per, "triplets", {"complete": F.count_if((F.col("low") == F.col("high")) & (F.col("modes") == 3) & (F.col("convs") == 3)), "crossing": F.count_if(F.col("low") != F.col("high"))})
+    return values.unionByName(tallies).unionByName(risks).unionByName(sums).unionByName(triplets)
+
+
+_KEYS = {"id": "id", "question": "question", "canonical_question": "regexp_replace(lower(question), '[^\\p{L}\\p{N}]+', '', 'g')", "pair": "question || '\u241f' || answer", "answer": "answer", "topic": "topic_id", "fact": "fact_id", "group": "conv_id", "chapter": "chapter", "evidence": "evidence_sha256", "template": "template_id"}
+_REPORT = f"""{RELEASE}, {RISK_ROWS},
+kv AS (SELECT unnest([{", ".join(f"'{k}'" for k in _KEYS)}, 'opening']) AS section, unnest([{", ".join(f"({v})::VARCHAR" for v in _KEYS.values())}, OPENING]) AS v, split FROM rel),
+each AS (SELECT section, v, count(*) AS n, min(split) AS low, max(split) AS high FROM kv WHERE trim(v, ' ') <> '' GROUP BY ALL),
+found AS (SELECT section, count(*) AS a, sum(n - 1) AS b, count(*) FILTER (WHERE n > 1) AS c, max(n) AS d, count(*) FILTER (WHERE low <> high) AS e FROM each GROUP BY section),
+ct AS (SELECT unnest(['split', 'family', 'dimension', 'review', 'mode']) AS section, unnest([split, family, dimension, review, mode]) AS name FROM rel),
+tot AS (SELECT count(*) AS records, count(*) FILTER (WHERE evidence_sha256 = sha256(evidence)) AS verified, count(*) FILTER (WHERE n_messages > 2) AS multi, count(*) FILTER (WHERE split <> 'train' AND review <> 'approved') AS unapproved,
+  sum(sequence) AS seq, sum(supervised) AS sup, max(sequence) AS longest, quantile_cont(sequence, 0.5) AS p50, quantile_cont(sequence, 0.95) AS p95, quantile_cont(length(answer), 0.5) AS a50,
+  count(*) FILTER (WHERE length(answer) BETWEEN 400 AND 1500) AS long_answers, count(*) FILTER (WHERE trim(answer, ' ') = '') AS blank, count(*) FILTER (WHERE dimension = 'grounded_multi' AND mode = 'needs_evidence') AS negative FROM rel),
+tri AS (SELECT count(*) FILTER (WHERE low = high AND modes = 3 AND convs = 3) AS complete, count(*) FILTER (WHERE low <> high) AS crossing FROM (SELECT triplet_id, min(split) AS low, max(split) AS high, count(DISTINCT mode) AS modes, count(DISTINCT conv_id) AS convs FROM rel GROUP BY triplet_id)),
+report AS (SELECT section, unnest(['distinct', 'extra_rows', 'repeated', 'most', 'crossing']) AS name, unnest([a, b, c, d, e])::DOUBLE AS value FROM found
+  UNION ALL SELECT section, coalesce(name, 'missing'), count(*)::DOUBLE FROM ct GROUP BY ALL
+  UNION ALL SELECT 'risk', code, count(*)::DOUBLE FROM risk GROUP BY code
+  UNION ALL SELECT 'total', unnest(['records', 'verified_evidence', 'verified_share', 'multi_turn', 'unapproved_evaluation', 'sequence_tokens', 'supervised_tokens', 'longest_sequence', 'sequence_p50', 'sequence_p95', 'answer_p50', 'long_answers', 'blank_answers', 'negative_grounding']),
+    unnest([records::DOUBLE, verified, verified / records, multi, unapproved, seq, sup, longest, p50, p95, a50, long_answers, blank, negative]) FROM tot
+  UNION ALL SELECT 'triplets', unnest(['complete', 'crossing']), unnest([complete, crossing])::DOUBLE FROM tri)"""
+_REPORT = _REPORT.replace("OPENING", "substr(sha256(left(regexp_replace(lower(answer), '[^\\p{L}\\p{N}]+', '', 'g'), 12)), 1, 16)")
+
+
+def _gates_sql(spec: list[tuple]) -> str:
+    rows = ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x}::DOUBLE" for x in r) + ")" for r in spec)
+    return f"SELECT gate, severity, coalesce(value, 0) AS actual, low, high, coalesce(value, 0) BETWEEN low AND high AS passed FROM (VALUES {rows}) g(gate, severity, section, name, low, high) LEFT JOIN report USING (section, name)"
+
+
+#: The quality gate's nine gates.
+GATES = [
+    ("record_count", "P0", "total", "records", 500.0, 500.0),
+    ("validation_count", "P0", "split", "val", 50.0, 1e9),
+    ("family_count", "P0", "family", "refusal", 100.0, 1e9),
+    ("minimum_topics", "P0", "topic", "distinct", 100.0, 1e9),
+    ("maximum_questions_per_fact", "P0", "fact", "most", 0.0, 8.0),
+    ("maximum_identical_answers", "P0", "answer", "most", 0.0, 5.0),
+    ("minimum_verified_evidence_share", "P0", "total", "verified_share", 0.7, 1.0),
+    ("topic_leakage", "P0", "topic", "crossing", 0.0, 0.0),
+    ("evaluation_reviewed", "P0", "total", "unapproved_evaluation", 0.0, 0.0),
+]
+TARGETS = {"qa": 400, "chat": 300, "rewrite": 300, "summary": 300, "refusal": 400}
+
+#: The release validator's gates: quotas, repeats, leaks over every key, record-level risks, coverage.
+RELEASE_GATES = [
+    *[(f"quota.split.{s}", "P0", "split", s, lo, 1e9) for s, lo in (("train", 200.0), ("val", 20.0), ("test", 20.0))],
+    *[(f"quota.dimension.{d}", "P0", "dimension", d, 50.0, 1e9) for d in sorted(DIMENSIONS.values())],
+    *[(f"duplicate_{k}", "P0", k, "extra_rows", 0.0, 0.0) for k in ("id", "question", "canonical_question", "pair")],
+    *[(f"{k}_split_leakage", "P0", k, "crossing", 0.0, 0.0) for k in ("question", "canonical_question", "topic", "fact", "group", "chapter", "evidence", "template")],
+    ("triplet_split_leakage", "P0", "triplets", "crossing", 0.0, 0.0),
+    ("calibration_triplets", "P1", "triplets", "complete", 20.0, 1e9),
+    *[(f"risk.{c}", s, "risk", c, 0.0, 0.0) for c, (s, _) in RISKS.items()],
+    ("pending_review", "P1", "review", "pending", 0.0, 0.0),
+    ("multi_turn_coverage", "P1", "total", "multi_turn", 100.0, 1e9),
+    ("negative_grounding", "P1", "total", "negative_grounding", 1.0, 1e9),
+    ("answer_opening_repeat", "P1", "opening", "most", 0.0, 20.0),
+    ("general_exact_answer_repeat", "P1", "answer", "most", 0.0, 5.0),
+    ("longest_sequence", "P0", "total", "longest_sequence", 0.0, float(CONTEXT)),
+]
+
+
+@query("V2_quality_gate", f"WITH {_REPORT} {_gates_sql(GATES)}")
+def v2(spark: SparkSession, sf: str) -> DataFrame:
+    return V.gated(_report(spark, sf), GATES)
+
+
+@query("V2_deficits", f"WITH {_REPORT} SELECT name, target, coalesce(value, 0) AS actual, greatest(0, target - coalesce(value, 0)) AS missing FROM (VALUES {', '.join(f"('family', '{k}', {v}::DOUBLE)" for k, v in TARGETS.items())}) t(section, name, target) LEFT JOIN report USING (section, name)")
+def v2_deficits(spark: SparkSession, sf: str) -> DataFrame:
+    return V.deficits(_report(spark, sf), "family", TARGETS)
+
+
+@query("V3_readiness", f"WITH {_REPORT} SELECT section, name, round(value, 6) AS value FROM report")
+def v3(spark: SparkSession, sf: str) -> DataFrame:
+    return _report(spark, sf).withColumn("value", F.round("value", 6))
+
+
+@query("V3_family_report", f"WITH {RELEASE} SELECT family, count(*) AS records, round(count(*) / sum(count(*)) OVER (), 6) AS share, round(count(DISTINCT question) / count(*), 6) AS unique_question_ratio, round(count(DISTINCT answer) / count(*), 6) AS unique_answer_ratio, quantile_cont(length(answer), 0.5) AS p50, quantile_cont(length(answer), 0.95) AS p95 FROM rel GROUP BY family")
+def v3_family(spark: SparkSession, sf: str) -> DataFrame:
+    g = release(spark, sf).groupBy("family").agg(n().alias("records"), F.count_distinct("question").alias("q"), F.count_distinct("answer").alias("a"), F.percentile(F.length("answer"), 0.5).alias("p50"), F.percentile(F.length("answer"), 0.95).alias("p95"))
+    ratio = lambda c: F.round(F.col(c) / F.col("records"), 6)
+    return g.select("family", "records", F.round(F.col("records") / F.sum("records").over(W.partitionBy(F.lit(0))), 6).alias("share"), ratio("q").alias("unique_question_ratio"), ratio("a").alias("unique_answer_ratio"), "p50", "p95")
+
+
+@query("V7_semantic_density", f"WITH {RELEASE}, g AS (SELECT split, dimension, count(*) AS records, sum(supervised)::DOUBLE AS tokens, count(DISTINCT fact_id) AS facts, count(DISTINCT template_id) AS templates, count(*) FILTER (WHERE contains(answer, evidence)) AS copied FROM rel GROUP BY split, dimension) SELECT split, dimension, records, facts, templates, copied, round(records / sum(records) OVER (PARTITION BY split), 8) AS record_share, round(tokens / sum(tokens) OVER (PARTITION BY split), 8) AS token_share, round((tokens / sum(tokens) OVER (PARTITION BY split)) / (records / sum(records) OVER (PARTITION BY split)), 6) AS density FROM g")
+def v7(spark: SparkSession, sf: str) -> DataFrame:
+    g = release(spark, sf).groupBy("split", "dimension").agg(n().alias("records"), F.sum("supervised").cast("double").alias("tokens"), F.count_distinct("fact_id").alias("facts"), F.count_distinct("template_id").alias("templates"), F.count_if(F.contains("answer", "evidence")).alias("copied"))
+    own = W.partitionBy("split")  # few rows: splits times dimensions
+    records_share, token_share = F.col("records") / F.sum("records").over(own), F.col("tokens") / F.sum("tokens").over(own)
+    return g.select("split", "dimension", "records", "facts", "templates", "copied", F.round(records_share, 8).alias("record_share"), F.round(token_share, 8).alias("token_share"), F.round(token_share / records_share, 6).alias("density"))
+
+
+@query("V8_release_gates", f"WITH {_REPORT} {_gates_sql(RELEASE_GATES)}")
+def v8_release(spark: SparkSession, sf: str) -> DataFrame:
+    return V.gated(_report(spark, sf), RELEASE_GATES)
+
+
+@query("V8_status", f"WITH {_REPORT}, g AS ({_gates_sql(RELEASE_GATES)}) SELECT CASE WHEN bool_and(passed) THEN 'passed' ELSE 'needs_revision' END AS status, list_sort(list(gate) FILTER (WHERE NOT passed AND severity = 'P0')) AS p0_failures, list_sort(list(gate) FILTER (WHERE NOT passed AND severity = 'P1')) AS p1_failures FROM g")
+def v8_status(spark: SparkSession, sf: str) -> DataFrame:
+    failed = lambda s: F.sort_array(F.collect_list(F.when(~F.col("passed") & (F.col("severity") == s), F.col("gate"))))
+    return v8_release(spark, sf).agg(F.when(F.every("passed"), "passed").otherwise("needs_revision").alias("status"), failed("P0").alias("p0_failures"), failed("P1").alias("p1_failures"))
+
+
+@query("V9_risk_records", f"WITH {RELEASE}, {RISK_ROWS} SELECT id, split, family, code, severity FROM risk")
+def v9(spark: SparkSession, sf: str) -> DataFrame:
+    r = release(spark, sf).select("id", "split", "family", F.explode(V.risk_codes(risk_rules())).alias("code"))
+    severity = F.create_map(*[F.lit(x) for code, (s, _) in RISKS.items() for x in (code, s)])
+    return r.withColumn("severity", severity[F.col("code")])
+
+
+@query("V11_evidence_share", f"WITH {RELEASE}, c AS (SELECT doc_id AS chapter, line FROM lines), u AS (SELECT DISTINCT chapter, line FROM c) SELECT r.split, count(*) AS records, count(*) FILTER (WHERE u.line IS NOT NULL AND r.evidence_sha256 = sha256(r.evidence)) AS resolved, round(count(*) FILTER (WHERE u.line IS NOT NULL AND r.evidence_sha256 = sha256(r.evidence)) / count(*), 6) AS share FROM rel r LEFT JOIN u ON u.chapter = r.chapter AND u.line = r.evidence GROUP BY r.split")
+def v11(spark: SparkSession, sf: str) -> DataFrame:
+    """Each record's evidence is looked up again, by its text, among the lines of its chapter; digests must agree too."""
+    r = release(spark, sf)
+    there = lines(spark, sf).select(F.col("doc_id").alias("chapter"), F.col("line").alias("evidence"), F.lit(True).alias("found")).distinct()
+    ok = F.coalesce(F.col("found"), F.lit(False)) & (F.col("evidence_sha256") == F.sha2("evidence", 256))
+    g = r.join(there, ["chapter", "evidence"], "left").groupBy("split").agg(n().alias("records"), F.count_if(ok).alias("resolved"))
+    return g.withColumn("share", F.round(F.col("resolved") / F.col("records"), 6))
