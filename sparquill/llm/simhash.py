@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,9 +14,9 @@ from sparquill.llm.common import binary_list, importable, salted_join, slices, s
 from sparquill.operators.components import connected_components
 
 BITS, DISTANCE, SEED = 64, 3, 42
-#: Children of a node, as a power of two; codes of a shard, as a power of two (then 40 MB of index); and as many shards
-#: as there are tasks, up to LEAST_SHARDS, even if they are smaller.
-FAN_OUT_BITS, SHARD_BITS, LEAST_SHARDS = 2, 20, 64
+#: Children of a node, as a power of two; codes of a shard and visiting codes of a task, as a power of two (then 40 MB of
+#: index); and the least number of shards.
+FAN_OUT_BITS, SHARD_BITS, LEAST_SHARDS = 2, 20, 16
 
 
 def fingerprint_of(text: bytes, size: int = 3) -> int:
@@ -122,16 +123,18 @@ class GrayIndex:
             yield from down(top, *near(top, np.repeat(qi, len(roots)), np.tile(roots, len(qi)), 0))
 
 
-def shard_links(own: np.ndarray, others: Iterator[np.ndarray], distance: int = DISTANCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links (code, code of `own`) that join all of own and others that differ in at most `distance` bits from a code
-    of own. At most one link for each code: pairs merge labels at once and are not kept."""
+def shard_links(own: np.ndarray, others: Iterator[np.ndarray], part: int = 0, parts: int = 1, distance: int = DISTANCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links (code, code of `own`) that join all of own (as far as every parts-th of them, from `part` on, tells) and
+    others that differ in at most `distance` bits from a code of own. At most one link for each code: pairs merge labels
+    at once and are not kept."""
     own = own[np.argsort(gray_rank(own), kind="stable")]
     index, n = GrayIndex(own), len(own)
-    label = np.arange(n)
-    for qi, item in index.search(own, distance, np.arange(n)):
-        apart = label[qi] != label[item]
+    label, mine = np.arange(n), np.arange(part, n, parts)
+    for qi, item in index.search(own[mine], distance, mine):
+        x = mine[qi]
+        apart = label[x] != label[item]
         if apart.any():
-            label = _lowest(n, qi[apart], item[apart], label)
+            label = _lowest(n, x[apart], item[apart], label)
     for q in others:
         both = np.concatenate([label, np.arange(n, n + len(q))])
         for qi, item in index.search(q, distance):
@@ -152,14 +155,18 @@ def fingerprint_links(codes: DataFrame, least_shards: int = LEAST_SHARDS) -> Dat
 
     The codes are range-sorted by Gray rank into shards, written once. The masked pattern of each shard (one row a
     shard) forms the upper part of the index, which all tasks get; a code goes down it to the shards that may hold a
-    neighbour, of those that come after its own, and each shard's task searches the lower part for all codes that
-    reach it. So all codes are searched through the one hierarchy, pairs are never rows, and a code goes to some
-    B^3 / 12 shards if there are 2^B of them (B = 6 up to 64 million codes).
+    neighbour, of those that come after its own, and a shard's tasks search the lower part for the codes that visit it.
+    So all codes are searched through the one hierarchy, and pairs are never rows. Codes travel in blocks. Up to 16
+    million codes there are 16 shards and a code visits some 7 at most; with 2^B shards it visits some B^3 / 12. Where
+    visitors are many, a shard has several tasks, each with its index and a share of them.
     """
     spark = codes.sparkSession
     importable(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_shards = max(codes.count() >> SHARD_BITS, min(parts, least_shards), 1)
+    n_codes = codes.count()
+    n_shards = max(n_codes >> SHARD_BITS, least_shards)
+    bits = math.log2(n_shards)
+    visits = sum(math.comb(math.ceil(bits), i) for i in range(DISTANCE + 1)) / 2
+    parts = max(1, math.ceil(n_codes * visits / n_shards) >> SHARD_BITS)
 
     def ranked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,48 +177,61 @@ def fingerprint_links(codes: DataFrame, least_shards: int = LEAST_SHARDS) -> Dat
     roots = sorted(shards.groupBy("shard").agg(F.expr("bit_and(fp)").alias("all"), F.expr("bit_or(fp)").alias("any")).collect())
     if not roots:
         return spark.createDataFrame([], "a long, b long")
-    number = np.array([r["shard"] for r in roots], np.int32)
+    number = np.array([r["shard"] for r in roots], np.int64)
     every, some = (np.array([r[c] for r in roots], np.int64).view(np.uint64) for c in ("all", "any"))
 
+    def blocks(task: np.ndarray, guest: int, fp: np.ndarray) -> pa.RecordBatch:
+        order = np.argsort(task, kind="stable")
+        cut = np.flatnonzero(np.diff(task[order])) + 1
+        own = np.split(order, cut)
+        return pa.RecordBatch.from_arrays([pa.array([int(task[x[0]]) for x in own], pa.int32()), pa.array([guest] * len(own), pa.int8()), pa.array([fp[x].tobytes() for x in own], pa.binary())], ["task", "guest", "block"])
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         upper = GrayIndex(every, ~(every ^ some))
         for batch in batches:
             if not batch.num_rows:
                 continue
-            fp, shard = batch.column("fp").to_numpy(), batch.column("shard").to_numpy()
-            own = np.searchsorted(number, shard)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array(np.zeros(len(fp), np.int8)), pa.array(fp)], ["shard", "guest", "fp"])
+            fp, own = batch.column("fp").to_numpy(), np.searchsorted(number, batch.column("shard").to_numpy())
+            for part in range(parts):
+                yield blocks(own * parts + part, 0, fp)
             for qi, item in upper.search(fp.view(np.uint64), DISTANCE, own):
-                yield pa.RecordBatch.from_arrays([pa.array(number[item]), pa.array(np.ones(len(qi), np.int8)), pa.array(fp[qi])], ["shard", "guest", "fp"])
+                yield blocks(item * parts + (mixed(fp[qi]) % np.uint64(parts)).astype(np.int64), 1, fp[qi])
 
-    routed = shards.mapInArrow(route, "shard int, guest byte, fp long").repartitionById(int(number[-1]) + 1, F.col("shard")).sortWithinPartitions("guest")
+    routed = shards.mapInArrow(route, "task int, guest byte, block binary").repartitionById(len(number) * parts, F.col("task")).sortWithinPartitions("guest")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def guests(first: list[np.ndarray]) -> Iterator[np.ndarray]:
-            held = first
-            for batch in batches:
-                held.append(batch.column("fp").to_numpy().view(np.uint64))
+        rows = ((t, g, np.frombuffer(x.as_py(), "<u8")) for b in batches for t, g, x in zip(b.column("task").to_pylist(), b.column("guest").to_pylist(), b.column("block"), strict=True))
+        own: list[np.ndarray] = []
+        visitor, task = None, 0
+        for task, guest, fp in rows:
+            if guest:
+                visitor = fp
+                break
+            own.append(fp)
+
+        def guests() -> Iterator[np.ndarray]:
+            held = [] if visitor is None else [visitor]
+            for *_, fp in rows:
+                held.append(fp)
                 if sum(map(len, held)) >= 1 << 17:
                     yield np.concatenate(held)
                     held = []
             if held:
                 yield np.concatenate(held)
 
-        own: list[np.ndarray] = []
-        late: list[np.ndarray] = []
-        for batch in batches:
-            fp, own_rows = batch.column("fp").to_numpy().view(np.uint64), int((batch.column("guest").to_numpy() == 0).sum())
-            own.append(fp[:own_rows])
-            if own_rows < len(fp):
-                late.append(fp[own_rows:])
-                break
         if own:
-            for a, b in shard_links(np.concatenate(own), guests(late)):
+            for a, b in shard_links(np.concatenate(own), guests(), task % parts, parts):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
 
     return routed.mapInArrow(search, "a long, b long")
 
 
+def mixed(fp: np.ndarray) -> np.ndarray:
+    """Deals codes over tasks, whatever bits they share."""
+    x = fp.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return x >> np.uint64(32)
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, row_col: str | None = None) -> DataFrame:
     """The near-duplicate component of every document: doc_id, fingerprint, component_id; with row_col (unique longs
     of docs) also that column and first: whether the row is the one of its component that stays, that of the smallest
