@@ -53,12 +53,28 @@ def shared_line_pairs(lines: DataFrame, least_chars: int = 40, least_shared: int
     return both.select("a", "b", shared.alias("shared")).where(F.col("shared") >= least_shared)
 
 
+def line_classes(lines: DataFrame, least_chars: int = 40) -> DataFrame:
+    """doc_id, class_id: documents with the same set of long lines are one class, named by the smallest id; documents
+    without such lines are in none. Only digests are grouped, and they combine before the shuffle."""
+    own = lines.where(F.length("line") >= least_chars).select("doc_id", "line").distinct()
+    mark = staged(own.groupBy("doc_id").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("line")), "\n"), 256).alias("s")), "line-signatures")
+    low = mark.groupBy("s").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("size"))
+    return salted_join(mark, low, ["s"], "size", F.col("doc_id")).select("doc_id", "class_id")
+
+
+def of_classes(lines: DataFrame, least_chars: int = 40) -> DataFrame:
+    """The lines of each class's first document: what is found of them holds for all of the class."""
+    first = line_classes(lines, least_chars).where("doc_id = class_id").select("doc_id")
+    return lines.join(first, "doc_id", "left_semi")
+
+
 def line_links(lines: DataFrame, least_chars: int = 40) -> DataFrame:
-    """a, b: each line's smallest document with each of its others. They connect what all pairs of shared_line_pairs
-    connect, with a row a document in place of one a pair."""
+    """a, b, shared: each line's smallest document with each of its others, and the characters of the lines that link
+    them. They connect what all pairs of shared_line_pairs connect, with rows as the lines', not as their pairs'."""
     kept = shared_lines(lines, least_chars)
     first = kept.groupBy("h", "line").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("size"))
-    return salted_join(kept.select("h", "line", F.col("doc_id").alias("b")), first, ["h", "line"], "size", F.col("b")).where("a < b").select("a", "b").distinct()
+    linked = salted_join(kept.select("h", "line", F.col("doc_id").alias("b"), "n"), first, ["h", "line"], "size", F.col("b")).where("a < b")
+    return linked.groupBy("a", "b").agg(F.sum("n").alias("shared"))
 
 
 def limited_facts(records: DataFrame, priority: list[Column], most: int = 2) -> tuple[DataFrame, DataFrame]:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import heapq
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,81 +37,32 @@ def decoded(ids: Column, vocab: dict[int, str]) -> Column:
     return F.array_join(F.transform(ids, lambda i: F.try_element_at(table, i)), "")
 
 
-def learn_merges(pieces: Counter[str], merges: int, least: int = 2) -> list[tuple[str, str]]:
-    """Byte-pair merges of distinct pieces with their counts: the most frequent pair first, on ties the smaller
-    strings; a pair never crosses a piece. Pair counts are updated only where a merge changes a piece."""
-    words = [[*p] for p in pieces]
-    weight = [*pieces.values()]
-    counts: Counter[tuple[str, str]] = Counter()
-    where: dict[tuple[str, str], set[int]] = defaultdict(set)
-    for i, w in enumerate(words):
-        for pair in zip(w, w[1:], strict=False):
-            counts[pair] += weight[i]
-            where[pair].add(i)
-    heap = [(-n, pair) for pair, n in counts.items()]
-    heapq.heapify(heap)
-    out: list[tuple[str, str]] = []
-    made = {c for w in words for c in w}
-    while heap and len(out) < merges:
-        n, pair = heapq.heappop(heap)
-        if counts[pair] != -n:
-            if counts[pair] >= least:
-                heapq.heappush(heap, (-counts[pair], pair))
-            continue
-        if -n < least:
-            break
-        joint = pair[0] + pair[1]
-        if joint in made:  # a token that is there already is not made again
-            counts[pair] = 0
-            continue
-        made.add(joint)
-        out.append(pair)
-        changed: set[tuple[str, str]] = set()
-        for i in where.pop(pair):
-            w, new, k = words[i], [], 0
-            while k < len(w):
-                if k + 1 < len(w) and (w[k], w[k + 1]) == pair:
-                    new.append(joint)
-                    k += 2
-                else:
-                    new.append(w[k])
-                    k += 1
-            for old in zip(w, w[1:], strict=False):
-                counts[old] -= weight[i]
-                changed.add(old)
-            for fresh in zip(new, new[1:], strict=False):
-                counts[fresh] += weight[i]
-                where[fresh].add(i)
-                changed.add(fresh)
-            words[i] = new
-        counts[pair] = 0
-        for c in changed:
-            if counts[c] >= least:
-                heapq.heappush(heap, (-counts[c], c))
-    return out
-
-
-def apply_merges(text: str, rank: dict[tuple[str, str], int]) -> list[str]:
-    """Tokens of a text: lowest rank first, leftmost on ties."""
-    tokens = [*text]
-    while len(tokens) > 1:
-        best = min(range(len(tokens) - 1), key=lambda i: (rank.get((tokens[i], tokens[i + 1]), 1 << 60), i))
-        if (tokens[best], tokens[best + 1]) not in rank:
-            break
-        tokens[best : best + 2] = [tokens[best] + tokens[best + 1]]
-    return tokens
+def merged(ids: np.ndarray, todo: list[tuple[int, int, int]]) -> np.ndarray:
+    """ids with the merges (left, right, new) made one after the other, each at all its places, leftmost first."""
+    for a, b, new in todo:
+        at = np.flatnonzero((ids[:-1] == a) & (ids[1:] == b))
+        if a == b and len(at):  # of a run's places, every other one from its start
+            start = np.r_[True, np.diff(at) != 1]
+            at = at[(np.arange(len(at)) - np.flatnonzero(start)[np.cumsum(start) - 1]) % 2 == 0]
+        if len(at):
+            ids = ids.copy()
+            ids[at] = new
+            ids = np.delete(ids, at + 1)
+    return ids
 
 
 def learnt_merges(texts: DataFrame, merges: int, column: str = "text", least: int = 2, top: int = 512, restage: int = 25) -> list[tuple[str, str]]:
-    """learn_merges over all white-space separated pieces of all texts. The pieces stay in the cluster, as blocks of
-    code points (tokens made have ids above them); only the `top` most frequent pairs of each round come to the driver.
+    """Byte-pair merges over all lines of all texts: the most frequent adjacent pair first, on ties the smaller left id,
+    then the smaller right id (characters in code-point order, then tokens as they were made). Only a newline is a
+    barrier. Distinct lines with their counts stay in the cluster, as blocks of code points (tokens made have ids above
+    them); only the `top` most frequent pairs of each round come to the driver.
 
     A round takes as many merges as are sure to be next one by one: down the order by count, while no pair shares a
     character or token with the side of an earlier one where it could touch it, and while no count is tied. A merge's
     new pairs are at most as frequent as pairs that are still further down then.
     """
     importable(texts.sparkSession)
-    pieces = texts.select(F.explode(F.split(F.col(column), r"\s+")).alias("p")).where("p <> ''").groupBy("p").agg(F.count(F.lit(1)).alias("n"))
+    pieces = texts.select(F.explode(F.split(F.col(column), "\n")).alias("p")).where("p <> ''").groupBy("p").agg(F.count(F.lit(1)).alias("n"))
 
     def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -120,18 +70,6 @@ def learnt_merges(texts: DataFrame, merges: int, column: str = "text", least: in
                 ids = np.frombuffer(("\n".join(b["p"]) + "\n").encode("utf-32-le"), "<i4")
                 yield pd.DataFrame({"ids": [ids.tobytes()], "n": [b["n"].to_numpy(np.int64).tobytes()]})
 
-    def merged(ids: np.ndarray, todo: list[tuple[int, int, int]]) -> np.ndarray:
-        for a, b, new in todo:
-            at = np.flatnonzero((ids[:-1] == a) & (ids[1:] == b))
-            if a == b and len(at):  # of a run's places, every other one from its start
-                start = np.r_[True, np.diff(at) != 1]
-                at = at[(np.arange(len(at)) - np.flatnonzero(start)[np.cumsum(start) - 1]) % 2 == 0]
-            if len(at):
-                ids = ids.copy()
-                ids[at] = new
-                ids = np.delete(ids, at + 1)
-        return ids
-
     def run(todo: list[tuple[int, int, int]], count: bool):
         def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for rows in batches:
@@ -164,12 +102,13 @@ def learnt_merges(texts: DataFrame, merges: int, column: str = "text", least: in
         if len(rows) == top + len(blocked):  # all of the last count, or none of them
             last = rows[-1]["n"]
             rows = [r for r in rows if r["n"] > last] or counts.where(F.col("n") == last).collect()
-        pairs = sorted((-r["n"], name(r["pair"] >> 24), name(r["pair"] & 0xFFFFFF), r["pair"]) for r in rows)
+        pairs = sorted((-r["n"], r["pair"]) for r in rows)  # of equal counts the smaller left, then right id
         lefts: set[int] = set()
         rights: set[int] = set()
         before = len(out)
-        for k, (n, x, y, pair) in enumerate(pairs):
+        for k, (n, pair) in enumerate(pairs):
             a, b = pair >> 24, pair & 0xFFFFFF
+            x, y = name(a), name(b)
             if len(out) > before and (a in rights or b in lefts or len(out) == merges):
                 break
             touches = a in {p & 0xFFFFFF for *_, p in pairs[:k]} or b in {p >> 24 for *_, p in pairs[:k]}
@@ -199,27 +138,45 @@ def learnt_merges(texts: DataFrame, merges: int, column: str = "text", least: in
     return out
 
 
-def bpe_encoded(df: DataFrame, column: str, merges: list[tuple[str, str]]) -> DataFrame:
-    """Adds tokens, the byte-pair tokens of each piece of column in order; pieces are memoised in each worker."""
-    rank = {p: i for i, p in enumerate(merges)}
+def bpe_encoded(df: DataFrame, column: str, merges: list[tuple[str, str]], most: int = 1 << 20) -> DataFrame:
+    """Adds tokens, the byte-pair tokens of column: lowest rank first, leftmost on ties. Nothing is dropped, so the
+    tokens joined are the text; a newline is a token of its own.
+
+    A pair that holds a token has a higher rank than the merge that made it, so making all merges in the order of
+    their ranks is the same as always taking the lowest; some `most` characters are worked on at once.
+    """
+    importable(df.sparkSession)
+    number, todo = {}, []
+    for a, b in merges:
+        left, right = (number.get(x, ord(x) if len(x) == 1 else -1) for x in (a, b))
+        number[a + b] = 0x110000 + len(todo)
+        todo.append((left, right, number[a + b]))
+    made = [a + b for a, b in merges]
     schema = df.schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[str, list[str]] = {}
-        for b in batches:
-            out = []
-            for text in b[column]:
-                tokens: list[str] = []
-                for p in (text or "").split():
-                    if p not in known:
-                        if len(known) > 200_000:
-                            known.clear()
-                        known[p] = apply_merges(p, rank)
-                    tokens += known[p]
-                out.append(tokens)
-            yield b.assign(tokens=out)
-
-    return df.mapInPandas(run, T.StructType([*schema.fields, T.StructField("tokens", T.ArrayType(T.StringType()))]))
+    def encode(texts: list[str]) -> list[list[str]]:
+        ids = merged(np.frombuffer("\0".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), "<i4"), todo) if "\0" not in "".join(texts) else None
+        if ids is None:  # a text with the separator itself goes alone, between its own
+            return [[x for i, part in enumerate(t.split("\0")) for x in ([] if not i else ["\0"]) + encode([part])[0]] if "\0" in t else encode([t])[0] for t in texts]
+        kinds, place = np.unique(ids, return_inverse=True)
+        names = np.array([made[i - 0x110000] if i > 0x10FFFF else chr(i) for i in kinds.tolist()], dtype=object)
+        tokens, ends = names[place], np.flatnonzero(ids == 0)
+        return [tokens[s:e].tolist() for s, e in zip([0, *(ends[:-1] + 1).tolist()], ends.tolist(), strict=True)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column(column).to_pylist()]
+            at = 0
+            while at < len(texts):
+                size, end = 0, at
+                while end < len(texts) and (end == at or size + len(texts[end]) <= most):
+                    size += len(texts[end])
+                    end += 1
+                part = batch.slice(at, end - at)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(encode(texts[at:end]), pa.list_(pa.string()))], [*part.schema.names, "tokens"])
+                at = end
+
+    return df.mapInArrow(run, T.StructType([*schema.fields, T.StructField("tokens", T.ArrayType(T.StringType()))]))
 
 
 def conversations(turns: DataFrame) -> DataFrame:

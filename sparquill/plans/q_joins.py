@@ -10,6 +10,8 @@ from sparquill.functions import text as X
 from sparquill.functions.metrics import line_blocks
 from sparquill.operators import dedup as D
 from sparquill.operators.components import connected_components
+from sparquill.operators.quotes import containing, located, nearly
+from sparquill.operators.staging import salted_join
 from sparquill.plans.registry import query
 from sparquill.sources.tables import LINES, RECORDS, lines, records, spread, table
 
@@ -72,45 +74,33 @@ def j7(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.min("doc_id").alias("doc_id"))
 
 
-@query("J8_quote_locate", r"""WITH q AS (SELECT item_id, regexp_replace(substr(text, 1, 60), '\s+', '', 'g') AS quote FROM benchmark WHERE length(text) >= 60), d AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS body FROM documents), h AS (SELECT item_id, doc_id, strpos(body, quote) AS place FROM q JOIN d ON contains(body, quote)) SELECT item_id, doc_id, place FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS k FROM h) WHERE k = 1""")
-def j8(spark: SparkSession, sf: str) -> DataFrame:
-    q = located(table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote")), table(spark, sf, "documents"))
-    return q.select("item_id", "doc_id", "place")
+_QUOTES = r"q AS (SELECT item_id, regexp_replace(text, '\s+', '', 'g') AS quote FROM benchmark), d AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS body FROM documents), h AS (SELECT item_id, doc_id, strpos(body, quote) AS place FROM q JOIN d ON contains(body, quote) WHERE quote <> '')"
 
 
-def located(quotes: DataFrame, docs: DataFrame, gram: int = 16, most_heads: int = 100_000) -> DataFrame:
-    """The first document (least id) that contains each quote (item_id, quote; white space aside), and the place.
+def _quotes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    bodies = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", X.compact("text").alias("body"))
+    return bodies, table(spark, sf, "benchmark").select("item_id", X.compact("text").alias("quote"))
 
-    Quotes are found by an equi join on the hash of their first characters with the grams of the documents, kept only
-    where a quote begins so; only then is the whole quote compared. Nothing is compared pair by pair. A quote that is
-    shorter than gram is its own head; one without characters is not looked for.
-    """
-    from collections.abc import Iterator
 
-    import pandas as pd
+@query("J8_quote_locate", f"WITH {_QUOTES} SELECT item_id, min(doc_id) AS doc_id, arg_min(place, doc_id) AS place FROM h GROUP BY item_id")
+def j8(spark: SparkSession, sf: str) -> DataFrame:
+    return located(containing(*_quotes(spark, sf)))
 
-    q = quotes.select("item_id", X.compact("quote").alias("quote")).where("quote <> ''").withColumn("head", F.substring("quote", 1, gram))
-    heads = [r["head"] for r in q.select("head").distinct().limit(most_heads + 1).collect()]
-    bodies = spread(docs.select("doc_id", X.compact("text").alias("body")))
-    if len(heads) > most_heads:  # beyond a checked size, join on all grams instead of sending the heads along
-        from sparquill.functions.metrics import grams
 
-        sizes = sorted(r["n"] for r in q.select(F.length("head").alias("n")).distinct().collect())
-        hits = bodies.select("doc_id", "body", F.explode(F.array_distinct(F.flatten(F.array(*[grams("body", n) for n in sizes])))).alias("head"))
-    else:
-        import ahocorasick
+@query("J8_claimed_first", f"WITH {_QUOTES} SELECT item_id, arg_min(doc_id, doc_id + CASE WHEN doc_id = item_id % 50 THEN 0 ELSE 1000000000 END) AS doc_id, arg_min(place, doc_id + CASE WHEN doc_id = item_id % 50 THEN 0 ELSE 1000000000 END) AS place, bool_or(doc_id = item_id % 50) AS as_claimed FROM h GROUP BY item_id")
+def j8_claimed(spark: SparkSession, sf: str) -> DataFrame:
+    claims = table(spark, sf, "benchmark").select("item_id", (F.col("item_id") % 50).alias("claimed"))
+    return located(containing(*_quotes(spark, sf)), claims)
 
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            found = ahocorasick.Automaton()
-            for h in heads:
-                found.add_word(h, h)
-            found.make_automaton()
-            for b in batches:
-                yield pd.DataFrame([(d, t, h) for d, t in zip(b["doc_id"], b["body"], strict=True) for h in sorted({h for _, h in found.iter(t)})], columns=["doc_id", "body", "head"])
 
-        hits = bodies.mapInPandas(scan, "doc_id long, body string, head string") if heads else bodies.select("doc_id", "body", F.lit("").alias("head")).limit(0)
-    place = F.expr("instr(body, quote)").cast("long")
-    return hits.join(q, "head").where(F.col("body").contains(F.col("quote"))).groupBy("item_id").agg(F.min(F.struct("doc_id", place.alias("place"))).alias("m")).select("item_id", "m.doc_id", "m.place")
+@query("J8_nearly", r"""WITH q AS (SELECT item_id, regexp_replace(regexp_replace(text, '\s+', '', 'g'), '(.{40}).', '\1#', 'g') AS quote FROM benchmark), d AS (SELECT doc_id, regexp_replace(text, '\s+', '', 'g') AS body FROM documents),
+qg AS (SELECT DISTINCT item_id, substr(quote, i, 8) AS g FROM (SELECT item_id, quote, unnest(range(1, length(quote) - 6)) AS i FROM q)), n AS (SELECT item_id, count(*) AS size FROM qg GROUP BY item_id),
+dg AS (SELECT DISTINCT doc_id, substr(body, i, 8) AS g FROM (SELECT doc_id, body, unnest(range(1, length(body) - 6)) AS i FROM d)),
+k AS (SELECT item_id, doc_id, count(*) AS k FROM qg JOIN dg USING (g) GROUP BY item_id, doc_id), b AS (SELECT item_id, doc_id, k, row_number() OVER (PARTITION BY item_id ORDER BY k DESC, doc_id) AS r FROM k)
+SELECT item_id, doc_id, k / size AS share FROM b JOIN n USING (item_id) WHERE r = 1 AND k / size >= 0.5""")
+def j8_nearly(spark: SparkSession, sf: str) -> DataFrame:
+    bodies, quotes = _quotes(spark, sf)
+    return nearly(bodies, quotes.withColumn("quote", F.regexp_replace("quote", "(.{40}).", "$1#")))
 
 
 @query("J9_entity_in_claimed", f"""WITH {LINES}, {_NAMES} SELECT name, doc_id, min(line_no) AS line_no FROM n JOIN lines ON doc_id % 6 = length(name) % 6 AND contains(line, name) GROUP BY name, doc_id""")
@@ -190,12 +180,11 @@ def j19(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").groupBy("user_id", "event_type").agg(F.max("event_id").alias("event_id"), F.max_by("value", "event_id").alias("value"))
 
 
-@query("F6_decontaminate", r"""WITH b AS (SELECT item_id, substr(regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g'), 1, 60) AS p FROM benchmark), d AS (SELECT doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS t FROM documents) SELECT doc_id, min(item_id) AS item_id, count(*) AS n_items FROM d JOIN b ON length(p) = 60 AND contains(t, p) GROUP BY doc_id""")
+@query("F6_decontaminate", r"""WITH b AS (SELECT item_id, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS p FROM benchmark), d AS (SELECT doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS t FROM documents) SELECT doc_id, min(item_id) AS item_id, count(*) AS n_items FROM d JOIN b ON p <> '' AND contains(t, p) GROUP BY doc_id""")
 def f6(spark: SparkSession, sf: str) -> DataFrame:
-    prompts = table(spark, sf, "benchmark").select("item_id", X.alnum_lower("text").alias("p")).where("p <> ''")
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", X.alnum_lower("text").alias("t"))
-    # Benchmarks are small by nature; the optimizer broadcasts them only below its threshold, else this is a shuffle.
-    return docs.join(prompts, F.col("t").contains(F.col("p"))).groupBy("doc_id").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n_items"))
+    prompts = table(spark, sf, "benchmark").select("item_id", X.alnum_lower("text").alias("quote"))
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text")).select("doc_id", X.alnum_lower("text").alias("body"))
+    return containing(docs, prompts).groupBy("doc_id").agg(F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("n_items"))
 
 
 @query("D1_exact_groups", """SELECT sha256(text) AS digest, count(*) AS n, min(doc_id) AS keep_id FROM documents GROUP BY text HAVING count(*) > 1""")
@@ -208,48 +197,64 @@ def d2(spark: SparkSession, sf: str) -> DataFrame:
     return lines(spark, sf).where(F.length("line").between(1, 80)).groupBy("doc_id", "line").agg(F.sort_array(F.collect_list("line_no")).alias("line_nos")).where(F.size("line_nos") > 1)
 
 
-_SHARED = f"""{LINES}, own AS (SELECT DISTINCT doc_id, line FROM lines WHERE length(line) >= 40), s AS (SELECT line FROM own GROUP BY line HAVING count(*) BETWEEN 2 AND 10), k AS (SELECT doc_id, line FROM own SEMI JOIN s USING (line)),
-pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(length(a.line))::BIGINT AS shared FROM k a JOIN k b ON a.line = b.line AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id)"""
+_SHARED = f"""{LINES}, own AS (SELECT DISTINCT doc_id, line FROM lines WHERE length(line) >= 40), sig AS (SELECT doc_id, sha256(string_agg(line, chr(10) ORDER BY line)) AS s FROM own GROUP BY doc_id),
+class AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY s) AS class_id FROM sig), k AS (SELECT own.doc_id, line FROM own JOIN class ON own.doc_id = class.doc_id AND class_id = own.doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(length(a.line))::BIGINT AS shared FROM k a JOIN k b ON a.line = b.line AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT a, b, sum(n)::BIGINT AS shared FROM (SELECT min(doc_id) OVER (PARTITION BY line) AS a, doc_id AS b, length(line) AS n FROM own) WHERE a < b GROUP BY a, b)"""
+
+
+@query("D3_line_classes", f"WITH {_SHARED} SELECT doc_id, class_id FROM class")
+def d3_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return D.line_classes(lines(spark, sf))
 
 
 @query("D3_shared_line_pairs", f"WITH {_SHARED} SELECT a, b, shared FROM pairs WHERE shared >= 100")
 def d3(spark: SparkSession, sf: str) -> DataFrame:
-    return D.shared_line_pairs(lines(spark, sf), least_shared=100)
+    return D.shared_line_pairs(D.of_classes(lines(spark, sf)), least_shared=100)
 
 
 @query("D3_block_similarity")
 def d3b(spark: SparkSession, sf: str) -> DataFrame:
     body = table(spark, sf, "documents").select("doc_id", F.filter(F.transform(X.split_lines("text"), X.collapse), lambda x: x != "").alias("ls"))
-    pairs = D.shared_line_pairs(lines(spark, sf), least_shared=100)
+    pairs = D.shared_line_pairs(D.of_classes(lines(spark, sf)), least_shared=100)
     both = pairs.join(body.selectExpr("doc_id AS a", "ls AS la"), "a").join(body.selectExpr("doc_id AS b", "ls AS lb"), "b")
     m = both.select("a", "b", line_blocks("la", "lb").alias("m")).select("a", "b", "m.*")
     return m.where("matched >= 100 AND coverage >= 0.4").withColumn("confidence", F.when(F.col("coverage") >= 0.98, "high").otherwise("review"))
 
 
-@query("D4_keep_best", f"""WITH {_SHARED}, d AS (SELECT doc_id, n_chars - 150 * (length(text) - length(replace(text, '%%%', ''))) // 3 AS q, n_chars FROM documents) SELECT a, b, CASE WHEN (x.q, x.n_chars, -a) > (y.q, y.n_chars, -b) THEN a ELSE b END AS keep_id FROM pairs JOIN d x ON x.doc_id = a JOIN d y ON y.doc_id = b""")
+@query("D4_keep_best", f"""WITH {_SHARED}, d AS (SELECT doc_id, n_chars - 150 * (length(text) - length(replace(text, '%%%', ''))) // 3 AS q, n_chars FROM documents) SELECT a, b, CASE WHEN (x.q, x.n_chars, -a) > (y.q, y.n_chars, -b) THEN a ELSE b END AS keep_id FROM links JOIN d x ON x.doc_id = a JOIN d y ON y.doc_id = b""")
 def d4(spark: SparkSession, sf: str) -> DataFrame:
     q = table(spark, sf, "documents").select("doc_id", F.struct((F.col("n_chars") - F.floor(150 * (F.length("text") - F.length(F.replace("text", F.lit("%%%"), F.lit("")))) / 3)).alias("q"), "n_chars", (-F.col("doc_id")).alias("o")).alias("s"))
-    p = D.shared_line_pairs(lines(spark, sf)).join(q.selectExpr("doc_id AS a", "s AS sa"), "a").join(q.selectExpr("doc_id AS b", "s AS sb"), "b")
+    p = D.line_links(lines(spark, sf)).join(q.selectExpr("doc_id AS a", "s AS sa"), "a").join(q.selectExpr("doc_id AS b", "s AS sb"), "b")
     return p.select("a", "b", (-F.greatest("sa", "sb")["o"]).alias("keep_id"))
 
 
-@query("D5_shortest_per_target", f"WITH {_SHARED} SELECT b, arg_min(a, shared * 1000000 + a) AS a, min(shared) AS shared FROM pairs GROUP BY b")
+@query("D5_shortest_per_target", f"WITH {_SHARED} SELECT b, arg_min(a, shared * 1000000000 + a) AS a, min(shared) AS shared FROM links GROUP BY b")
 def d5(spark: SparkSession, sf: str) -> DataFrame:
-    return D.first_by(D.shared_line_pairs(lines(spark, sf)), ["b"], [F.col("shared"), F.col("a")]).select("b", "a", "shared")
+    return D.first_by(D.line_links(lines(spark, sf)), ["b"], [F.col("shared"), F.col("a")]).select("b", "a", "shared")
 
 
-@query("D6_remove_ranges", f"""WITH {_SHARED}, m AS (SELECT doc_id, count(*) AS n_lines FROM lines GROUP BY doc_id) SELECT b AS doc_id, 1 AS start_line, n_lines AS end_line, count(*) AS n_pairs FROM pairs JOIN m ON m.doc_id = b GROUP BY b, n_lines""")
+@query("D6_remove_ranges", f"""WITH {_SHARED}, m AS (SELECT doc_id, count(*) AS n_lines FROM lines GROUP BY doc_id) SELECT b AS doc_id, 1 AS start_line, n_lines AS end_line, count(*) AS n_pairs FROM links JOIN m ON m.doc_id = b GROUP BY b, n_lines""")
 def d6(spark: SparkSession, sf: str) -> DataFrame:
     m = lines(spark, sf).groupBy(F.col("doc_id").alias("b")).agg(F.count(F.lit(1)).alias("end_line"))
-    p = D.shared_line_pairs(lines(spark, sf)).groupBy("b").agg(F.count(F.lit(1)).alias("n_pairs"))
+    p = D.line_links(lines(spark, sf)).groupBy("b").agg(F.count(F.lit(1)).alias("n_pairs"))
     return p.join(m, "b").select(F.col("b").alias("doc_id"), F.lit(1).alias("start_line"), "end_line", "n_pairs")
 
 
-@query("D7_components", f"""WITH RECURSIVE {_SHARED}, e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), r(node, seen) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen) SELECT node, min(seen) AS component FROM r GROUP BY node""")
+@query("D7_components", f"""WITH RECURSIVE {_SHARED}, e AS (SELECT a, b FROM links UNION SELECT b, a FROM links), r(node, seen) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen) SELECT node, min(seen) AS component FROM r GROUP BY node""")
 def d7(spark: SparkSession, sf: str) -> DataFrame:
     return connected_components(D.line_links(lines(spark, sf)))
 
 
+@query("D7_same_number", f"""WITH RECURSIVE {_SHARED}, num AS (SELECT doc_id, n_chars // 10 AS k FROM documents), same AS (SELECT min(doc_id) OVER (PARTITION BY k) AS a, doc_id AS b FROM num), e0 AS (SELECT a, b FROM links UNION SELECT a, b FROM same WHERE a < b), e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0), r(node, seen) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen) SELECT node, min(seen) AS component FROM r GROUP BY node""")
+def d7_same(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of the same number (here: n_chars in tens) or with a common line, and what they reach."""
+    own = table(spark, sf, "documents").select("doc_id", F.floor(F.col("n_chars") / 10).alias("k"))
+    least = own.groupBy("k").agg(F.min("doc_id").alias("a"), F.count(F.lit(1)).alias("size"))
+    same = salted_join(own.withColumnRenamed("doc_id", "b"), least, ["k"], "size", F.col("b")).where("a < b").select("a", "b")
+    return connected_components(D.line_links(lines(spark, sf)).select("a", "b").unionByName(same))
+
+
 @query("D8_facts", f"""WITH {RECORDS}, q AS (SELECT *, row_number() OVER (PARTITION BY trim(regexp_replace(question, '\\s+', ' ', 'g'), ' ') ORDER BY sha256(id::VARCHAR)) AS k FROM rec), u AS (SELECT *, row_number() OVER (PARTITION BY fact_id, family ORDER BY sha256(id::VARCHAR)) AS f FROM q WHERE k = 1), r AS (SELECT *, row_number() OVER (PARTITION BY fact_id ORDER BY CASE WHEN f = 1 THEN 0 ELSE 1 END, sha256(id::VARCHAR)) AS n FROM u)
 SELECT id, 'selected' AS outcome FROM r WHERE n <= 2 UNION ALL SELECT id, 'too_many_for_fact' FROM r WHERE n > 2 UNION ALL SELECT id, 'duplicate_question' FROM q WHERE k > 1""")
 def d8(spark: SparkSession, sf: str) -> DataFrame:
@@ -274,10 +279,10 @@ def d11(spark: SparkSession, sf: str) -> DataFrame:
     return records(spark, sf).withColumn("k", k).select("id", F.when(F.col("k") == 1, F.col("question")).otherwise(F.concat(F.when(F.col("k") > 1, label), "question")).alias("question"))
 
 
-@query("D12_conflicts", f"""WITH {_SHARED}, act AS (SELECT a AS doc_id, 'keep' AS action FROM pairs WHERE (a + b) % 2 = 0 UNION ALL SELECT b, 'remove' FROM pairs WHERE (a + b) % 2 = 0 UNION ALL SELECT a, 'remove' FROM pairs WHERE (a + b) % 2 = 1 UNION ALL SELECT b, 'keep' FROM pairs WHERE (a + b) % 2 = 1) SELECT doc_id FROM act GROUP BY doc_id HAVING count(DISTINCT action) = 2""")
+@query("D12_conflicts", f"""WITH {_SHARED}, act AS (SELECT a AS doc_id, 'keep' AS action FROM links WHERE (a + b) % 2 = 0 UNION ALL SELECT b, 'remove' FROM links WHERE (a + b) % 2 = 0 UNION ALL SELECT a, 'remove' FROM links WHERE (a + b) % 2 = 1 UNION ALL SELECT b, 'keep' FROM links WHERE (a + b) % 2 = 1) SELECT doc_id FROM act GROUP BY doc_id HAVING count(DISTINCT action) = 2""")
 def d12(spark: SparkSession, sf: str) -> DataFrame:
     even = (F.col("a") + F.col("b")) % 2 == 0
-    k = D.shared_line_pairs(lines(spark, sf)).select(F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.when(even, "keep").otherwise("remove").alias("action")), F.struct(F.col("b").alias("doc_id"), F.when(even, "remove").otherwise("keep").alias("action")))).alias("x"))
+    k = D.line_links(lines(spark, sf)).select(F.explode(F.array(F.struct(F.col("a").alias("doc_id"), F.when(even, "keep").otherwise("remove").alias("action")), F.struct(F.col("b").alias("doc_id"), F.when(even, "remove").otherwise("keep").alias("action")))).alias("x"))
     return k.groupBy("x.doc_id").agg(F.count_distinct("x.action").alias("n")).where("n = 2").select("doc_id")
 
 

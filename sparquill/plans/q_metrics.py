@@ -62,14 +62,14 @@ def corpus_overlap(benchmark: DataFrame, docs: DataFrame, least: int = 8) -> Dat
     return parts.groupBy("item_id").agg(F.max("overlap").alias("overlap")).where(F.col("overlap") >= least)
 
 
-_PAIRS = f"WITH {RECORDS}, p AS (SELECT id, substr(question, 1, 60) AS a, substr(answer, 1, 60) AS b FROM rec)"
+_PAIRS = f"WITH {RECORDS}, p AS (SELECT id, question AS a, answer AS b FROM rec)"
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     return spread(records(spark, sf).select("id", F.col("question").alias("a"), F.col("answer").alias("b")))
 
 
-@query("M6_common_substring", _PAIRS + ", m AS (SELECT id, i, j, row_number() OVER (PARTITION BY id, i - j ORDER BY i) AS k FROM (SELECT id, i, unnest(range(1, length(b) + 1)) AS j, a, b FROM (SELECT id, a, b, unnest(range(1, length(a) + 1)) AS i FROM p)) WHERE substr(a, i, 1) = substr(b, j, 1)), r AS (SELECT id, count(*) AS n FROM m GROUP BY id, i - j, i - k) SELECT p.id, coalesce(max(n), 0)::INT AS common, coalesce(max(n), 0) / length(max(b)) >= 0.5 AS review FROM p LEFT JOIN r USING (id) GROUP BY p.id")
+@query("M6_common_substring")
 def m6(spark: SparkSession, sf: str) -> DataFrame:
     p = _pairs(spark, sf).withColumn("common", M.longest_common_substring("a", "b"))
     return p.select("id", "common", (F.col("common") / F.length("b") >= 0.5).alias("review"))

@@ -147,7 +147,7 @@ def g15(spark: SparkSession, sf: str) -> DataFrame:
     return lines(spark, sf).select("doc_id", "line_no", (end - F.length("line") - 1).alias("start_char"), (end - 1).alias("end_char"))
 
 
-@query("G16_missing_numbers", """WITH p AS (SELECT DISTINCT user_id, (epoch(ts)::BIGINT // 3600) AS n FROM events WHERE user_id < 20), g AS (SELECT user_id, unnest(range(min(n), max(n) + 1)) AS n FROM p GROUP BY user_id)
+@query("G16_missing_numbers", """WITH p AS (SELECT DISTINCT user_id, floor(epoch(ts) / 3600)::BIGINT AS n FROM events), g AS (SELECT user_id, unnest(range(min(n), max(n) + 1)) AS n FROM p GROUP BY user_id)
 SELECT g.user_id, count(*) AS n_missing, min(g.n) AS first_missing FROM g ANTI JOIN p USING (user_id, n) GROUP BY g.user_id""")
 def g16(spark: SparkSession, sf: str) -> DataFrame:
     p = table(spark, sf, "events").select("user_id", F.floor(F.unix_timestamp("ts") / 3600).alias("n")).distinct()

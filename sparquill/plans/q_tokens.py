@@ -56,7 +56,13 @@ def b5(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("doc_id", F.size("tokens").alias("n_tokens"), F.sha2(F.array_join("tokens", "|"), 256).alias("tokens_sha256"))
 
 
-@query("B6_decode", "SELECT conv_id, turn, text FROM conversations WHERE length(text) BETWEEN 1 AND 400")
+@query("B5_round_trip", "SELECT doc_id, sha256(text) AS decoded_sha256 FROM documents")
+def b5_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    e = B.bpe_encoded(spread(table(spark, sf, "documents").select("doc_id", "text")), "text", _merges(spark, sf, 60))
+    return e.select("doc_id", F.sha2(F.array_join("tokens", ""), 256).alias("decoded_sha256"))
+
+
+@query("B6_decode", "SELECT conv_id, turn, text FROM conversations")
 def b6(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations")
     v = B.vocabulary(c)

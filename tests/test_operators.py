@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from sparquill.operators import dedup, sampling, segments, tokens
 from sparquill.operators.components import connected_components
+from sparquill.operators.quotes import containing, located, nearly
 
 
 def test_components_of_paths_stars_and_loops(spark):
@@ -45,16 +46,60 @@ def test_subset_sum_and_pools(spark):
     assert sampling.pool_sequence([("a", 2), ("b", 1)], 6).count("a") == 4
 
 
-def test_merges_learn_and_apply():
-    from collections import Counter
-
-    merges = tokens.learn_merges(Counter({"aaab": 3, "aab": 2, "zz": 1}), 10)
-    assert merges[0] == ("a", "a")
-    rank = {p: i for i, p in enumerate(merges)}
-    random.seed(0)
-    for _ in range(50):
-        t = "".join(random.choice("abz") for _ in range(12))
-        assert "".join(tokens.apply_merges(t, rank)) == t
+def plain_merges(texts, merges, least=2):
+    """Merges learnt by counting all adjacent pairs anew each time: most frequent, then smaller left, then right id."""
+    lines = [[*line] for t in texts for line in t.split("\n")]
+    order = {c: i for i, c in enumerate(sorted({c for line in lines for c in line}))}
+    out, dead = [], set()
+    while len(out) < merges:
+        counts = {}
+        for line in lines:
+            for pair in zip(line, line[1:]):
+                counts[pair] = counts.get(pair, 0) + 1
+        live = [(-n, order[a], order[b], a, b) for (a, b), n in counts.items() if n >= least and (a, b) not in dead]
+        if not live:
+            break
+        *_, a, b = min(live)
+        if a + b in order:
+            dead.add((a, b))
+            continue
+        order[a + b] = len(order)
+        out.append((a, b))
+        lines = [plain_apply(line, a, b) for line in lines]
+    return out
+
+
+def plain_apply(tokens_, a, b):
+    out, i = [], 0
+    while i < len(tokens_):
+        if tokens_[i : i + 2] == [a, b]:
+            out.append(a + b)
+            i += 2
+        else:
+            out.append(tokens_[i])
+            i += 1
+    return out
+
+
+def plain_encode(text, merges):
+    """Lowest rank first, leftmost on ties, one pair at a time."""
+    rank, t = {p: i for i, p in enumerate(merges)}, [*text]
+    while True:
+        best = min(((rank.get(p, 1 << 60), i) for i, p in enumerate(zip(t, t[1:]))), default=(1 << 60, 0))
+        if best[0] == 1 << 60:
+            return t
+        t[best[1] : best[1] + 2] = [t[best[1]] + t[best[1] + 1]]
+
+
+def test_merges_of_all_lines_and_lossless_tokens(spark):
+    rng = random.Random(2)
+    for letters, n in (("ab", 40), ("abcdefgh ", 300)):
+        texts = ["\n".join("".join(rng.choice(letters) for _ in range(rng.randint(0, 9))) for _ in range(n)) + " é漢😀" for _ in range(3)]
+        want = plain_merges(texts, 40)
+        df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "", None, "a\0b\n\n ab", "never\tseen"])], "k long, text string")
+        assert tokens.learnt_merges(df.where(f"k < {len(texts)}"), 40) == tokens.learnt_merges(df.where(f"k < {len(texts)}"), 40, top=8, restage=3) == want
+        for row in tokens.bpe_encoded(df, "text", want, most=64).collect():
+            assert row["tokens"] == plain_encode(row["text"] or "", want) and "".join(row["tokens"]) == (row["text"] or "")
 
 
 def test_first_by_and_crossing(spark):
@@ -113,8 +158,16 @@ def test_whole_items_are_searched(spark, tmp_path):
     want = {(i, d, flat[d].index(q) + 1) for i, q in ((i, "".join(t.split())) for i, t in items) for d in [min((d for d in flat if q in flat[d]), default=None)] if d}
     bodies = spark.createDataFrame(docs, "doc_id long, text string")
     assert {tuple(r) for r in q_joins.j8(spark, str(tmp_path)).collect()} == want and {i for i, *_ in want} == {0}
-    quotes = spark.createDataFrame([(4, "thing"), *items], "item_id long, quote string")
-    assert all({tuple(r) for r in q_joins.located(quotes, bodies, most_heads=n).collect()} == want | {(4, 12, 3)} for n in (1, 100))
+    quotes = spark.createDataFrame([(i, "".join(t.split())) for i, t in [(4, "thing"), *items]], "item_id long, quote string")
+    compact = bodies.selectExpr("doc_id", r"regexp_replace(text, '\\s+', '') AS body")
+    hits = [{tuple(r) for r in containing(compact, quotes, most=n).collect()} for n in (0, 1 << 20)]
+    every = {(i, d, flat[d].index(q) + 1) for i, q in ((r["item_id"], r["quote"]) for r in quotes.collect()) for d in flat if q in flat[d]}
+    assert hits == [every, every]
+    claims = spark.createDataFrame([(0, 13), (4, 11)], "item_id long, claimed long")
+    got = {r["item_id"]: (r["doc_id"], r["as_claimed"]) for r in located(containing(compact, quotes), claims).collect()}
+    assert got[0] == (13, True) and got[4] == (12, False)
+    worn = spark.createDataFrame([(7, "".join((opening + "the true end.").split()).replace("word", "w#rd")), (8, "nowhere to be found at all")], "item_id long, quote string")
+    assert [(r["item_id"], r["doc_id"]) for r in nearly(compact, worn).collect()] == [(7, 13)]
 
 
 def test_whole_answers_are_scored(spark, tmp_path):
@@ -132,17 +185,6 @@ def test_whole_answers_are_scored(spark, tmp_path):
     assert {r["id"]: r["ratio"] for r in q_metrics.m11(spark, str(tmp_path)).collect()} == {1000 * i: SequenceMatcher(None, a, b, autojunk=False).ratio() for i, (a, b) in enumerate(pairs)}
 
 
-def test_merges_of_all_pieces(spark):
-    from collections import Counter
-
-    random.seed(2)
-    for letters, n in (("ab", 40), ("abcdefgh", 400)):
-        texts = [" ".join("".join(random.choice(letters) for _ in range(random.randint(1, 8))) for _ in range(n)) + " é漢😀" for _ in range(4)]
-        want = tokens.learn_merges(Counter(" ".join(texts).split()), 40)
-        df = spark.createDataFrame([(t,) for t in texts], "text string")
-        assert tokens.learnt_merges(df, 40) == tokens.learnt_merges(df, 40, top=8, restage=3) == want
-
-
 def test_components_by_contraction_and_in_one_task_agree(spark):
     rng = random.Random(5)
     edges = spark.createDataFrame([(rng.randrange(400), rng.randrange(400)) for _ in range(300)], "a long, b long")
