@@ -189,18 +189,30 @@ def split_point(x: Column | str, least: int = 8, marks: str = ",，、") -> Colu
     return F.array_min(F.transform(places, lambda i: F.struct(F.abs(i - F.floor(n / 2)).alias("d"), i.alias("i"))))["i"]
 
 
-SECRETS = r"(?i)(token|secret|password|passwd|api[_-]?key|authorization|credential)"
+#: Names whose values are secret.
+SECRET_NAMES = ["api_key", "apikey", "authorization", "cookie", "password", "passwd", "private_key", "secret", "token"]
+#: The same inline, as whole words, with an underscore or a hyphen or neither.
+SECRETS = r"(?i)\b(" + "|".join(n.replace("_", "[_-]?") for n in SECRET_NAMES if n != "apikey") + r")\b"
 
 
 def redacted(x: Column | str) -> Column:
     """Inline credentials (name, separator, value) and bearer tokens, replaced."""
-    named = F.regexp_replace(_c(x), rf"{SECRETS}(\s*[:=]\s*)([^\s,;&]+)", "$1$2[REDACTED]")
-    return F.regexp_replace(named, r"(?i)(bearer\s+)[A-Za-z0-9._~+/=-]+", "$1[REDACTED]")
+    named = F.regexp_replace(_c(x), rf"{SECRETS}(\s*[:=]\s*)([^\s,;]+)", "$1$2[REDACTED]")
+    return F.regexp_replace(named, r"(?i)\b(bearer\s+)[A-Za-z0-9._~+/=-]+", "$1[REDACTED]")
 
 
 def redacted_map(x: Column | str) -> Column:
     """A map whose secret keys lose their values and whose other values are redacted inline."""
-    return F.transform_values(_c(x), lambda k, v: F.when(k.rlike(SECRETS), F.lit("[REDACTED]")).otherwise(redacted(v)))
+    return F.transform_values(_c(x), lambda k, v: F.when(F.replace(F.lower(k), F.lit("-"), F.lit("_")).isin(SECRET_NAMES), F.lit("[REDACTED]")).otherwise(redacted(v)))
+
+
+def redacted_tree(x: Column | str) -> Column:
+    """A JSON text, at any depth: members with a secret name lose their values, other strings are redacted inline. Works on
+    the text, so nothing needs a schema: a secret member's value is a string, a number, a word, or a bracketed part
+    without further brackets."""
+    names = "|".join(n.replace("_", "[_-]?") for n in SECRET_NAMES if n != "apikey")
+    member = rf'(?i)("(?:{names})"\s*:\s*)("(?:[^"\\]|\\.)*"|\[[^\[\]]*\]|\{{[^{{}}]*\}}|[^\s,}}\]]+)'
+    return redacted(F.regexp_replace(_c(x), member, '$1"[REDACTED]"'))
 
 
 def table_cell(x: Column | str) -> Column:

@@ -12,6 +12,7 @@ from sparquill.operators import dedup as D
 from sparquill.operators.components import connected_components
 from sparquill.operators.quotes import containing, located, nearly
 from sparquill.operators.staging import salted_join
+from sparquill.plans.q_records import positional_mismatches
 from sparquill.plans.registry import query
 from sparquill.sources.tables import LINES, RECORDS, lines, records, spread, table
 
@@ -27,11 +28,9 @@ def j1(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("J2_positional_pair", f"""WITH {RECORDS}, a AS (SELECT id, row_number() OVER (ORDER BY id) AS n FROM rec), b AS (SELECT id, row_number() OVER (ORDER BY conv_id, turn) AS n FROM rec WHERE id % 97 <> 0) SELECT count(*) FILTER (WHERE a.id IS NULL OR b.id IS NULL) AS mismatches, count(*) AS n FROM a FULL JOIN b ON a.id = b.id AND a.n = b.n""")
 def j2(spark: SparkSession, sf: str) -> DataFrame:
-    # The contract is about order in one file, so a global number is its meaning; files are small.
     r = records(spark, sf)
-    a = r.select("id", F.row_number().over(W.orderBy("id")).alias("n"))
-    b = r.where("id % 97 <> 0").select(F.col("id").alias("id2"), F.row_number().over(W.orderBy("conv_id", "turn")).alias("n2"))
-    return a.join(b, (F.col("id") == F.col("id2")) & (F.col("n") == F.col("n2")), "full").agg(F.count_if(F.col("id").isNull() | F.col("id2").isNull()).alias("mismatches"), F.count(F.lit(1)).alias("n"))
+    b = r.where("id % 97 <> 0").select("id", (F.col("conv_id") * 1000 + F.col("turn")).alias("o"))
+    return positional_mismatches(r.select("id", F.col("id").alias("o")), b)
 
 
 @query("J3_pairs_within_key", "SELECT a.c_nationkey AS k, count(*) AS n_pairs, sum(CASE WHEN a.c_mktsegment = b.c_mktsegment THEN 1 ELSE 0 END)::BIGINT AS n_same FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey GROUP BY a.c_nationkey".replace("customer", "(SELECT s_nationkey AS c_nationkey, s_suppkey AS c_custkey, s_acctbal > 0 AS c_mktsegment FROM supplier)"))

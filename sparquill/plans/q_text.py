@@ -221,7 +221,7 @@ def p32(spark: SparkSession, sf: str) -> DataFrame:
     return spark.range(1000).select(F.col("id").alias("step"), warmup_cosine(F.col("id"), 100, 1000, 1e-3, 1e-4).alias("rate"))
 
 
-@query("P33_redact", r"""SELECT event_id, regexp_replace(regexp_replace(s, '(?i)(token|secret|password|passwd|api[_-]?key|authorization|credential)(\s*[:=]\s*)([^\s,;&]+)', '\1\2[REDACTED]', 'g'), '(?i)(bearer\s+)[A-Za-z0-9._~+/=-]+', '\1[REDACTED]', 'g') AS line,
+@query("P33_redact", r"""SELECT event_id, regexp_replace(regexp_replace(s, '(?i)\b(api[_-]?key|authorization|cookie|password|passwd|private[_-]?key|secret|token)\b(\s*[:=]\s*)([^\s,;]+)', '\1\2[REDACTED]', 'g'), '(?i)\b(bearer\s+)[A-Za-z0-9._~+/=-]+', '\1[REDACTED]', 'g') AS line,
  CASE WHEN user_id % 2 = 0 THEN '[REDACTED]' ELSE user_id::VARCHAR END AS masked FROM (SELECT event_id, user_id, event_type || ' token=' || user_id || '; Bearer abc.' || event_id AS s FROM events)""")
 def p33(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")

@@ -86,3 +86,51 @@ def verified(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return expected.join(a, "name", "left").select("name", F.when(F.col("found").isNull(), "missing").when(F.col("found") != F.col("sha256"), "changed").otherwise("ok").alias("status"))
 
 
+
+
+def json_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """One row of each file that is one JSON document; a file that doesn't fit the schema fails."""
+    return spark.read.schema(schema).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+
+
+def token_arrays(spark: SparkSession, path: str, column: str = "tokens") -> DataFrame:
+    """Rows with an array of token ids. It must be one-dimensional, of 64-bit integers, without nulls."""
+    df = spark.read.parquet(path)
+    kind = df.schema[column].dataType.simpleString()
+    if kind != "array<bigint>":
+        raise ValueError(f"{column} is {kind}, not array<bigint>")
+    bad = F.exists(column, lambda x: x.isNull())
+    return df.withColumn(column, F.when(F.coalesce(bad, F.lit(True)), F.raise_error(F.lit(f"null in {column}")).cast(kind)).otherwise(F.col(column)))
+
+
+def publish(df: DataFrame, path: str) -> None:
+    """Writes df beside path, and only when it is complete puts it in path's place by renaming; a reader sees the old or
+    the new table, never a part. What was there before goes after the new one has arrived."""
+    spark = df.sparkSession
+    jvm = spark.sparkContext._jvm
+    new, old = f"{path}.new", f"{path}.old"
+    df.write.mode("overwrite").parquet(new)
+    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs.delete(at(old), True)
+    if fs.exists(at(path)) and not fs.rename(at(path), at(old)):
+        raise OSError(f"can't move {path} away")
+    if not fs.rename(at(new), at(path)):
+        raise OSError(f"can't put {new} in its place")
+    fs.delete(at(old), True)
+
+
+def folder_digests(spark: SparkSession, path: str) -> DataFrame:
+    """name, sha256 of each folder under path: of its files' digests in their order, so of all it holds."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    own = files.select(F.element_at(F.split("path", "/"), -2).alias("name"), F.sha2("content", 256).alias("d"))
+    return own.groupBy("name").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("d")), "\n"), 256).alias("sha256"))
+
+
+def discovered(spark: SparkSession, path: str, aliases: list[tuple[str, list[str]]]) -> DataFrame:
+    """artifact, found, status: for each artifact the first of its names that there is a folder of under path."""
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.element_at(F.split("path", "/"), -2).alias("name")).distinct()
+    wanted = spark.createDataFrame([(k, i, a) for k, xs in aliases for i, a in enumerate(xs)], "artifact string, preference int, name string")
+    there = wanted.join(names.withColumn("there", F.lit(True)), "name", "left")
+    found = F.min_by(F.when(F.col("there"), F.col("name")), F.when(F.col("there"), F.col("preference"))).alias("found")
+    return there.groupBy("artifact").agg(found).withColumn("status", F.when(F.col("found").isNull(), "missing").otherwise("found"))
