@@ -40,6 +40,28 @@ def numbered(df: DataFrame, order: str) -> DataFrame:
     return spread.join(F.broadcast(before), "_task").withColumn("k", F.col("_before") + within - 1).drop("_task", "_before")
 
 
+def numbered_within(df: DataFrame, keys: list[str], order: list[Column], total: bool = False) -> DataFrame:
+    """Adds k, 0, 1, ... by order within each of a few large groups (and, with total, n, the group's rows): one
+    range-sort over groups and order deals even a single group over all tasks; a task's numbers begin where those of
+    the tasks before end."""
+    from sparquill.operators.staging import staged
+
+    names = [f"_o{i}" for i in range(len(order))]
+    ranked = df.select("*", *[c.alias(x) for c, x in zip(order, names, strict=True)])
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = staged(ranked.repartitionByRange(parts, *keys, *names).withColumn("_task", F.spark_partition_id()), "numbered")
+    counts = spread.groupBy(*keys, "_task").agg(F.count(F.lit(1)).alias("_n"))  # a row for each group and task
+    own = W.partitionBy(*keys)
+    before = F.coalesce(F.sum("_n").over(own.orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before")
+    placed = counts.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], F.col("_task").alias("_t"), before, F.sum("_n").over(own).alias("_total"))
+    same = F.col("_task") == F.col("_t")
+    for i, c in enumerate(keys):
+        same &= F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    within = F.row_number().over(W.partitionBy(*keys, "_task").orderBy(*names)) - 1
+    joined = spread.withColumn("_within", within).join(placed, same)
+    return joined.select(*df.columns, (F.col("_before") + F.col("_within")).alias("k"), *([F.col("_total").alias("n")] if total else []))
+
+
 def evenly_spaced(df: DataFrame, order: str, n: int) -> DataFrame:
     """n rows at equal distances of the ordered table, first and last included: i and the row's columns."""
     rows = numbered(df, order)
@@ -72,20 +94,37 @@ def tiers(df: DataFrame, key: str, n: str, least: int = 4, most: int = 24) -> Da
 def diverse(df: DataFrame, key: str, facets: list[str], n: int) -> DataFrame:
     """n rows in digest order, first such as bring a new value in every facet, then in any, then the others.
 
-    The choice is sequential, so it is made on the driver; for each combination of facets only its first n rows in
-    digest order can ever be chosen, and only those are fetched."""
-    digest = F.sha2(F.col(key).cast("string"), 256)
-    k = F.row_number().over(W.partitionBy(*facets).orderBy(digest))
-    rows = df.withColumn("_h", digest).withColumn("_k", k).where(F.col("_k") <= n).orderBy("_k", "_h").limit(50 * n).collect()
-    rows = sorted(rows, key=lambda r: r["_h"])
-    seen: dict[str, set] = {f: set() for f in facets}
+    The choice is sequential: each step asks the cluster for the first row in digest order that qualifies, a minimum
+    over all rows, so there are at most n steps and only chosen rows come to the driver. Null is a value of its own."""
+    from sparquill.operators.staging import staged
+
+    rows = staged(df.select(key, *facets, F.sha2(F.col(key).cast("string"), 256).alias("_h")), "diverse")
+    kinds = [rows.schema[f].dataType.simpleString() for f in facets]
+    seen: list[list] = [[] for _ in facets]
     chosen: list = []
-    for wanted in (all, any, lambda _: True):
-        for r in rows:
-            if len(chosen) < n and r not in chosen and wanted([r[f] not in seen[f] for f in facets]):
+
+    def fresh(f: str, kind: str, values: list) -> Column:
+        known = F.col(f).isin([v for v in values if v is not None]) if any(v is not None for v in values) else F.lit(False)
+        return F.when(F.col(f).isNull(), F.lit(None not in values)).otherwise(~known)
+
+    for wanted in ("AND", "OR", ""):
+        while len(chosen) < n:
+            test = F.lit(True)
+            if wanted:
+                parts = [fresh(*x) for x in zip(facets, kinds, seen, strict=True)]
+                test = parts[0]
+                for p in parts[1:]:
+                    test = test & p if wanted == "AND" else test | p
+            left = rows.where(test & ~F.col(key).isin([r[key] for r in chosen]) if chosen else test)
+            best = left.orderBy("_h", key).limit(1).collect() if wanted else left.orderBy("_h", key).limit(n - len(chosen)).collect()
+            if not best:
+                break
+            for r in best:
                 chosen.append(r)
-                for f in facets:
-                    seen[f].add(r[f])
+                for values, f in zip(seen, facets, strict=True):
+                    values.append(r[f])
+            if not wanted:
+                break
     return df.sparkSession.createDataFrame([(r[key], i) for i, r in enumerate(chosen)], f"`{key}` {df.schema[key].dataType.simpleString()}, place int")
 
 
@@ -155,5 +194,5 @@ def epoch_draws(df: DataFrame, draws: int, seed: int) -> DataFrame:
     size = df.count()
     e = df.sparkSession.range(draws).select(F.col("id").alias("draw"), F.floor(F.col("id") / size).alias("epoch"), (F.col("id") % size).alias("pos"))
     q = df.crossJoin(F.broadcast(e.select("epoch").distinct()))
-    pos = F.row_number().over(W.partitionBy("epoch").orderBy(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), F.col("id").cast("string")), 256))) - 1
-    return e.join(q.withColumn("pos", pos.cast("long")), ["epoch", "pos"]).select("draw", "epoch", "id")
+    q = numbered_within(q, ["epoch"], [F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("epoch").cast("string"), F.col("id").cast("string")), 256)])
+    return e.join(q.withColumnRenamed("k", "pos"), ["epoch", "pos"]).select("draw", "epoch", "id")

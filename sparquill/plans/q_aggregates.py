@@ -11,6 +11,7 @@ from sparquill.functions import text as X
 from sparquill.operators import aggregates as A
 from sparquill.operators import dedup as D
 from sparquill.operators import sampling as Q
+from sparquill.operators.sampling import numbered_within
 from sparquill.plans.registry import query
 from sparquill.sources.tables import LINES, RECORDS, lines, records, table
 
@@ -113,11 +114,12 @@ def a14(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select(F.explode(m).alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v"))
 
 
-@query("A15_split_statistics", f"WITH {_DOCS_SPLIT} SELECT split, count(*) AS n, count(DISTINCT source) AS n_sources, sum(n_chars)::BIGINT AS n_chars, sum(n_chars) / sum(sum(n_chars)) OVER () AS share, min(doc_id) AS first_id, max(doc_id) AS last_id, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS digest FROM s GROUP BY split")
+@query("A15_split_statistics", f"WITH {_DOCS_SPLIT} SELECT split, count(*) AS n, count(DISTINCT source) AS n_sources, sum(n_chars)::BIGINT AS n_chars, sum(n_chars) / sum(sum(n_chars)) OVER () AS share, min(doc_id) AS first_id, max(doc_id) AS last_id, sum(('0x' || substr(sha256(doc_id || '|' || text), 1, 12))::BIGINT)::VARCHAR AS digest FROM s GROUP BY split")
 def a15(spark: SparkSession, sf: str) -> DataFrame:
-    # The ordered digest goes over the texts' digests: 64 characters a row are gathered, never the texts.
-    g = _docs_split(spark, sf).groupBy("split").agg(N().alias("n"), F.count_distinct("source").alias("n_sources"), F.sum("n_chars").alias("n_chars"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.array_sort(F.collect_list(F.struct("doc_id", F.sha2("text", 256).alias("h")))).alias("x"))
-    return A.with_share(g, "n_chars", "share").withColumn("digest", F.sha2(F.array_join(F.transform("x", lambda r: r["h"]), ""), 256)).drop("x")
+    # The digest of a split is a sum over its rows' digests: it combines before the shuffle, and nothing is gathered.
+    row = F.conv(F.substring(F.sha2(F.concat_ws("|", F.col("doc_id").cast("string"), "text"), 256), 1, 12), 16, 10).cast("decimal(38,0)")
+    g = _docs_split(spark, sf).groupBy("split").agg(N().alias("n"), F.count_distinct("source").alias("n_sources"), F.sum("n_chars").alias("n_chars"), F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.sum(row).cast("string").alias("digest"))
+    return A.with_share(g, "n_chars", "share")
 
 
 @query("A16_complete_groups", f"WITH {RECORDS} SELECT fact_id, count(*) >= 3 AND count(DISTINCT split) = 1 AND list_sort(list(DISTINCT turn % 2)) = [0] AS complete FROM rec GROUP BY fact_id")
@@ -305,9 +307,9 @@ def q6(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("Q7_rebalance", f"WITH {RECORDS} SELECT id, CASE WHEN family = 'qa' AND k BETWEEN 6 AND 15 THEN 'verify' WHEN family = 'qa' AND k BETWEEN 16 AND 20 THEN 'copy' ELSE family END AS family FROM (SELECT id, family, row_number() OVER (PARTITION BY family ORDER BY id) AS k FROM rec)")
 def q7(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.row_number().over(W.partitionBy("family").orderBy("id"))
     qa = F.col("family") == "qa"
-    return records(spark, sf).withColumn("k", k).select("id", F.when(qa & F.col("k").between(6, 15), "verify").when(qa & F.col("k").between(16, 20), "copy").otherwise(F.col("family")).alias("family"))
+    r = numbered_within(records(spark, sf).select("id", "family"), ["family"], [F.col("id")])
+    return r.select("id", F.when(qa & F.col("k").between(5, 14), "verify").when(qa & F.col("k").between(15, 19), "copy").otherwise(F.col("family")).alias("family"))
 
 
 @query("Q8_capped_selection", f"WITH {RECORDS} SELECT id FROM (SELECT id, h, row_number() OVER (PARTITION BY family ORDER BY h) AS k FROM (SELECT id, family, sha256(id::VARCHAR) AS h FROM rec)) WHERE k <= 9 ORDER BY h LIMIT 30")
@@ -318,9 +320,9 @@ def q8(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("Q9_schedule", f"WITH {RECORDS}, r AS (SELECT id, family, row_number() OVER (PARTITION BY family ORDER BY sha256('o' || id)) AS k FROM rec), s(k0, split2) AS (VALUES (0, 'train'), (1, 'val'), (2, 'train'), (3, 'test'), (4, 'train')) SELECT id, split2 AS split FROM r JOIN s ON (k - 1) % 5 = k0")
 def q9(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.row_number().over(W.partitionBy("family").orderBy(F.sha2(F.concat(F.lit("o"), F.col("id").cast("string")), 256)))
     schedule = F.array(*map(F.lit, ["train", "val", "train", "test", "train"]))
-    return records(spark, sf).select("id", F.get(schedule, (k - 1) % 5).alias("split"))
+    r = numbered_within(records(spark, sf).select("id", "family"), ["family"], [F.sha2(F.concat(F.lit("o"), F.col("id").cast("string")), 256)])
+    return r.select("id", F.get(schedule, (F.col("k") % 5).cast("int")).alias("split"))
 
 
 @query("Q10_distinct_lines")
@@ -334,8 +336,7 @@ def q10(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("Q11_pool_cursor", f"WITH {RECORDS}, p AS (SELECT split, id AS chunk, row_number() OVER (PARTITION BY split ORDER BY id) - 1 AS k, count(*) OVER (PARTITION BY split) AS n FROM rec) SELECT i AS idx, split, chunk FROM range(50) t(i) JOIN p ON k = (i + ('0x' || substr(sha256(split), 1, 8))::BIGINT) % n")
 def q11(spark: SparkSession, sf: str) -> DataFrame:
-    own = W.partitionBy("split")
-    p = records(spark, sf).select("split", F.col("id").alias("chunk"), (F.row_number().over(own.orderBy("id")) - 1).cast("long").alias("k"), N().over(own).alias("n"))
+    p = numbered_within(records(spark, sf).select("split", F.col("id").alias("chunk")), ["split"], [F.col("chunk")], total=True)
     sizes = p.select("split", "n").distinct()
     want = spark.range(50).withColumnRenamed("id", "idx").crossJoin(F.broadcast(sizes)).withColumn("k", (F.col("idx") + X.bucket(F.sha2("split", 256), 1 << 40)) % F.col("n"))
     return want.join(p.select("split", "k", "chunk"), ["split", "k"]).select("idx", "split", "chunk")

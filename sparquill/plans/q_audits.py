@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sparquill.functions import metrics as M
 from sparquill.functions import text as X
 from sparquill.operators import validators as V
+from sparquill.operators.sampling import numbered_within
 from sparquill.operators.tokens import conversations, role_contract
 from sparquill.plans.q_aggregates import _DOCS_SPLIT, _docs_split
 from sparquill.plans.q_text import _RULES_SQL, AD_RULES
@@ -102,8 +103,8 @@ def x6(spark: SparkSession, sf: str) -> DataFrame:
 def x8(spark: SparkSession, sf: str) -> DataFrame:
     options = F.array(*map(F.lit, ["chat", "qa", "refusal", "rewrite", "summary"]))
     at = (F.array_position(options, F.col("family")) + X.bucket(F.sha2(F.col("id").cast("string"), 256), 4)) % 5
-    k = F.row_number().over(W.partitionBy("split").orderBy("id"))
-    return records(spark, sf).select("id", F.get(options, at.cast("int")).alias("wrong"), F.concat("split", F.lit("-"), F.lpad(k.cast("string"), 5, "0")).alias("running_id"))
+    r = numbered_within(records(spark, sf).select("id", "family", "split"), ["split"], [F.col("id")])
+    return r.select("id", F.get(options, at.cast("int")).alias("wrong"), F.concat("split", F.lit("-"), F.lpad((F.col("k") + 1).cast("string"), 5, "0")).alias("running_id"))
 
 
 @query("X9_seed_explode", "SELECT * FROM (VALUES ('hello', 0, 'hi'), ('hello', 1, 'hey'), ('bye', 0, 'see you')) t(intent, k, question)")

@@ -53,10 +53,10 @@ def s8(spark: SparkSession, sf: str) -> DataFrame:
     return io.metric_history(spark, path, "step long, val_loss double")
 
 
-@query("S9_prompts", "SELECT DISTINCT trim(string_split(text, chr(10))[1], ' ') AS prompt FROM benchmark WHERE trim(string_split(text, chr(10))[1], ' ') <> ''")
+@query("S9_prompts", "SELECT DISTINCT trim(p, ' ') AS prompt FROM (SELECT unnest(string_split(text, chr(10))) AS p FROM benchmark) WHERE trim(p, ' ') <> ''")
 def s9(spark: SparkSession, sf: str) -> DataFrame:
     path = _place(spark, "prompts")
-    table(spark, sf, "benchmark").select(F.concat(F.split("text", "\n")[0], F.lit("\n"))).write.text(path)
+    table(spark, sf, "benchmark").select("text").write.text(path)
     return io.prompts(spark, path).distinct()
 
 

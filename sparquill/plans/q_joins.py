@@ -11,6 +11,7 @@ from sparquill.functions.metrics import line_blocks
 from sparquill.operators import dedup as D
 from sparquill.operators.components import connected_components
 from sparquill.operators.quotes import containing, located, nearly
+from sparquill.operators.sampling import numbered_within
 from sparquill.operators.staging import salted_join
 from sparquill.plans.q_records import positional_mismatches
 from sparquill.plans.registry import query
@@ -36,8 +37,10 @@ def j2(spark: SparkSession, sf: str) -> DataFrame:
 @query("J3_pairs_within_key", "SELECT a.c_nationkey AS k, count(*) AS n_pairs, sum(CASE WHEN a.c_mktsegment = b.c_mktsegment THEN 1 ELSE 0 END)::BIGINT AS n_same FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey GROUP BY a.c_nationkey".replace("customer", "(SELECT s_nationkey AS c_nationkey, s_suppkey AS c_custkey, s_acctbal > 0 AS c_mktsegment FROM supplier)"))
 def j3(spark: SparkSession, sf: str) -> DataFrame:
     s = table(spark, sf, "supplier").selectExpr("s_nationkey AS k", "s_suppkey AS id", "s_acctbal > 0 AS good")
-    b = s.selectExpr("k", "id AS id2", "good AS good2")
-    return s.join(b, "k").where("id < id2").groupBy("k").agg(F.count(F.lit(1)).alias("n_pairs"), F.count_if(F.col("good") == F.col("good2")).alias("n_same"))
+    # Pairs are counted from the sizes of the groups, which combine before the shuffle; no pair is made.
+    pairs = lambda c: (c * (c - 1) / 2).cast("long")
+    kinds = s.groupBy("k", "good").agg(F.count(F.lit(1)).alias("c"))
+    return kinds.groupBy("k").agg(pairs(F.sum("c")).alias("n_pairs"), F.sum(pairs(F.col("c"))).alias("n_same")).where("n_pairs > 0")
 
 
 @query("J5_block_sections", f"""WITH {LINES}, h AS (SELECT doc_id, line_no // 4 AS sec, min(line_no) AS s, max(line_no) AS e FROM lines GROUP BY doc_id, line_no // 4), p AS (SELECT a.doc_id, a.line_no AS i, b.line_no AS j FROM lines a JOIN lines b ON a.doc_id = b.doc_id AND a.line = b.line AND a.line_no < b.line_no WHERE length(a.line) >= 30)
@@ -156,9 +159,9 @@ def j15(spark: SparkSession, sf: str) -> DataFrame:
 @query("J16_false_answers", f"""WITH {RECORDS}, p AS (SELECT id, split, answer, row_number() OVER (PARTITION BY split ORDER BY sha256(answer), id) AS k, count(*) OVER (PARTITION BY split) AS n FROM rec) SELECT a.id, b.id AS other_id FROM p a JOIN p b ON a.split = b.split AND b.k = a.k % a.n + 1 WHERE a.answer <> b.answer""")
 def j16(spark: SparkSession, sf: str) -> DataFrame:
     # Each row takes the next answer of its split in hash order: an equi join on a rank, not all pairs.
-    p = records(spark, sf).select("id", "split", "answer", F.row_number().over(W.partitionBy("split").orderBy(F.sha2("answer", 256), "id")).alias("k"), F.count(F.lit(1)).over(W.partitionBy("split")).alias("n"))
+    p = numbered_within(records(spark, sf).select("id", "split", "answer"), ["split"], [F.sha2("answer", 256), F.col("id")], total=True)
     b = p.select(F.col("id").alias("other_id"), "split", F.col("answer").alias("other"), F.col("k").alias("want"))
-    return p.withColumn("want", (F.col("k") % F.col("n") + 1).cast("int")).join(b, ["split", "want"]).where("answer <> other").select("id", "other_id")
+    return p.withColumn("want", (F.col("k") + 1) % F.col("n")).join(b, ["split", "want"]).where("answer <> other").select("id", "other_id")
 
 
 @query("J17_overlap", f"""WITH {RECORDS} SELECT count(*) AS n FROM (SELECT fact_id FROM rec WHERE split = 'train' INTERSECT SELECT fact_id FROM rec WHERE split <> 'train')""")

@@ -177,11 +177,11 @@ def nonblank(spark: SparkSession, sf: str) -> DataFrame:
 
 def _chains(spark: SparkSession, sf: str) -> DataFrame:
     l = nonblank(spark, sf)
-    book = l.select((F.col("doc_id") % 10).alias("book"), (F.col("doc_id") * 1000 + F.col("line_no")).alias("line_no"), "line")
+    book = l.select(F.floor(F.col("doc_id") / 50).alias("book"), (F.col("doc_id") * 1000000 + F.col("line_no")).alias("line_no"), "line")
     return book.select(F.col("book").alias("doc_id"), (F.row_number().over(W.partitionBy("book").orderBy("line_no")) - 1).cast("long").alias("idx"), "line_no", "line")
 
 
-@query("J4_duplicate_blocks", rf"""WITH RECURSIVE {LINES}, s AS (SELECT doc_id % 10 AS doc_id, row_number() OVER (PARTITION BY doc_id % 10 ORDER BY doc_id, line_no) - 1 AS idx, doc_id * 1000 + line_no AS line_no, trim(regexp_replace(line, '[ \t]+', ' ', 'g'), ' ') AS line FROM lines WHERE trim(line, ' ') <> ''),
+@query("J4_duplicate_blocks", rf"""WITH RECURSIVE {LINES}, s AS (SELECT doc_id // 50 AS doc_id, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id, line_no) - 1 AS idx, doc_id * 1000000 + line_no AS line_no, trim(regexp_replace(line, '[ \t]+', ' ', 'g'), ' ') AS line FROM lines WHERE trim(line, ' ') <> ''),
 t AS (SELECT *, count(*) OVER (PARTITION BY doc_id, line) AS n, lag(line) OVER (PARTITION BY doc_id ORDER BY idx) AS prev FROM s),
 st AS (SELECT a.doc_id, a.idx AS i, b.idx AS j FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.line = b.line AND a.idx < b.idx WHERE length(a.line) >= 40 AND a.n BETWEEN 2 AND 10 AND (a.prev IS NULL OR b.prev IS NULL OR a.prev <> b.prev)),
 walk AS (SELECT doc_id, i, j, 1::BIGINT AS m FROM st UNION ALL SELECT w.doc_id, w.i, w.j, w.m + 1 FROM walk w JOIN t x ON x.doc_id = w.doc_id AND x.idx = w.i + w.m JOIN t y ON y.doc_id = w.doc_id AND y.idx = w.j + w.m AND y.line = x.line),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparquill.functions import text as X
 from sparquill.functions.metrics import bits_per_character, degradation, warmup_cosine
+from sparquill.operators.sampling import numbered_within
 from sparquill.plans.registry import query
 from sparquill.sources.tables import FAMILIES, LINES, RECORDS, lines, records, spread, table
 
@@ -35,12 +36,12 @@ def p3(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.sha2(X.collapse("text"), 256).alias("collapsed"), F.length(X.compact("text")).cast("long").alias("n_compact"))
 
 
-@query("P4_positions", rf"""WITH {LINES}, c AS (SELECT doc_id, line, generate_subscripts(x, 1) AS pos, unnest(x) AS ch FROM (SELECT doc_id, line, string_split(line, '') AS x FROM lines WHERE line_no = 1))
-SELECT doc_id, coalesce(string_agg(ch, '' ORDER BY pos), '') AS compact_line, coalesce(list(pos - 1 ORDER BY pos), []) AS positions FROM c WHERE NOT regexp_matches(ch, '{WS}') AND ch <> '' GROUP BY doc_id""")
+@query("P4_positions", rf"""WITH {LINES}, c AS (SELECT doc_id, line_no, generate_subscripts(x, 1) AS pos, unnest(x) AS ch FROM (SELECT doc_id, line_no, string_split(line, '') AS x FROM lines))
+SELECT doc_id, line_no, coalesce(string_agg(ch, '' ORDER BY pos), '') AS compact_line, coalesce(list(pos - 1 ORDER BY pos), []) AS positions FROM c WHERE NOT regexp_matches(ch, '{WS}') AND ch <> '' GROUP BY doc_id, line_no""")
 def p4(spark: SparkSession, sf: str) -> DataFrame:
     placed = F.filter(F.transform(X.chars("line"), lambda c, i: F.struct(c.alias("c"), i.cast("long").alias("i"))), lambda s: ~s["c"].rlike(WS))
-    kept = lines(spark, sf).where("line_no = 1").select("doc_id", placed.alias("p")).where(F.size("p") > 0)
-    return kept.select("doc_id", F.array_join(F.transform("p", lambda s: s["c"]), "").alias("compact_line"), F.transform("p", lambda s: s["i"]).alias("positions"))
+    kept = lines(spark, sf).select("doc_id", "line_no", placed.alias("p")).where(F.size("p") > 0)
+    return kept.select("doc_id", "line_no", F.array_join(F.transform("p", lambda s: s["c"]), "").alias("compact_line"), F.transform("p", lambda s: s["i"]).alias("positions"))
 
 
 NUMERALS = ["二百四十二", "十七", "一千零五", "三万零二", "12", "百", "两千", "三四五", "abc", "二〇二四", "一万二千"]
@@ -186,17 +187,15 @@ def p26(spark: SparkSession, sf: str) -> DataFrame:
 @query("P27_templates", f"""WITH {RECORDS}, t(k, template) AS (VALUES (0, 'Tell me: {{q}}'), (1, '{{q}} ({{f}})'), (2, 'About {{f}}: {{q}}')), n AS (SELECT id, question, fact_id, (row_number() OVER (PARTITION BY family ORDER BY id) - 1) % 3 AS k FROM rec)
 SELECT id, replace(replace(template, '{{f}}', fact_id), '{{q}}', question) AS prompt FROM n JOIN t USING (k)""")
 def p27(spark: SparkSession, sf: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
     t = F.broadcast(_values(spark, [(0, "Tell me: {q}"), (1, "{q} ({f})"), (2, "About {f}: {q}")], "k int, template string"))
-    n = records(spark, sf).withColumn("k", (F.row_number().over(W.partitionBy("family").orderBy("id")) - 1) % 3)
+    n = numbered_within(records(spark, sf), ["family"], [F.col("id")]).withColumn("k", (F.col("k") % 3).cast("int"))
     return n.join(t, "k").select("id", F.replace(F.replace("template", F.lit("{f}"), F.col("fact_id")), F.lit("{q}"), F.col("question")).alias("prompt"))
 
 
-@query("P28_split_point", f"""WITH {LINES}, c AS (SELECT doc_id, line_no, length(line) AS n, generate_subscripts(x, 1) AS i, unnest(x) AS ch FROM (SELECT doc_id, line_no, line, string_split(line, '') AS x FROM lines WHERE length(line) < 400))
-SELECT doc_id, line_no, arg_min(i, abs(i - n // 2) * 1000 + i)::INT AS split_at FROM c WHERE ch IN (',', '，', '、') AND i >= 8 AND n - i >= 8 GROUP BY doc_id, line_no""")
+@query("P28_split_point", f"""WITH {LINES}, c AS (SELECT doc_id, line_no, length(line) AS n, generate_subscripts(x, 1) AS i, unnest(x) AS ch FROM (SELECT doc_id, line_no, line, string_split(line, '') AS x FROM lines))
+SELECT doc_id, line_no, arg_min(i, abs(i - n // 2) * 1000000 + i)::INT AS split_at FROM c WHERE ch IN (',', '，', '、') AND i >= 8 AND n - i >= 8 GROUP BY doc_id, line_no""")
 def p28(spark: SparkSession, sf: str) -> DataFrame:
-    return lines(spark, sf).where(F.length("line") < 400).select("doc_id", "line_no", X.split_point("line").cast("int").alias("split_at")).where("split_at IS NOT NULL")
+    return lines(spark, sf).select("doc_id", "line_no", X.split_point("line").cast("int").alias("split_at")).where("split_at IS NOT NULL")
 
 
 @query("P29_cloze", f"""WITH {RECORDS} SELECT id, left(question, p - 1) || '____' || substr(question, p + length(w)) AS cloze FROM (SELECT id, question, regexp_extract(question, '[a-z]{{6,}}', 0) AS w, strpos(question, regexp_extract(question, '[a-z]{{6,}}', 0)) AS p FROM rec) WHERE w <> ''""")
@@ -230,6 +229,14 @@ def p33(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", X.redacted(s).alias("line"), F.map_values(X.redacted_map(F.create_map(key, F.col("user_id").cast("string"))))[0].alias("masked"))
 
 
+@query("P33_redact_tree", r"""SELECT event_id, regexp_replace(regexp_replace(regexp_replace(s, '(?i)("(?:api[_-]?key|authorization|cookie|password|passwd|private[_-]?key|secret|token)"\s*:\s*)("(?:[^"\\]|\\.)*"|\[[^\[\]]*\]|\{[^{}]*\}|[^\s,}\]]+)', '\1"[REDACTED]"', 'g'), '(?i)\b(api[_-]?key|authorization|cookie|password|passwd|private[_-]?key|secret|token)\b(\s*[:=]\s*)([^\s,;]+)', '\1\2[REDACTED]', 'g'), '(?i)\b(bearer\s+)[A-Za-z0-9._~+/=-]+', '\1[REDACTED]', 'g') AS tree
+FROM (SELECT event_id, '{"user": {"api_key": "k' || user_id || '", "name": "n' || user_id || '", "private-key": ["a", ' || event_id || ']}, "log": ["Bearer abc.' || event_id || '", "cookie=c' || user_id || '; ok"], "Token": ' || event_id || '}' AS s FROM events)""")
+def p33_tree(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select("event_id", F.col("user_id").cast("string").alias("u"), F.col("event_id").cast("string").alias("i"))
+    s = F.concat(F.lit('{"user": {"api_key": "k'), "u", F.lit('", "name": "n'), "u", F.lit('", "private-key": ["a", '), "i", F.lit(']}, "log": ["Bearer abc.'), "i", F.lit('", "cookie=c'), "u", F.lit('; ok"], "Token": '), "i", F.lit("}"))
+    return e.select("event_id", X.redacted_tree(s).alias("tree"))
+
+
 @query("P34_table_cell", r"""SELECT doc_id, sha256(replace(replace(replace(text, '\', '\\'), '|', '\|'), chr(10), '<br>')) AS cell FROM documents""")
 def p34(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", F.sha2(X.table_cell("text"), 256).alias("cell"))

@@ -10,6 +10,7 @@ from sparquill.functions.text import chars
 from sparquill.operators import tokens as B
 from sparquill.operators.aggregates import length_summary
 from sparquill.plans.q_aggregates import _DOCS_SPLIT, _docs_split
+from sparquill.operators.sampling import numbered_within
 from sparquill.plans.registry import query
 from sparquill.sources.tables import RECORDS, records, spread, table
 
@@ -134,8 +135,8 @@ _BATCH = f"WITH {RECORDS}, o AS (SELECT id, length(answer) AS n, (row_number() O
 
 
 def _batches(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.row_number().over(W.partitionBy("split").orderBy(F.length("answer"), "id")) - 1
-    return records(spark, sf).select("id", "split", "answer", F.floor(k / 8).alias("batch"))
+    r = numbered_within(records(spark, sf).select("id", "split", "answer"), ["split"], [F.length("answer"), F.col("id")])
+    return r.select("id", "split", "answer", F.floor(F.col("k") / 8).alias("batch"))
 
 
 @query("B14_padding", _BATCH + " SELECT id, max(n) OVER (PARTITION BY split, batch) AS padded_length, max(n) OVER (PARTITION BY split, batch) - n AS n_pad FROM o")
