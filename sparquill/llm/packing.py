@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sparquill.llm.bpe_stream import byte_alphabet
 from sparquill.llm.common import binary_list, importable, slices, staged
 
-CACHE = 400_000
+CACHE = 250_000
 _encoders: dict[int, tuple[bytes, WordEncoder]] = {}
 #: Letters that lower-casing maps one to one and that no normal form changes, and a tail of ASCII punctuation.
 PLAIN = re.compile(r"([A-Za-z\xc0-\xd6\xd8-\xde\xdf-\xf6\xf8-\xff]+)([!-/:-@\[-`{-~]*)")

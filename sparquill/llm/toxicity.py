@@ -67,8 +67,8 @@ def fit(columns: list[np.ndarray], positive: np.ndarray, ratio: np.ndarray, pena
     penalty, both classes counting by their true numbers. columns: for each document the numbers of its features."""
     total, n_pos = len(columns), int(positive.sum())
     row = np.repeat(np.arange(total), [len(c) for c in columns])
-    col = np.concatenate([np.empty(0, np.int64), *columns]).astype(np.int64)
-    value = ratio[col]
+    col = np.concatenate([np.empty(0, np.int32), *columns])
+    value = ratio[col].astype(np.float32)
     weight, bias = np.zeros(len(ratio)), np.log(n_pos / (total - n_pos))
     step = [np.zeros(len(ratio) + 1), np.zeros(len(ratio) + 1)]
     for t in range(1, rounds + 1):
@@ -169,25 +169,32 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], keep: li
     that score below it. A bucket counts once however often a text has it."""
     importable(docs.sparkSession)
     buckets, weights, bias = model
-    frame = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    # A text that is kept travels once, within its row.
+    inside = text_col in keep and docs.schema[text_col].dataType.typeName() == "string"
+    frame = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), *([] if inside else [F.col(f"`{text_col}`").cast("string").alias("text")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << WIDTH_BITS, np.float32)
         table[buckets] = weights
-        for batch in slices(batches, "text", 1 << 20):
-            starts, ends, grams = gram_buckets(batch.column("text").to_pylist())
-            z = np.full(batch.num_rows, bias)
-            hits = []
-            for n, g in zip(ORDERS, grams, strict=True):
-                at = np.flatnonzero(table[g])
-                doc = np.searchsorted(ends, at, "right")
-                inside = at + n <= ends[doc]
-                hits.append(doc[inside].astype(np.int64) << WIDTH_BITS | g[at[inside]])
-            found = np.unique(np.concatenate(hits))
-            z += np.bincount(found >> WIDTH_BITS, weights=table[found & ((1 << WIDTH_BITS) - 1)], minlength=len(z))
-            scores = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-            out = pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores)], ["row", "score"])
-            yield out if most is None else out.filter(pa.array(scores < most))
+        for whole in batches:
+            texts = whole.column("row").field(keep.index(text_col)) if inside else whole.column("text")
+            for batch in slices(iter([pa.RecordBatch.from_arrays([whole.column("row"), texts], ["row", "text"])]), "text", 1 << 20):
+                yield from scored(batch, table)
+
+    def scored(batch: pa.RecordBatch, table: np.ndarray) -> Iterator[pa.RecordBatch]:
+        _, ends, grams = gram_buckets([t or "" for t in batch.column("text").to_pylist()])
+        z = np.full(batch.num_rows, bias)
+        hits = []
+        for n, g in zip(ORDERS, grams, strict=True):
+            at = np.flatnonzero(table[g])
+            doc = np.searchsorted(ends, at, "right")
+            inside = at + n <= ends[doc]
+            hits.append(doc[inside].astype(np.int64) << WIDTH_BITS | g[at[inside]])
+        found = np.unique(np.concatenate(hits))
+        z += np.bincount(found >> WIDTH_BITS, weights=table[found & ((1 << WIDTH_BITS) - 1)], minlength=len(z))
+        scores = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+        out = pa.RecordBatch.from_arrays([batch.column("row"), pa.array(scores)], ["row", "score"])
+        yield out if most is None else out.filter(pa.array(scores < most))
 
     return frame.mapInArrow(run, T.StructType([frame.schema["row"], T.StructField("score", T.DoubleType())]))
 
