@@ -160,7 +160,7 @@ def distinct_places(hits: DataFrame, label: str, place: str, n_labels: int) -> D
     for r in rows:
         if r[label] not in taken and r[place] not in taken.values():
             taken[r[label]] = r[place]
-    return hits.sparkSession.createDataFrame(list(taken.items()), f"`{label}` string, `{place}` long")
+    return hits.sparkSession.createDataFrame(list(taken.items()), f"`{label}` string, `{place}` {hits.schema[place].dataType.simpleString()}")
 
 
 def pool_sequence(weights: list[tuple[str, int]], draws: int) -> list[str]:

@@ -330,7 +330,7 @@ def q10(spark: SparkSession, sf: str) -> DataFrame:
     from sparquill.plans.q_joins import NAMES
 
     names = F.array(*map(F.lit, NAMES))
-    hits = lines(spark, sf).select((F.col("doc_id") * 100000 + F.col("line_no")).alias("place"), F.explode(F.filter(names, lambda n: F.col("line").contains(n))).alias("label"))
+    hits = lines(spark, sf).select(F.format_string("%019d.%010d", F.col("doc_id").cast("long"), F.col("line_no").cast("long")).alias("place"), F.explode(F.filter(names, lambda n: F.col("line").contains(n))).alias("label"))
     return Q.distinct_places(hits, "label", "place", len(NAMES))
 
 

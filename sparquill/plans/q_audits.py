@@ -329,3 +329,60 @@ def v11(spark: SparkSession, sf: str) -> DataFrame:
     ok = F.coalesce(F.col("found"), F.lit(False)) & (F.col("evidence_sha256") == F.sha2("evidence", 256))
     g = r.join(there, ["chapter", "evidence"], "left").groupBy("split").agg(n().alias("records"), F.count_if(ok).alias("resolved"))
     return g.withColumn("share", F.round(F.col("resolved") / F.col("records"), 6))
+
+
+_RULE_TEXTS = ", ".join(f"CASE WHEN regexp_matches(line, '{p}') THEN '{k}.' || CASE WHEN trim(regexp_replace(line, '{p}', '', 'g'), ' ') = '' THEN 'whole' ELSE 'embedded' END END" for k, p in AD_RULES.items())
+
+
+@query("V1_audit_report", f"""WITH {LINES}, m AS (SELECT doc_id, unnest(list_filter([{_RULE_TEXTS}], lambda x: x IS NOT NULL)) AS name FROM lines),
+h AS (SELECT doc_id, line, count(*) AS k FROM lines WHERE length(line) BETWEEN 1 AND 40 GROUP BY doc_id, line), t AS (SELECT count(*) AS a, count(*) FILTER (WHERE trim(line, ' ') = '') AS b, count(DISTINCT doc_id) AS c, max(length(line)) AS d FROM lines)
+SELECT 'rule' AS section, name, count(*)::BIGINT AS value FROM m GROUP BY name UNION ALL SELECT 'headings', unnest(['short_lines', 'repeated', 'extra']), unnest([count(*), count(*) FILTER (WHERE k > 1), coalesce(sum(k - 1), 0)])::BIGINT FROM h
+UNION ALL SELECT 'lines', unnest(['all', 'blank', 'documents', 'longest']), unnest([a, b, c, d])::BIGINT FROM t""")
+def v1_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules by whole-line and embedded matches, repeated headings, sizes."""
+    l = lines(spark, sf)
+    kinds = [F.when(F.col("line").rlike(p), F.concat(F.lit(k + "."), F.when(F.trim(F.regexp_replace("line", p, "")) == "", "whole").otherwise("embedded"))) for k, p in AD_RULES.items()]
+    rules = l.select(F.explode(F.filter(F.array(*kinds), lambda x: x.isNotNull())).alias("name")).groupBy("name").agg(n().cast("double").alias("value")).select(F.lit("rule").alias("section"), "name", "value")
+    h = l.where(F.length("line").between(1, 40)).groupBy("doc_id", "line").agg(n().alias("k"))
+    heads = V.totals(h, "headings", {"short_lines": n(), "repeated": F.count_if(F.col("k") > 1), "extra": F.coalesce(F.sum(F.col("k") - 1), F.lit(0))})
+    sizes = V.totals(l, "lines", {"all": n(), "blank": F.count_if(F.trim("line") == ""), "documents": F.count_distinct("doc_id"), "longest": F.max(F.length("line"))})
+    return rules.unionByName(heads).unionByName(sizes).withColumn("value", F.col("value").cast("long"))
+
+
+@query("V4_release_queue", f"WITH {RELEASE}, {RISK_ROWS} SELECT id, split, list_sort(list(code)) AS flags, min(severity) AS priority FROM risk GROUP BY id, split")
+def v4_release(spark: SparkSession, sf: str) -> DataFrame:
+    """Records to look at with their flags; a record's priority is that of its gravest flag."""
+    severity = F.create_map(*[F.lit(x) for code, (s, _) in RISKS.items() for x in (code, s)])
+    r = release(spark, sf).select("id", "split", F.sort_array(V.risk_codes(risk_rules())).alias("flags")).where(F.size("flags") > 0)
+    return r.withColumn("priority", F.array_min(F.transform("flags", lambda c: severity[c])))
+
+
+@query("V5_review_summary", f"WITH {RELEASE}, {RISK_ROWS}, g AS (SELECT id, min(severity) AS priority FROM risk GROUP BY id) SELECT split, review, coalesce(priority, 'clean') AS priority, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY split), 6) AS share FROM rel LEFT JOIN g USING (id) GROUP BY split, review, coalesce(priority, 'clean')")
+def v5_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """What reviewers have done and what is left for them: by split, decision and the gravest flag."""
+    severity = F.create_map(*[F.lit(x) for code, (s, _) in RISKS.items() for x in (code, s)])
+    priority = F.coalesce(F.array_min(F.transform(V.risk_codes(risk_rules()), lambda c: severity[c])), F.lit("clean"))
+    g = release(spark, sf).groupBy("split", "review", priority.alias("priority")).agg(n().alias("n"))
+    return g.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy("split")), 6))
+
+
+_GOALS = [(d, s, t) for d, t in (("capability_boundary", 60), ("expression", 50), ("grounded_multi", 70), ("natural_chat", 40), ("parametric_core", 80), ("unheard_of", 5)) for s, t in (("train", t), ("val", max(1, t // 8)))]
+
+
+@query("V6_gap_report", f"WITH {RELEASE}, t(dimension, split, target) AS (VALUES {', '.join(f"('{d}', '{s}', {t})" for d, s, t in _GOALS)}), c AS (SELECT dimension, split, count(*) AS n, count(*) FILTER (WHERE review = 'approved') AS approved, count(DISTINCT fact_id) AS facts FROM rel GROUP BY dimension, split) SELECT dimension, split, target, coalesce(n, 0) AS n, coalesce(approved, 0) AS approved, coalesce(facts, 0) AS facts, greatest(0, target - coalesce(n, 0)) AS missing, round(coalesce(n, 0) / target, 6) AS fulfilled FROM t LEFT JOIN c USING (dimension, split)")
+def v6_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Targets by dimension and split against what there is, what is approved of it, and how many facts it covers."""
+    t = F.broadcast(spark.createDataFrame(_GOALS, "dimension string, split string, target int"))
+    c = release(spark, sf).groupBy("dimension", "split").agg(n().alias("n"), F.count_if(F.col("review") == "approved").alias("approved"), F.count_distinct("fact_id").alias("facts"))
+    zero = lambda x: F.coalesce(x, F.lit(0)).alias(x)
+    g = t.join(c, ["dimension", "split"], "left").select("dimension", "split", "target", zero("n"), zero("approved"), zero("facts"))
+    return g.withColumn("missing", F.greatest(F.lit(0), F.col("target") - F.col("n"))).withColumn("fulfilled", F.round(F.col("n") / F.col("target"), 6))
+
+
+@query("V12_checkpoints", "WITH m AS (SELECT user_id % 10 AS cohort, event_type AS checkpoint, avg(value) AS v, count(*) AS k FROM events GROUP BY ALL), f AS (SELECT cohort, v AS base FROM (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY checkpoint) AS r FROM m) WHERE r = 1) SELECT m.cohort, checkpoint, k AS n, round(v, 6) AS score, round(v - base, 6) AS delta, round((v - base) / base, 6) AS relative, v > base AS improved FROM m JOIN f ON f.cohort = m.cohort")
+def v12_checkpoints(spark: SparkSession, sf: str) -> DataFrame:
+    """Each checkpoint's score by cohort against the first checkpoint's: difference, relative difference, improved or not."""
+    m = table(spark, sf, "events").groupBy((F.col("user_id") % 10).alias("cohort"), F.col("event_type").alias("checkpoint")).agg(F.avg("value").alias("v"), n().alias("n"))
+    base = m.groupBy("cohort").agg(F.min_by("v", "checkpoint").alias("base"))
+    d = F.col("v") - F.col("base")
+    return m.join(base, "cohort").select("cohort", "checkpoint", "n", F.round("v", 6).alias("score"), F.round(d, 6).alias("delta"), F.round(d / F.col("base"), 6).alias("relative"), (d > 0).alias("improved"))

@@ -62,10 +62,11 @@ def _names(spark: SparkSession) -> DataFrame:
     return F.broadcast(spark.createDataFrame([(n,) for n in NAMES], "name string"))
 
 
-@query("J6_first_mention", f"""WITH {LINES}, {_NAMES} SELECT name, min(doc_id * 100000 + line_no) AS place FROM n JOIN lines ON contains(line, name) GROUP BY name""")
+@query("J6_first_mention", f"""WITH {LINES}, {_NAMES} SELECT name, doc_id, line_no FROM (SELECT name, doc_id, line_no, row_number() OVER (PARTITION BY name ORDER BY doc_id, line_no) AS k FROM n JOIN lines ON contains(line, name)) WHERE k = 1""")
 def j6(spark: SparkSession, sf: str) -> DataFrame:
     # The catalog is fixed, so the nested-loop join broadcasts it; the minimum combines before the shuffle.
-    return lines(spark, sf).join(_names(spark), F.col("line").contains(F.col("name"))).groupBy("name").agg(F.min(F.col("doc_id") * 100000 + F.col("line_no")).alias("place"))
+    first = F.min(F.struct("doc_id", "line_no")).alias("m")
+    return lines(spark, sf).join(_names(spark), F.col("line").contains(F.col("name"))).groupBy("name").agg(first).select("name", "m.*")
 
 
 @query("J7_first_cooccurrence", f"""WITH {_NAMES} SELECT a.name AS a, b.name AS b, min(doc_id) AS doc_id FROM documents JOIN n a ON contains(text, a.name) JOIN n b ON contains(text, b.name) AND a.name < b.name GROUP BY a.name, b.name""")

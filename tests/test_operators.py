@@ -190,3 +190,75 @@ def test_components_by_contraction_and_in_one_task_agree(spark):
     edges = spark.createDataFrame([(rng.randrange(400), rng.randrange(400)) for _ in range(300)], "a long, b long")
     whole, rounds = (sorted(map(tuple, connected_components(edges, one_task=n).collect())) for n in (1 << 20, 0))
     assert whole == rounds
+
+
+def test_grown_contexts(spark, tmp_path):
+    from sparquill.plans.q_segments import g13
+
+    rng = random.Random(8)
+    docs = [(i, "\n".join("x" * rng.choice([0, 5, 40, 90, 300]) + str(k) for k in range(rng.randrange(1, 12)))) for i in range(12)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for d, text in docs:
+        sizes = [len(x) for x in text.split("\n")]
+        for at in range(len(sizes)):
+            inside, turn = [at], 1
+            while sum(sizes[i] for i in inside) < 128:
+                for side in (turn, -turn):
+                    place = max(inside) + 1 if side == 1 else min(inside) - 1
+                    if 0 <= place < len(sizes) and sum(sizes[i] for i in inside) + sizes[place] <= 280:
+                        inside.append(place)
+                        turn = -side
+                        break
+                else:
+                    break
+            want.add((d, at + 1, min(inside) + 1, max(inside) + 1))
+    assert {tuple(r) for r in g13(spark, str(tmp_path)).select("doc_id", "line_no", "first", "last").collect()} == want
+
+
+def test_diverse_choice_is_made_over_all_rows(spark):
+    import hashlib
+
+    rng = random.Random(9)
+    rows = [(i, rng.choice([None, "a", "b", "c"]), rng.randrange(6)) for i in range(300)]
+    ordered = sorted(rows, key=lambda r: hashlib.sha256(str(r[0]).encode()).hexdigest())
+    for n in (3, 12, 400):
+        chosen, seen = [], [set(), set()]
+        for test in (all, any, lambda _: True):
+            for r in ordered:
+                if len(chosen) < n and r not in chosen and test([v not in s for v, s in zip(r[1:], seen)]):
+                    chosen.append(r)
+                    for v, s in zip(r[1:], seen):
+                        s.add(v)
+        got = sampling.diverse(spark.createDataFrame(rows, "id long, f string, g long"), "id", ["f", "g"], n)
+        assert [r["id"] for r in got.orderBy("place").collect()] == [r[0] for r in chosen]
+
+
+def test_distinct_places(spark):
+    rng = random.Random(10)
+    hits = [(rng.choice("abcd"), rng.randrange(9)) for _ in range(40)]
+    taken = {}
+    for label in "abcd":
+        free = sorted({p for x, p in hits if x == label} - set(taken.values()))
+        if free:
+            taken[label] = free[0]
+    got = sampling.distinct_places(spark.createDataFrame(hits, "label string, place long"), "label", "place", 4)
+    assert {r["label"]: r["place"] for r in got.collect()} == taken
+
+
+def test_numbered_within_few_groups(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice(["x", "y", None]), rng.randrange(50), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "g string, o int, id long").repartition(5)
+    got = {r["id"]: (r["k"], r["n"]) for r in sampling.numbered_within(df, ["g"], [-F.col("o"), F.col("id")], total=True).collect()}
+    for g in ("x", "y", None):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (-r[1], r[2]))
+        assert [got[r[2]] for r in own] == [(k, len(own)) for k in range(len(own))]
+
+
+def test_payload_violations(spark):
+    from sparquill.plans.q_records import payload_violations
+
+    rows = [(1, "t", [5, 6, 7], [-100, 6, 7]), (2, "t", [5, 6], [-100]), (3, "t", [5, 6], [-100, 9]), (4, "t", [5, 6], [-100, -100]), (5, "t", [5, 70000], [5, 70000])]
+    got = {(r["id"], r["code"]) for r in payload_violations(spark.createDataFrame(rows, "id int, split string, ids array<int>, labels array<int>")).collect()}
+    assert got == {(2, "length_mismatch"), (2, "nothing_supervised"), (3, "label_not_input"), (4, "nothing_supervised"), (5, "prompt_supervised"), (5, "outside_vocabulary")}
