@@ -44,6 +44,8 @@ class WordEncoder:
         shown = {b: c for c, b in byte_alphabet().items()}
         self.inner = [vocab.get(shown[b], -1) for b in range(256)]
         self.last = [vocab.get(shown[b] + self.end, -1) for b in range(256)]
+        self.closes = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a word
+        self.closes[[i for t, i in vocab.items() if self.end and t.endswith(self.end)]] = True
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {"": b""}
@@ -71,20 +73,38 @@ class WordEncoder:
             self.pieces[piece] = found
         return found
 
+    def _add_pieces(self, new: list[str]) -> None:
+        """Adds the ids of letter pieces to their memo. The library merges them, laid end to end between blanks; each ends
+        with its only id that closes a word. Should that not hold for a vocabulary, they are merged here."""
+        if len(self.pieces) + len(new) > CACHE:
+            self.pieces = {"": b""}
+        for i in range(0, len(new) if self.end else 0, 20_000):
+            part = new[i : i + 20_000]
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            ends = (np.flatnonzero(self.closes[ids]) + 1).tolist()
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                raw, at = ids.tobytes(), 0
+                for piece, end in zip(part, ends, strict=True):
+                    self.pieces[piece] = raw[4 * at : 4 * end]
+                    at = end
+
     def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """The memo, after all the words have been added to it."""
         if len(self.known) + len(words) > CACHE:
             self.known, self.older = {}, self.known
         known, older, hard = self.known, self.older, []
+        plain: list[tuple[bytes, str, str]] = []
         for w in words - known.keys():
             found = older.get(w)
-            if found is None:
-                m = PLAIN.fullmatch(w.decode()) if len(w) < 200 else None
-                if m is None:
-                    hard.append(w)
-                    continue
-                found = self._piece(m[1].lower()) + self._piece(m[2])
-            known[w] = found
+            if found is not None:
+                known[w] = found
+            elif len(w) < 200 and (m := PLAIN.fullmatch(w.decode())) is not None:
+                plain.append((w, m[1].lower(), m[2]))
+            else:
+                hard.append(w)
+        self._add_pieces(list({p for _, p, _ in plain} - self.pieces.keys()))
+        for w, letters, tail in plain:
+            known[w] = self._piece(letters) + self._piece(tail)
         for i in range(0, len(hard), 20_000):
             part = hard[i : i + 20_000]
             for w, e in zip(part, self.library.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
