@@ -51,7 +51,25 @@ def merged(ids: np.ndarray, todo: list[tuple[int, int, int]]) -> np.ndarray:
     return ids
 
 
-def learnt_merges(texts: DataFrame, merges: int, column: str = "text", least: int = 2, top: int = 512, restage: int = 25) -> list[tuple[str, str]]:
+def pair_counts(ids: np.ndarray, weight: np.ndarray, most: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """The adjacent pairs of ids (left << 24 | right) and the sums of their weights, those of weight 0 left out. Where few
+    kinds of ids make few possible pairs, these are counted without sorting."""
+    there = np.zeros(int(ids.max(initial=0)) + 1, bool)
+    there[ids] = True
+    kinds = np.flatnonzero(there)
+    if len(kinds) ** 2 <= most:
+        number = np.zeros(len(there), np.int32)
+        number[kinds] = np.arange(len(kinds))
+        own = number[ids]
+        sums = np.bincount(own[:-1] * len(kinds) + own[1:], weights=weight, minlength=1)
+        at = np.flatnonzero(sums)
+        return kinds[at // len(kinds)] << 24 | kinds[at % len(kinds)], np.rint(sums[at]).astype(np.int64)
+    keys, place = np.unique(ids[:-1].astype(np.int64) << 24 | ids[1:], return_inverse=True)
+    sums = np.bincount(place, weights=weight, minlength=len(keys))
+    return keys[sums > 0], np.rint(sums[sums > 0]).astype(np.int64)
+
+
+def learnt_merges(texts: DataFrame, merges: int, column: str = "text", least: int = 2, top: int = 512, restage: int = 10) -> list[tuple[str, str]]:
     """Byte-pair merges over all lines of all texts: the most frequent adjacent pair first, on ties the smaller left id,
     then the smaller right id (characters in code-point order, then tokens as they were made). Only a newline is a
     barrier. Distinct lines with their counts stay in the cluster, as blocks of code points (tokens made have ids above
@@ -81,9 +99,7 @@ def learnt_merges(texts: DataFrame, merges: int, column: str = "text", least: in
                     ends = ids == 10
                     weight = np.frombuffer(n, np.int64)[np.minimum(np.cumsum(ends) - ends, len(n) // 8 - 1)]
                     inner = ~(ends[:-1] | ends[1:])
-                    keys, place = np.unique((ids[:-1].astype(np.int64) << 24 | ids[1:])[inner], return_inverse=True)
-                    total = np.zeros(len(keys), np.int64)
-                    np.add.at(total, place, weight[:-1][inner])
+                    keys, total = pair_counts(ids, np.where(inner, weight[:-1], 0))
                     yield pd.DataFrame({"pair": keys, "n": total})
 
         return step
