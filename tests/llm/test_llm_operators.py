@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sparquill.llm import licenses, queries, quality_classifier, toxicity
+from sparquill.llm import anchors, licenses, queries, quality_classifier, toxicity
 from sparquill.llm import suffix_array as sa
 from sparquill.llm.bpe_stream import Transducer, round_trip, sufficient_lookahead
 from sparquill.llm.exact_dedup import exact_groups
@@ -577,3 +577,17 @@ def test_pipeline_packs_what_the_stages_leave(spark, sf):
     got = corpus_pipeline.run(spark, sf).collect()
     assert collections.Counter(r["doc_id"] for r in got if r["piece"] == 0) == want
     assert sum(r["length"] for r in got) == sum(n for n in (r["length"] for r in stage("best-fit packing")(spark, docs, sf).collect()))
+
+
+def test_anchors_that_occur_once_do_not_fill_the_filter(spark, monkeypatch):
+    monkeypatch.setattr(anchors, "FILTER_BITS", 1 << 18)  # about one bit for each anchor here
+    pick = random.Random(5)
+    texts = ["".join(pick.choices("abcdefgh ", k=400_000)) for _ in range(8)]
+    texts.append(texts[0][:20_000])
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "place long, key long, text string")
+    known = anchors.repeated_anchors(rows, lambda batch: batch, anchors.byte_symbols, 50, 20, 1, None, 1 << 19)
+    found = np.concatenate([anchors.find_units(anchors.byte_symbols([t.encode()]), 50, 20).anchor for t in texts])
+    _, back, n = np.unique(found, return_inverse=True, return_counts=True)
+    again = n[back] > 1
+    assert len(found) > 180_000 and again.sum() > 2000
+    assert known.repeated(found[again]).all() and known.repeated(found[~again]).mean() < 0.05 and not known.any_hot()
