@@ -11,6 +11,7 @@ from array import array
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -24,6 +25,8 @@ SEGMENT = r"\s*\S+|\s+"
 CACHE = 250_000
 #: Characters of text whose segments are cut at once, and those of a segment that leaves in parts.
 CHUNK, LONG = 1 << 16, 1 << 12
+#: Bytes of pieces that are merged by scans, and together; no merge; bytes of texts whose new pieces are merged together.
+SHORT, NONE, TOGETHER = 48, 1 << 60, 2 << 20
 
 
 class Memo(dict):
@@ -39,6 +42,12 @@ class Memo(dict):
             self.clear()
         self[key] = value
 
+    def add(self, more: dict) -> None:
+        if len(self) + len(more) > CACHE:
+            self.older = dict(self)
+            self.clear()
+        self.update(more)
+
     def again(self, key: str) -> object:
         """What get(), which looks at the younger generation only, may have missed."""
         found = self.older.get(key)
@@ -47,6 +56,10 @@ class Memo(dict):
         return found
 
 
+def _pack(ids: list[int]) -> tuple[str, bytes]:
+    return ",".join(map(str, ids)), array("I", ids).tobytes()
+
+
 def byte_alphabet() -> dict[str, int]:
     """Character -> byte: printable bytes stand for themselves, the others follow from U+0100 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -94,6 +107,8 @@ class Transducer:
         self.edge = re.compile("(?<=[^\\s\x1c-\x1f])[^\\S\x1c-\x1f]")
         self.loose = any("<" not in t for t in self.special)
         self.known, self.segments = Memo(), Memo()
+        self.pairs = np.array(sorted(self.merge), np.int64)
+        self.merged = np.array([self.merge[k] for k in self.pairs.tolist()], np.int64)
 
     def _short(self, data: bytes) -> list[int]:
         ids, get, none = [self.first[b] for b in data], self.merge.get, 1 << 60
@@ -111,9 +126,79 @@ class Transducer:
                 ranks[i - 1] = get(ids[i - 1] << 20 | ids[i], none)
         return ids
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The merges of pairs, NONE where there is none."""
+        pair = left << 20 | right
+        at = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == pair, self.merged[at], NONE)
+
+    def short_pieces(self, pieces: list[bytes]) -> list[list[int]]:
+        """The merges of many pieces of at most SHORT bytes at once, as _short() has them: from the longest down, all
+        pieces that consist of n tokens make their next merge together, and go on with those of n - 1."""
+        out: list[list[int]] = [[]] * len(pieces)
+        if not len(self.pairs):
+            return [[self.first[b] for b in p] for p in pieces]
+        by: dict[int, list[int]] = {}
+        for i, p in enumerate(pieces):
+            by.setdefault(len(p), []).append(i)
+        first = np.array(self.first, np.int64)
+        own, ids, ranks = np.empty(0, np.int64), np.empty((0, 0), np.int64), np.empty((0, 0), np.int64)
+        for n in range(max(by, default=0), 0, -1):
+            if not len(own):
+                ids, ranks = np.empty((0, n), np.int64), np.empty((0, n - 1), np.int64)
+            if n in by:
+                new = first[np.frombuffer(b"".join([pieces[i] for i in by[n]]), np.uint8).reshape(-1, n)]
+                own, ids = np.concatenate((own, np.array(by[n]))), np.concatenate((ids, new))
+                ranks = np.concatenate((ranks, self._ranks(new[:, :-1], new[:, 1:])))
+            if not len(own):
+                continue
+            at = ranks.argmin(axis=1) if n > 1 else np.zeros(len(own), np.int64)  # the leftmost on ties
+            best = ranks[np.arange(len(own)), at] if n > 1 else np.full(len(own), NONE)
+            go = best < NONE
+            for i, row in zip(own[~go].tolist(), ids[~go].tolist(), strict=True):
+                out[i] = row
+            own, at, best = own[go], at[go], best[go]
+            row = np.arange(len(own))
+            shift = np.arange(n - 1) + (np.arange(n - 1) > at[:, None])
+            ids, ranks = np.take_along_axis(ids[go], shift, 1), np.take_along_axis(ranks[go], shift[:, : max(0, n - 2)], 1)
+            ids[row, at] = best & 0xFFFFF
+            k = np.flatnonzero(at < n - 2)
+            ranks[k, at[k]] = self._ranks(ids[k, at[k]], ids[k, at[k] + 1])
+            k = np.flatnonzero(at > 0)
+            ranks[k, at[k] - 1] = self._ranks(ids[k, at[k] - 1], ids[k, at[k]])
+        return out
+
+    def learn(self, texts: Iterable[str]) -> list[list[str] | None]:
+        """The segments of each text of up to CHUNK characters (None for a longer one), after those that are new have
+        been added to the memo: their new pieces are merged together."""
+        ready = [next(self._chunks(text), []) if len(text) <= CHUNK else None for text in texts]
+        words: list[str] = []
+        others: dict[str, list[str]] = {}
+        found = set().union(*filter(None, ready)) - self.segments.keys()
+        again = self.segments.older.keys() & found
+        self.segments.add({s: self.segments.older[s] for s in again})
+        for s in found - again:
+            if len(s) < SHORT and s.isascii() and (s if s[0] != " " else s[1:]).isalpha():
+                words.append(s)  # one piece
+            elif len(s) < 64 and not self._marked(s):
+                others[s] = self.split.findall(s)
+        known, older = self.known, self.known.older
+        pieces = {p for own in others.values() for p in own} - known.keys()
+        known.add({p: older[p] for p in pieces & older.keys()})
+        pieces = [p for p in pieces - known.keys() if len(p.encode()) <= SHORT]
+        for i in range(0, len(words), 20_000):
+            part = words[i : i + 20_000]
+            self.segments.add(dict(zip(part, map(_pack, self.short_pieces([*map(str.encode, part)])), strict=True)))
+        for i in range(0, len(pieces), 20_000):
+            part = pieces[i : i + 20_000]
+            known.add(dict(zip(part, self.short_pieces([*map(str.encode, part)]), strict=True)))
+        get = known.get
+        self.segments.add({s: _pack([t for p in own for t in (get(p) or [x for part in self._piece(p) for x in part])]) for s, own in others.items()})
+        return ready
+
     def _whole(self, data: bytes) -> list[int]:
         """The merges of a piece: lowest rank first, leftmost on ties."""
-        if len(data) <= 48:
+        if len(data) <= SHORT:
             return self._short(data)
         n, merge = len(data), self.merge
         ids, right, left = [self.first[b] for b in data], [*range(1, n), -1], [*range(-1, n - 1)]
@@ -204,13 +289,17 @@ class Transducer:
             yield (self.segment if self.odd.search(part) else self.plain_segment).findall(part)
             at = end
 
-    def encode_blocks(self, text: str) -> Iterator[tuple[str, bytes]]:
+    def encode_blocks(self, text: str, ready: list[str] | None = None) -> Iterator[tuple[str, bytes]]:
         """A text's ids block by block, as decimals joined by commas and as little-endian longs. All that is held is
-        a chunk of segments, the stream's lookahead and the memo: constant, whatever the text's length."""
-        pack = lambda ids: (",".join(map(str, ids)), array("I", ids).tobytes())
+        a chunk of segments, the stream's lookahead and the memo: constant, whatever the text's length. `ready` is what
+        learn() gave for the text."""
         find = self.segments.get
-        for chunk in self._chunks(text):
-            out: list[tuple[str, bytes]] = []
+        for chunk in self._chunks(text) if ready is None else (ready,):
+            out: list[tuple[str, bytes]] = [*map(find, chunk)]
+            if None not in out:
+                chunk = ()
+            else:
+                out = []
             for s in chunk:
                 got = find(s) or self.segments.again(s)
                 if got is None:
@@ -218,9 +307,9 @@ class Transducer:
                         if out:
                             yield ",".join([x[0] for x in out]), b"".join([x[1] for x in out])
                             out = []
-                        yield from map(pack, filter(None, self.encode_segment(s)))
+                        yield from map(_pack, filter(None, self.encode_segment(s)))
                         continue
-                    got = pack(self._segment(s))
+                    got = _pack(self._segment(s))
                     if len(s) < 64:
                         self.segments.put(s, got)
                 out.append(got)
@@ -274,12 +363,13 @@ def round_trip(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = machine_of(spec)
         pieces = [m.pieces.get(i, b"") for i in range(max(m.pieces) + 1)]
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", TOGETHER):
             rows = []
-            for text in batch.column("text"):
+            texts = [text or "" for text in batch.column("text").to_pylist()]
+            for text, ready in zip(texts, m.learn(texts), strict=True):
                 n, comma, ids_sha, text_sha = 0, b"", hashlib.sha256(), hashlib.sha256()
                 machine = codecs.getincrementaldecoder("utf-8")("replace")
-                for decimals, raw in m.encode_blocks(text.as_py() or ""):
+                for decimals, raw in m.encode_blocks(text, ready):
                     ids_sha.update(comma + decimals.encode())
                     ids = array("I", raw)
                     text_sha.update(machine.decode(b"".join([pieces[t] for t in ids])).encode())

@@ -591,3 +591,17 @@ def test_anchors_that_occur_once_do_not_fill_the_filter(spark, monkeypatch):
     again = n[back] > 1
     assert len(found) > 180_000 and again.sum() > 2000
     assert known.repeated(found[again]).all() and known.repeated(found[~again]).mean() < 0.05 and not known.any_hot()
+
+
+def test_pieces_merged_together_as_one_by_one():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
+        m = Transducer(f.read())
+    pick = random.Random(9)
+    pieces = [bytes(pick.choices(b"aeot hinrs\xc3\xa9\xff", k=pick.randint(1, 48))) for _ in range(3000)] + [b"a" * 48, b"\xff"]
+    assert m.short_pieces(pieces) == [m._short(p) for p in pieces] and m.short_pieces([]) == []
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["", " ", "a", " Antidisestablishment's\tword, word\n\n x y \x1c z<|endoftext|>é漢字 12ab", "tail " * 20_000, "q" * 5000, "two  blanks ½ ＡＢ"]
+    for _ in range(2):  # the second time from the memo
+        for text, ready in zip(texts, m.learn(texts), strict=True):
+            got = list(m.encode_blocks(text, ready))
+            assert ",".join(x[0] for x in got) == ",".join(map(str, library.encode(text, add_special_tokens=False).ids))
