@@ -12,11 +12,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparquill.llm.bpe_stream import byte_alphabet
-from sparquill.llm.common import binary_list, importable, slices, staged
+from sparquill.llm.common import importable, slices, staged
 
 CACHE = 250_000
 _encoders: dict[int, tuple[bytes, WordEncoder]] = {}
@@ -93,18 +94,29 @@ class WordEncoder:
         if len(self.known) + len(words) > CACHE:
             self.known, self.older = {}, self.known
         known, older, hard = self.known, self.older, []
-        plain: list[tuple[bytes, str, str]] = []
-        for w in words - known.keys():
-            found = older.get(w)
-            if found is not None:
-                known[w] = found
-            elif len(w) < 200 and (m := PLAIN.fullmatch(w.decode())) is not None:
-                plain.append((w, m[1].lower(), m[2]))
-            else:
+        new = words - known.keys()
+        again = older.keys() & new
+        known.update({w: older[w] for w in again})
+        new -= again
+        # Columns in place of rows: a tuple for each word would be work for the garbage collector.
+        simple = [w for w in new if w.isalpha() and len(w) < 200]
+        lower = [w.lower().decode() for w in simple]
+        plain: list[bytes] = []
+        letters: list[str] = []
+        tails: list[str] = []
+        for w in new.difference(simple):
+            if len(w) < 200 and (m := PLAIN.fullmatch(w.decode())) is not None:
+                plain.append(w)
+                letters.append(m[1].lower())
+                tails.append(m[2])
+            elif w:
                 hard.append(w)
-        self._add_pieces(list({p for _, p, _ in plain} - self.pieces.keys()))
-        for w, letters, tail in plain:
-            known[w] = self._piece(letters) + self._piece(tail)
+            else:
+                known[w] = b""
+        self._add_pieces(list({*lower, *letters} - self.pieces.keys()))
+        known.update(zip(simple, map(self._piece, lower), strict=True))
+        for w, piece, tail in zip(plain, letters, tails, strict=True):
+            known[w] = self._piece(piece) + self._piece(tail)
         for i in range(0, len(hard), 20_000):
             part = hard[i : i + 20_000]
             for w, e in zip(part, self.library.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
@@ -112,6 +124,26 @@ class WordEncoder:
         return known
 
 
+def encoded_texts(encoder: WordEncoder, column: pa.Array) -> list[bytes]:
+    """The ids of each text of a column (null: none), as little-endian bytes. Only distinct words become objects."""
+    words = pa.compute.ascii_split_whitespace(pa.compute.fill_null(column, "").cast(pa.large_string()))
+    ends = words.offsets.to_numpy() - words.offsets[0].as_py()
+    coded = words.flatten().cast(pa.large_binary()).dictionary_encode()
+    word, found = coded.indices.to_numpy(), coded.dictionary
+    _, cuts, data = found.buffers()
+    cuts, data = np.frombuffer(cuts, "<i8", len(found) + 1).tolist() if len(found) else [0], bytes(data or b"")
+    distinct = [data[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+    ids = [*map(encoder.learn(set(distinct)).__getitem__, distinct)]
+    pool = np.frombuffer(b"".join(ids), "<u4")
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+    first = np.cumsum(size) - size
+    n = size[word]
+    to = np.concatenate(([0], np.cumsum(n)))
+    raw = pool[np.repeat(first[word] - to[:-1], n) + np.arange(to[-1])].tobytes()
+    at = (4 * to[ends]).tolist()
+    return [raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
+
+
 def _encoder(spec: bytes) -> WordEncoder:
     """One encoder for each vocabulary and Python worker."""
     found = _encoders.get(hash(spec))
@@ -135,12 +167,10 @@ def cut_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(spec)
-        for batch in slices(batches, "text", 2 << 20):
-            texts = [t.split() for t in binary_list(batch.column("text"))]
-            ids_of = encoder.learn(set().union(*texts)).__getitem__
+        for batch in slices(batches, "text", 6 << 20):
             rows: list[tuple[int, int, int, int, int]] = []
-            for at, words in enumerate(texts):
-                ids = b"".join(map(ids_of, words)) + tail
+            for at, ids in enumerate(encoded_texts(encoder, batch.column("text"))):
+                ids += tail
                 for piece, i in enumerate(range(0, len(ids), step)):
                     part = ids[i : i + step]
                     rows.append((at, piece, i // 4, len(part) // 4, zlib.crc32(part)))

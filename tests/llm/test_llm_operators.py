@@ -11,6 +11,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from sparquill.llm import anchors, licenses, queries, quality_classifier, toxicity
+from sparquill.llm import anchors, licenses, packing, queries, quality_classifier, toxicity
 from sparquill.llm import suffix_array as sa
 from sparquill.llm.bpe_stream import Transducer, round_trip, sufficient_lookahead
 from sparquill.llm.exact_dedup import exact_groups
@@ -605,3 +606,15 @@ def test_pieces_merged_together_as_one_by_one():
         for text, ready in zip(texts, m.learn(texts), strict=True):
             got = list(m.encode_blocks(text, ready))
             assert ",".join(x[0] for x in got) == ",".join(map(str, library.encode(text, add_special_tokens=False).ids))
+
+
+def test_encoded_texts_as_the_library_does():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    with open(path, "rb") as f:
+        encoder = packing.WordEncoder(f.read())
+    library = Tokenizer.from_file(path)
+    texts = ["", " ", " a b ", "\x0ba\x0c\x1cb\x85\xa0 É", "x\ty\r\nz ", "Straße, ok! Ok OK,", " q", "word " * 3000, "é漢字 12ab it's"]
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    column = pa.array([*texts, None])
+    assert packing.encoded_texts(encoder, column) == [*want, b""] == packing.encoded_texts(encoder, column)  # again from the memo
+    assert packing.encoded_texts(encoder, column[2:5]) == want[2:5] and packing.encoded_texts(encoder, column[:0]) == []
