@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparquill.functions import text as X
 from sparquill.operators.sampling import numbered
 from sparquill.operators.segments import last_line_no, sections
 from sparquill.plans.q_io import _place
@@ -192,7 +193,7 @@ def x11_forms(spark: SparkSession, sf: str) -> DataFrame:
         .when(form == "summary", F.concat(F.lit("In short: "), xs[0], F.lit(" "), F.element_at(xs, -1)))
         .when(form == "insufficient", F.concat(F.lit("The "), F.size(xs).cast("string"), F.lit(" passages do not say.")))
         .when(form == "correction", F.concat(F.lit("Not quite. "), xs[0]))
-        .otherwise(F.array_join(F.transform(xs, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substr(x, F.lit(2)))), " "))
+        .otherwise(F.array_join(F.transform(xs, lambda x: F.concat(X.upper_char(F.substring(x, 1, 1)), F.substr(x, F.lit(2)))), " "))
     )
     return c.select("doc_id", form.alias("form"), F.sha2(answer, 256).alias("answer_sha256"))
 
