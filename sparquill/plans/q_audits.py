@@ -200,7 +200,7 @@ def _report(spark: SparkSession, sf: str) -> DataFrame:
     keys = {
         "id": F.col("id"), "question": F.col("question"), "canonical_question": X.alnum_lower("question"), "pair": F.concat("question", F.lit("\u241f"), "answer"), "answer": F.col("answer"),
         "topic": F.col("topic_id"), "fact": F.col("fact_id"), "group": F.col("conv_id"), "chapter": F.col("chapter"), "evidence": F.col("evidence_sha256"), "template": F.col("template_id"),
-        "opening": X.fingerprint("answer"),
+        "opening": X.fingerprint(X.alnum_lower("answer")),
     }
     values = V.value_report(r, keys, F.col("split"))
     tallies = V.counts(r, {"split": F.col("split"), "family": F.col("family"), "dimension": F.col("dimension"), "review": F.col("review"), "mode": F.col("mode")})
