@@ -191,13 +191,15 @@ def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StructType().add("matched", T.LongType()).add("coverage", T.DoubleType()).add("ratio", T.DoubleType()))
 def line_blocks(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """Characters in matching blocks of lines, their share of the shorter text, and the ratio of matching lines."""
+    """Characters in matching blocks of lines, their share of the shorter text, and the ratio of matching lines. A line is
+    given by a digest of 32 characters and its length."""
+    size = lambda line: int(line[32:])
     rows = []
     for x, y in zip(a, b, strict=True):
         x, y = list(x), list(y)
         m = SequenceMatcher(None, x, y, autojunk=False)
-        matched = sum(len(line) for k in m.get_matching_blocks() for line in x[k.a : k.a + k.size])
-        rows.append((matched, matched / max(1, min(sum(map(len, x)), sum(map(len, y)))), m.ratio()))
+        matched = sum(size(line) for k in m.get_matching_blocks() for line in x[k.a : k.a + k.size])
+        rows.append((matched, matched / max(1, min(sum(map(size, x)), sum(map(size, y)))), m.ratio()))
     return pd.DataFrame(rows, columns=["matched", "coverage", "ratio"])
 
 
