@@ -142,10 +142,8 @@ def a18(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("A19_max_share", f"WITH {RECORDS}, w AS (SELECT DISTINCT id, substr(c, i, 12) AS w FROM (SELECT id, c, unnest(range(1, length(c) - 10)) AS i FROM (SELECT id, regexp_replace(answer, '\\s+', '', 'g') AS c FROM rec))) SELECT max(n) AS max_count, max(n) / (SELECT count(*) FROM rec) AS max_share FROM (SELECT w, count(*) AS n FROM w GROUP BY w)")
 def a19(spark: SparkSession, sf: str) -> DataFrame:
-    from sparquill.functions.metrics import grams
-
     r = records(spark, sf).select("id", X.compact("answer").alias("c"))
-    top = r.select(F.explode(F.array_distinct(grams("c", 12))).alias("w")).groupBy("w").agg(N().alias("n")).agg(F.max("n").alias("max_count"))
+    top = A.most_common_gram(r, "c", 12)
     return top.crossJoin(r.agg(N().alias("rows"))).select("max_count", (F.col("max_count") / F.col("rows")).alias("max_share"))
 
 
